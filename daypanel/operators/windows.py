@@ -9,6 +9,7 @@ the copies made for each anchor.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,10 +186,19 @@ def _history():
 
 
 def attach_anchors(panel: DataFrame, anchors: list[int], oldest: int, furthest: int = 0) -> DataFrame:
-    """Copy each row to the anchors that can see it. Anchors are calendar days, so few by nature."""
-    listed = F.array(*[F.lit(int(a)) for a in sorted(set(anchors))])
-    sees = F.filter(listed, lambda a: F.col("day").between(a - oldest, a + furthest))
-    return panel.withColumn("anchor", F.explode(sees)).withColumn("age", F.col("anchor") - F.col("day"))
+    """Copy each row to the anchors that can see it.
+
+    Anchors are calendar days, so few by nature. A table from day to the run of anchors that see it
+    goes along as a constant: each row looks its anchors up and no join takes place.
+    """
+    listed = sorted(set(int(a) for a in anchors))
+    days = range(listed[-1] + furthest + 1)
+    start = [bisect_left(listed, d - furthest) for d in days]
+    count = [bisect_right(listed, d + oldest) - i for d, i in zip(days, start)]
+    fixed = lambda values: F.array(*[F.lit(v) for v in values])
+    at = lambda values: F.get(fixed(values), F.col("day"))
+    seen_by = F.slice(fixed(listed), at([i + 1 for i in start]), at(count))
+    return panel.withColumn("anchor", F.explode(seen_by)).withColumn("age", F.col("anchor") - F.col("day"))
 
 
 def aggregate(panel: DataFrame, anchors: list[int], plan: Plan) -> DataFrame:
