@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "data", "folds")
+MODULES = ("features", "data", "folds", "channels")
 
 
 def load():
