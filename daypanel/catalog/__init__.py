@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "data", "folds", "channels")
+MODULES = ("features", "data", "folds", "channels", "metrics", "blending")
 
 
 def load():

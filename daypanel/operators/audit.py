@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], rtol: float = 1e-9, atol: float = 1e-9) -> DataFrame:
+def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], by: list[str] = (), rtol: float = 1e-9,
+                    atol: float = 1e-9) -> DataFrame:
     """Per column the number of cells that differ between two tables with the same keys, plus lone keys."""
     names = [c for c in full.columns if c not in keys]
     both = full.alias("f").join(cut.alias("c"), keys, "full_outer")
@@ -18,13 +19,13 @@ def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], rtol: floa
     def differs(n: str) -> Column:
         return (F.abs(a(n) - b(n)) > atol + rtol * F.abs(b(n))) | (a(n).isNull() != b(n).isNull())
 
-    counts = both.agg(
+    counts = both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cells"),
         F.coalesce(F.sum(lone.cast("long")), F.lit(0)).alias("lone_keys"),
         *[F.coalesce(F.sum(differs(n).cast("long")), F.lit(0)).alias(n) for n in names],
     )
-    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("differing")) for n in names])
-    return counts.select("cells", "lone_keys", F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("differing")) for n in names])
+    return counts.select(*by, "cells", "lone_keys", F.inline(rows))
 
 
 def look_ahead(panel: DataFrame, anchor: int, make: Callable[[DataFrame, list[int]], DataFrame], **tol) -> DataFrame:
@@ -33,9 +34,18 @@ def look_ahead(panel: DataFrame, anchor: int, make: Callable[[DataFrame, list[in
     return differing_cells(make(panel, [anchor]), make(past, [anchor]), ["anchor", "user_id"], **tol)
 
 
-def causality(dense: DataFrame, probe: int, make: Callable[[DataFrame], DataFrame], **tol) -> DataFrame:
-    """Channels up to a day from the whole grid against those from a grid emptied after it."""
+def causality(dense: DataFrame, probes: list[int], make: Callable[[DataFrame], DataFrame], **tol) -> DataFrame:
+    """Channels up to each probe day from the whole grid against those from a grid emptied after it.
+
+    The emptied grids of all probes are built together, as if each were users of its own.
+    """
     values = [c for c in dense.columns if c not in ("user_id", "day")]
-    emptied = dense.withColumns({c: F.when(F.col("day") <= probe, F.col(c)).otherwise(F.lit(0.0)) for c in values})
-    upto = lambda df: df.filter(F.col("day") <= probe)
-    return differing_cells(upto(make(dense)), upto(make(emptied)), ["user_id", "day"], **tol)
+    listed = F.array(*[F.lit(int(t)) for t in probes])
+    copies = dense.withColumn("probe", F.explode(listed))
+    copies = copies.withColumns({c: F.when(F.col("day") <= F.col("probe"), F.col(c)).otherwise(F.lit(0.0)) for c in values})
+    made = make(copies.withColumn("user_id", F.struct("user_id", "probe")).drop("probe"))
+    channels = [c for c in made.columns if c not in ("user_id", "day")]
+    cut = made.select(F.col("user_id.probe").alias("probe"), F.col("user_id.user_id").alias("user_id"), "day", *channels)
+    full = make(dense).withColumn("probe", F.explode(F.filter(listed, lambda t: t >= F.col("day"))))
+    keys = ["probe", "user_id", "day"]
+    return differing_cells(full, cut.filter(F.col("day") <= F.col("probe")), keys, by=["probe"], **tol)
