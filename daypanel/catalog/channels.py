@@ -6,6 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
+from ..functions.text import named
 from ..operators import channels as C
 from ..sources import panel as S
 from ..sources.panel import COLUMNS, FLAGS
@@ -72,8 +73,8 @@ channel_query("c2_derived_channels", cols(_DERIVED, "gc"), lambda rows, d: C.der
 
 
 def _since_cols(rows, d):
-    flags = {"dsa": F.col("active") > 0, "dso": F.col("ord") > 0, "dsc": F.col("cart") > 0}
-    return rows.select(*DAY, *[C.days_since(f, d.n_days).alias(n) for n, f in flags.items()])
+    flags = {"dsa": "active > 0", "dso": "ord > 0", "dsc": "cart > 0"}
+    return rows.selectExpr(*DAY, *named({n: C.days_since(f, d.n_days) for n, f in flags.items()}))
 
 
 channel_query("c3_days_since", cols({"dsa": since("active > 0"), "dso": since("ord > 0"), "dsc": since("cart > 0")}, "gc"),
@@ -96,10 +97,9 @@ def c5_population_index(spark, folder):
 
 
 def _rolling(rows, d):
-    values = {"gmv": F.col("gmv"), "ord": F.col("ord"), "gmv2": F.col("gmv") * F.col("gmv"), "ord2": F.col("ord") * F.col("ord")}
-    df = C.trailing_sums(rows, values, WIN, money={"gmv", "gmv2"})
-    return df.select(*DAY, *[f(n, w).alias(f"{n}_{t}{w}") for n in ("gmv", "ord") for w in WIN
-                             for t, f in (("rm", C.mean_of), ("rs", C.sd_of))])
+    df = C.trailing_sums(rows, {"gmv": "gmv", "ord": "ord", "gmv2": "gmv * gmv", "ord2": "ord * ord"}, WIN, money={"gmv", "gmv2"})
+    return df.selectExpr(*DAY, *named({f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in WIN
+                                       for t, f in (("rm", C.mean_of), ("rs", C.sd_of))}))
 
 
 channel_query("c6_rolling_mean_std", cols({f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in WIN
@@ -193,7 +193,7 @@ variant_query("c13_extra_nodoy", "extra_nodoy",
 def c12_calendar(spark, folder):
 
     d = order_days(spark, folder)
-    return out(d.panel.select(*DAY, *[c.alias(n) for n, c in C.calendar(d.first).items()]), DAY)
+    return out(d.panel.selectExpr(*DAY, *named(C.calendar(d.first))), DAY)
 
 
 channel_query("c15_tenure", cols({"tenure": _TENURE, "first_seen": "coalesce(min(CASE WHEN active > 0 THEN day END) OVER so_far, -1)"}, "g"),

@@ -85,8 +85,8 @@ windows_query("w6_date_sd", lambda p: {f"sd_{n}_{w}": p.date_sd(n, last(w)) for
               {f"sd_{n}_{w}": date_sd_sql("1" if n == "days" else "buy", w) for n in ("days", "buy") for w in W7}, digits=4)
 windows_query("w7_centre_of_mass", lambda p: {f"com_{n}_{w}": p.mass_age(n, last(w)) for n in ("days", "gmv") for w in W7},
               {f"com_{n}_{w}": com_sql("1" if n == "days" else "gmv", w) for n in ("days", "gmv") for w in W7})
-windows_query("w8_active_in", lambda p: {f"active_{w}": p.days(last(w)) > 0 for w in (3, 7, 14, 30)}
-              | {f"active_prev_{w}": p.days(before(w)) > 0 for w in (7, 30)},
+windows_query("w8_active_in", lambda p: {f"active_{w}": f"{p.days(last(w))} > 0" for w in (3, 7, 14, 30)}
+              | {f"active_prev_{w}": f"{p.days(before(w))} > 0" for w in (7, 30)},
               {f"active_{w}": f"({s('1', 0, w - 1)} > 0)" for w in (3, 7, 14, 30)}
               | {f"active_prev_{w}": f"({s('1', w, 2 * w - 1)} > 0)" for w in (7, 30)})
 windows_query("w9_target", lambda p: {"target_30": p.total("gmv", ahead(30)), "target_7": p.total("gmv", ahead(7))},

@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ratio(num: Column, den: Column, eps: float = 1.0) -> Column:
-    """Quotient whose denominator never falls below ``eps``."""
-    return num / F.greatest(den.cast("double"), F.lit(float(eps)))
-
-
-def clip(col: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(col, F.lit(float(lo))), F.lit(float(hi)))
-
-
 def positive(col: Column) -> Column:
     return F.greatest(col.cast("double"), F.lit(0.0))
 
@@ -31,14 +22,9 @@ def add_all(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def geometric_level(blocks: list[Column]) -> Column:
-    """expm1 of the mean log1p: the naive level of several equal-length blocks."""
-    return F.expm1(add_all([F.log1p(b) for b in blocks]) / F.lit(float(len(blocks))))
-
-
-def hash_uniform(*cols: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) that depends on the key columns only, so any partitioning gives it again."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
+def hash_uniform(*keys: str, seed: int = 0) -> str:
+    """SQL text of a number in (0, 1) that depends on the keys only, so any partitioning gives it again."""
+    return f"((pmod(xxhash64({seed}, {', '.join(keys)}), {2**52}L) + 0.5D) / {float(2**52)!r}D)"
 
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
@@ -50,12 +36,12 @@ def rounded(df: DataFrame, keys: list[str], digits: int = 6, special: dict[str,
     special = special or {}
     out = []
     for f in df.schema.fields:
-        col = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if f.name in keys:
-            out.append(col.cast("bigint").alias(f.name) if isinstance(f.dataType, T.IntegralType) else col)
+            out.append(f"cast({name} as bigint) AS {name}" if isinstance(f.dataType, T.IntegralType) else name)
         elif isinstance(f.dataType, (T.NumericType, T.BooleanType)):
             d = special.get(f.name, digits)
-            out.append(F.round(col.cast("double") + F.lit(0.037 * 10.0**-d), d).alias(f.name))
+            out.append(f"round(cast({name} as double) + {0.037 * 10.0**-d!r}D, {d}) AS {name}")
         else:
-            out.append(col)
-    return df.select(*out)
+            out.append(name)
+    return df.selectExpr(*out)

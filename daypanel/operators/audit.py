@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,19 +13,18 @@ def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], by: list[s
     """Per column the number of cells that differ between two tables with the same keys, plus lone keys."""
     names = [c for c in full.columns if c not in keys]
     both = full.alias("f").join(cut.alias("c"), keys, "full_outer")
-    a, b = (lambda n: F.col(f"f.`{n}`")), (lambda n: F.col(f"c.`{n}`"))
-    lone = a(names[0]).isNull() != b(names[0]).isNull()
 
-    def differs(n: str) -> Column:
-        return (F.abs(a(n) - b(n)) > atol + rtol * F.abs(b(n))) | (a(n).isNull() != b(n).isNull())
+    def differs(n: str) -> str:
+        a, b = f"f.`{n}`", f"c.`{n}`"
+        return f"(abs({a} - {b}) > {atol!r}D + {rtol!r}D * abs({b}) OR ({a} IS NULL) <> ({b} IS NULL))"
 
+    lone = f"(f.`{names[0]}` IS NULL) <> (c.`{names[0]}` IS NULL)"
+    found = {"lone_keys": lone} | {n: differs(n) for n in names}
     counts = both.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.coalesce(F.sum(lone.cast("long")), F.lit(0)).alias("lone_keys"),
-        *[F.coalesce(F.sum(differs(n).cast("long")), F.lit(0)).alias(n) for n in names],
+        F.count(F.lit(1)).alias("cells"), *[F.expr(f"count(CASE WHEN {e} THEN 1 END) AS `{n}`") for n, e in found.items()]
     )
-    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("differing")) for n in names])
-    return counts.select(*by, "cells", "lone_keys", F.inline(rows))
+    rows = ", ".join(f"struct('{n}' AS feature, `{n}` AS differing)" for n in names)
+    return counts.selectExpr(*by, "cells", "lone_keys", f"inline(array({rows}))")
 
 
 def look_ahead(panel: DataFrame, anchor: int, make: Callable[[DataFrame, list[int]], DataFrame], **tol) -> DataFrame:

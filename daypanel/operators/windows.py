@@ -12,10 +12,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import geometric_level, positive
+from ..functions.text import mean, named
 
 HALF_LIVES = (7, 30, 90)
 POPULATION_DAYS = 30
@@ -46,14 +46,20 @@ def ahead(days: int) -> Span:
     return Span(-days, -1)
 
 
+HISTORY = "(PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 class Plan:
-    """Names and collects the aggregates that a set of feature expressions reads."""
+    """Names and collects the aggregates that a set of feature expressions reads.
+
+    Each method returns SQL text that stands for the finished aggregate.
+    """
 
     def __init__(self, n_days: int, floor_days: int | None = None):
         self.n_days = n_days
         self.floor_days = floor_days
-        self.sums: dict[str, tuple[Column, Span]] = {}
-        self.life: dict[str, Column] = {}
+        self.sums: dict[str, tuple[str, Span]] = {}
+        self.life: dict[str, str] = {}
         self.needs_own_age = False
         self.oldest = POPULATION_DAYS - 1
         self.furthest = 0
@@ -64,51 +70,47 @@ class Plan:
             return span
         return Span(span.young, min(span.old, self.floor_days - 1))
 
-    def _sum(self, name: str, value: Column, span: Span) -> Column:
+    def _sum(self, name: str, value: str, span: Span) -> str:
         span = self._cut(span)
         if span.old < span.young:
-            return F.lit(0.0)
+            return "0D"
         key = f"{name}|{span.young}|{span.old}"
         self.sums[key] = (value, span)
         self.oldest = max(self.oldest, span.old)
         self.furthest = max(self.furthest, -span.young)
-        return F.coalesce(F.col(f"`{key}`"), F.lit(0.0))
-
-    def total(self, col: str, span: Span) -> Column:
-        return self._sum(col, F.col(col), span)
+        return f"`{key}`"
 
-    def squares(self, col: str, span: Span) -> Column:
-        return self._sum(f"{col}^2", F.col(col) * F.col(col), span)
+    def total(self, col: str, span: Span) -> str:
+        return self._sum(col, col, span)
 
-    def days(self, span: Span) -> Column:
-        return self._sum("days", F.lit(1.0), span)
+    def squares(self, col: str, span: Span) -> str:
+        return self._sum(f"{col}^2", f"{col} * {col}", span)
 
-    def buys(self, span: Span) -> Column:
-        return self._sum("buy", F.col("buy"), span)
+    def days(self, span: Span) -> str:
+        return self._sum("days", "1D", span)
 
-    def empties(self, span: Span) -> Column:
-        return self._sum("empty", F.col("empty"), span)
+    def buys(self, span: Span) -> str:
+        return self._sum("buy", "buy", span)
 
-    def _mark(self, which: str) -> tuple[str, Column]:
-        return {"days": ("days", F.lit(1.0)), "buy": ("buy", F.col("buy")), "gmv": ("gmv", F.col("gmv"))}[which]
+    def empties(self, span: Span) -> str:
+        return self._sum("empty", "empty", span)
 
-    def mass_age(self, which: str, span: Span) -> Column:
+    def mass_age(self, which: str, span: Span) -> str:
         """Mean age of activity or value inside the window, -1 where there is none."""
-        name, v = self._mark(which)
-        mass = self._sum(name, v, span)
-        moment = self._sum(f"{name}*age", v * F.col("age"), span)
-        return F.when(mass > 0, moment / F.greatest(mass, F.lit(1e-9)) - span.young).otherwise(-1.0)
+        v = "1D" if which == "days" else which
+        mass, moment = self._sum(which, v, span), self._sum(f"{which}*age", f"{v} * age", span)
+        return f"CASE WHEN {mass} > 0 THEN {moment} / greatest({mass}, 1e-9) - {span.young} ELSE -1D END"
 
-    def date_sd(self, which: str, span: Span) -> Column:
+    def date_sd(self, which: str, span: Span) -> str:
         """Spread of the active or buying dates; -1 with fewer than two of them."""
-        name, v = self._mark(which)
-        n = self._sum(name, v, span)
-        m1 = self._sum(f"{name}*age", v * F.col("age"), span) / F.greatest(n, F.lit(1.0))
-        m2 = self._sum(f"{name}*age2", v * F.col("age") * F.col("age"), span) / F.greatest(n, F.lit(1.0))
-        return F.when(n >= 2, F.sqrt(positive(m2 - m1 * m1))).otherwise(-1.0)
+        v = "1D" if which == "days" else which
+        n = self._sum(which, v, span)
+        m1 = f"({self._sum(f'{which}*age', f'{v} * age', span)} / greatest({n}, 1D))"
+        m2 = f"({self._sum(f'{which}*age2', f'{v} * age * age', span)} / greatest({n}, 1D))"
+        return f"CASE WHEN {n} >= 2 THEN sqrt(greatest({m2} - {m1} * {m1}, 0D)) ELSE -1D END"
 
     # -- whole history -------------------------------------------------------------------------
-    def _last_value(self, name: str, value: Column) -> Column:
+    def _latest(self, name: str, value: str) -> str:
         """A running quantity read at the user's latest row up to the anchor.
 
         Every member of the population has a row in the last 30 days, so lifetime quantities never
@@ -116,73 +118,59 @@ class Plan:
         value, a checked rule), so the latest one is the largest and a plain ``max`` reads it.
         """
         self.life[name] = value
-        return F.col(f"`{name}`")
-
-    def _running(self, value: Column) -> Column:
-        return F.sum(value).over(_history())
+        return f"`{name}`"
 
-    def life_total(self, col: str) -> Column:
+    def life_total(self, col: str) -> str:
         if self.floor_days is not None:
             return self.total(col, last(self.floor_days))
-        return self._last_value(f"life_{col}", self._running(F.col(col)))
+        return self._latest(f"life_{col}", f"sum({col}) OVER {HISTORY}")
 
-    def life_days(self) -> Column:
+    def life_days(self) -> str:
         if self.floor_days is not None:
             return self.days(last(self.floor_days))
-        return self._last_value("life_days", self._running(F.lit(1.0)))
+        return self._latest("life_days", f"cast(count(1) OVER {HISTORY} as double)")
 
-    def _span_cap(self, value: Column) -> Column:
-        """With a floor, day counts stop at the visible span (which is shorter at the panel start)."""
+    def _span_cap(self, value: str) -> str:
+        """With a floor after the panel start, day counts stop at the visible span."""
         if self.floor_days is None:
             return value
-        floored = F.col("anchor") - self.floor_days + 1 > 0
-        return F.when(floored, F.least(value, F.lit(float(self.floor_days)))).otherwise(value)
+        n = self.floor_days
+        return f"CASE WHEN anchor >= {n} THEN least({value}, {n}D) ELSE {value} END"
 
-    def recency(self) -> Column:
-        at = self._last_value("last_active", F.col("day").cast("double"))
-        return self._span_cap(F.col("anchor") - at)
+    def recency(self) -> str:
+        return self._span_cap(f"(anchor - {self._latest('last_active', 'cast(day as double)')})")
 
-    def recency_order(self) -> Column:
-        seen = F.max(F.when(F.col("ord") > 0, F.col("day"))).over(_history())
-        at = self._last_value("last_order", F.coalesce(seen, F.lit(-1)).cast("double"))
-        return self._span_cap(F.when(at < 0, F.lit(float(self.n_days))).otherwise(F.col("anchor") - at))
+    def recency_order(self) -> str:
+        seen = f"max(CASE WHEN ord > 0 THEN day END) OVER {HISTORY}"
+        at = self._latest("last_order", f"cast(coalesce({seen}, -1) as double)")
+        return self._span_cap(f"(CASE WHEN {at} < 0 THEN {self.n_days}D ELSE anchor - {at} END)")
 
-    def first_day(self) -> Column:
-        return self._last_value("first_active", F.min("day").over(_history()).cast("double"))
+    def first_day(self) -> str:
+        return self._latest("first_active", f"cast(min(day) OVER {HISTORY} as double)")
 
-    def tenure(self) -> Column:
-        return self._span_cap(F.col("anchor") - self.first_day())
+    def tenure(self) -> str:
+        return self._span_cap(f"(anchor - {self.first_day()})")
 
-    def decay(self, col: str, half_life: int) -> Column:
+    def decay(self, col: str, half_life: int) -> str:
         """Exponentially weighted sum over all days up to the anchor."""
-        weight = F.pow(F.lit(0.5), F.col("age") / float(half_life))
         if self.floor_days is not None:
-            return self._sum(f"{col}~{half_life}", F.col(col) * weight, last(self.floor_days))
-        grown = self._running(F.col(col) * F.pow(F.lit(2.0), F.col("day") / float(half_life)))
-        at = self._last_value(f"decay_{col}_{half_life}", grown)
-        return at * F.pow(F.lit(0.5), F.col("anchor") / float(half_life))
+            return self._sum(f"{col}~{half_life}", f"{col} * pow(0.5D, age / {half_life}D)", last(self.floor_days))
+        grown = f"sum({col} * pow(2D, day / {half_life}D)) OVER {HISTORY}"
+        return f"({self._latest(f'decay_{col}_{half_life}', grown)} * pow(0.5D, anchor / {half_life}D))"
 
-    def own_age_total(self, col: str, lo: int, hi: int) -> Column:
+    def own_age_total(self, col: str, lo: int, hi: int) -> str:
         """Lifetime total over the user's own days ``lo <= day - first day < hi``."""
         self.needs_own_age = True
-        inside = F.when(F.col("own_age").between(lo, hi - 1), F.col(col)).otherwise(0.0)
+        inside = f"CASE WHEN own_age BETWEEN {lo} AND {hi - 1} THEN {col} ELSE 0D END"
         name = f"own_{col}_{lo}_{hi}"
         if self.floor_days is not None:
             return self._sum(name, inside, last(self.floor_days))
-        return self._last_value(name, self._running(inside))
+        return self._latest(name, f"sum({inside}) OVER {HISTORY}")
 
     # -- common compounds ----------------------------------------------------------------------
-    def geo3(self) -> Column:
-        return geometric_level([self.total("gmv", block(k)) for k in range(3)])
-
-    def population(self) -> Column:
-        """At least one active day in the 30 days up to the anchor (the floor does not touch it)."""
-        self.sums["__recent"] = (F.lit(1.0), last(POPULATION_DAYS))
-        return F.coalesce(F.col("__recent"), F.lit(0.0)) > 0
-
-
-def _history():
-    return Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    def geo3(self) -> str:
+        """The naive level: three 30-day blocks averaged as logs."""
+        return f"expm1({mean([f'log1p({self.total("gmv", block(k))})' for k in range(3)])})"
 
 
 def attach_anchors(panel: DataFrame, anchors: list[int], oldest: int, furthest: int = 0) -> DataFrame:
@@ -202,24 +190,27 @@ def attach_anchors(panel: DataFrame, anchors: list[int], oldest: int, furthest:
 
 
 def aggregate(panel: DataFrame, anchors: list[int], plan: Plan) -> DataFrame:
-    """One row per (anchor, user) of the population, holding every aggregate the plan asked for."""
-    plan.population()
+    """One row per (anchor, user) of the population, holding every aggregate the plan asked for.
+
+    The population rule, an active day in the 30 days up to the anchor, is part of the same pass.
+    """
     if plan.needs_own_age:
-        panel = panel.withColumn("own_age", F.col("day") - F.min("day").over(_history()))
+        panel = panel.selectExpr("*", f"day - min(day) OVER {HISTORY} AS own_age")
     if plan.life:
-        panel = panel.withColumns(plan.life)
+        panel = panel.selectExpr("*", *named(plan.life, cast=None))
     rows = attach_anchors(panel, anchors, plan.oldest, plan.furthest)
-    aggs = [
-        F.sum(F.when(F.col("age").between(s.young, s.old), v)).alias(name) for name, (v, s) in plan.sums.items()
-    ]
-    aggs += [F.max(F.when(F.col("age") >= 0, F.col(name))).alias(name) for name in plan.life]
-    return rows.groupBy("anchor", "user_id").agg(*aggs).filter(plan.population())
+    aggs = {"__seen": "min(CASE WHEN age >= 0 THEN age END)"}
+    aggs |= {
+        name: f"sum(CASE WHEN age BETWEEN {s.young} AND {s.old} THEN {v} ELSE 0D END)" for name, (v, s) in plan.sums.items()
+    }
+    aggs |= {name: f"max(CASE WHEN age >= 0 THEN `{name}` END)" for name in plan.life}
+    out = rows.groupBy("anchor", "user_id").agg(*[F.expr(e) for e in named(aggs, cast=None)])
+    return out.filter(F.col("__seen") < POPULATION_DAYS)
 
 
-def features(panel: DataFrame, anchors: list[int], plan: Plan, columns: dict[str, Column]) -> DataFrame:
+def features(panel: DataFrame, anchors: list[int], plan: Plan, columns: dict[str, str]) -> DataFrame:
     """Project named expressions, written against ``plan``, for the population of each anchor."""
-    wide = aggregate(panel, anchors, plan)
-    return wide.select("anchor", "user_id", *[c.cast("double").alias(n) for n, c in columns.items()])
+    return aggregate(panel, anchors, plan).selectExpr("anchor", "user_id", *named(columns))
 
 
 def target(panel: DataFrame, anchors: list[int], n_days: int, horizon: int = 30) -> DataFrame:
