@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features", "data", "folds", "channels", "metrics", "blending")
+MODULES = ("features", "data", "folds", "channels", "metrics", "blending", "shape")
 
 
 def load():

@@ -1 +1,461 @@
-SHAPE_BLOCKS = {}
+"""Statistics of the shape of each user's daily series in the windows before an anchor.
+
+A series is sparse: most days are zero. Every day with a value, and its two neighbours, becomes one
+event; sums over events in a window give moments, trends, autocorrelations, runs and sign changes of
+the zero-filled series without ever writing the zeros. Order statistics read the sorted non-zero
+values and count the zeros. Only spectra, the weekly decomposition and one normality distance are
+computed on arrays, in Arrow batches.
+
+Events are derived within users, so the only shuffle is the one that clustered the panel.
+"""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import series
+from ..functions.text import mean, named
+from .windows import POPULATION_DAYS, attach_anchors
+
+KEYS = ["anchor", "user_id", "metric", "w", "n"]
+METRICS = ("gmv", "ord")
+LAGS = range(1, 15)
+
+# Window lengths per block, and the shortest series a block accepts.
+TSFEAT_WINDOWS, TSFRESH_WINDOWS, FCAST_WINDOWS = (30, 90), (30, 90, 365), (90, 365)
+SBC_WINDOWS = (7, 14, 30, 60, 90, 180, 365)
+SHORTEST = {"tsfeat": 1, "tsfresh": 30, "sbc": 8, "fcast": 28}
+
+# The statistics of each family.
+SBC_FAMILIES = {
+    "sbcshape": ["trendchangerate", "numtrendchanges", "zigzagfreq", "fracup", "fracdown", "maxrunlength",
+                 "meanrunlength", "zerocross", "meanlast"],
+    "sbcmoment": ["mean", "std", "skew", "kurtosis", "mad", "cv", "energy", "rms", "fft", "jarquebera",
+                  "burstiness", "dutycycle"],
+    "sbcorder": ["q10", "q25", "median", "q75", "q90", "q99", "q19", "iqr", "interdecile", "max", "range",
+                 "trimmedmean", "trimmedstd", "winsorizedmean", "biweightmidvar", "gini"],
+    "sbcnorm": ["shapirofrancia", "andersondarling"],
+    "sbcspec": ["spectralentropy", "spectralflatness", "fftmaxfreq", "domfreqpower", "spectralrolloff"],
+    "sbcts": ["trendslope", "firsthalfmean", "secondhalfmean", "hurstexp", "autocorr1", "autocorr5", "autocorr7"],
+    "sbcent": ["histentropy"],
+}
+FCAST_FAMILIES = {
+    "fcomega": ["omega_raw", "omega_bounded"],
+    "fcstl": ["trendstr", "seasstr", "residshare"],
+    "fcshift": ["shift_lorentz", "shift_logq"],
+    "fctrans": ["transition", "selftransition"],
+    "fcacf": ["acf_abssum", "acf_argmax", "acf_max"],
+}
+TSFEAT = ["skew", "kurt", "trendslope", "autocorr1", "autocorr7", "weeklypower", "specentropy", "mad", "maxshare",
+          "dutycycle", "switches", "maxzerorun"]
+TSFRESH = ["c3", "timerev", "trendt", "arch7", "longstrike_above", "longstrike_below", "wavenergy1", "wavenergy2",
+           "wavenergy3", "pacf1"]
+
+
+def events(panel: DataFrame) -> DataFrame:
+    """Per user, metric and day near a value: the value, both neighbours, lagged values, earlier events.
+
+    Days with a row but no value are kept as well; they show who is in the population.
+    """
+    def side(metric: str, shift: int) -> str:
+        """What a value at ``day`` is to the event at ``day + shift``."""
+        part = {1: "prev", 0: "mid", -1: "next"}[shift]
+        cells = ", ".join(f"{metric if c == part else '0D'} AS {c}" for c in ("prev", "mid", "next"))
+        return f"struct('{metric}' AS metric, day + {shift} AS m, {cells}, {int(shift == 0)} AS here)"
+
+    sides = ", ".join(side(c, d) for c in METRICS for d in (-1, 0, 1))
+    near = panel.selectExpr("user_id", f"inline(array({sides}))").filter("here = 1 OR prev + next > 0")
+    rows = near.groupBy("user_id", "metric", "m").agg(*[F.sum(c).alias(c) for c in ("prev", "mid", "next")], F.max("here").alias("here"))
+    by = "PARTITION BY user_id, metric ORDER BY m"
+    rows = rows.selectExpr("*", "sign(mid - prev) <> sign(next - mid) AS turn")
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return rows.selectExpr(
+        "*",
+        f"max(CASE WHEN mid > 0 THEN m END) OVER ({by} {earlier}) AS value_before",
+        f"max(CASE WHEN turn THEN m END) OVER ({by} {earlier}) AS turn_before",
+        *[f"coalesce(sum(mid) OVER ({by} RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING), 0D) AS lag{k}" for k in LAGS],
+    )
+
+
+def in_windows(panel: DataFrame, anchors: list[int], windows) -> DataFrame:
+    """Events placed in each window: ``n`` days long, ``t`` the position from its first day.
+
+    Rows of the last 30 days stay in shorter windows with a negative position, so that a series of
+    nothing but zeros still has a group.
+    """
+    longest = max(max(windows), POPULATION_DAYS)
+    rows = attach_anchors(events(panel).withColumnRenamed("m", "day"), anchors, longest - 1)
+    sizes = ", ".join(map(str, windows))
+    rows = rows.selectExpr("*", f"explode(array({sizes})) AS w").selectExpr("*", "least(w, anchor + 1) AS n")
+    rows = rows.selectExpr("*", "n - 1 - age AS t").filter(f"t >= 0 OR age < {POPULATION_DAYS}")
+    return rows.selectExpr(
+        "*", "t >= 0 AS inside", "t BETWEEN 1 AND n - 2 AS inner",
+        "greatest(n - 1 - (anchor - value_before), -1) AS t_value", "greatest(n - 1 - (anchor - turn_before), 0) AS t_turn",
+    )
+
+
+def _sum(value: str, cond: str = "inside") -> str:
+    return f"sum(CASE WHEN {cond} THEN {value} ELSE 0D END)"
+
+
+def _count(cond: str) -> str:
+    return f"cast(count(CASE WHEN {cond} THEN 1 END) as double)"
+
+
+def _sums() -> dict[str, str]:
+    """Additive quantities of a window; unread ones are pruned by the optimizer."""
+    x = "mid"
+    out = {f"s{k}": _sum("*".join([x] * k)) for k in (1, 2, 3, 4)}
+    out |= {
+        "k": _count("inside AND mid > 0"),
+        "st": _sum("mid * (t - (n - 1) / 2D)"),
+        "half": _sum(x, "inside AND t < n div 2"),
+        "x_first": _sum(x, "t = 0"),
+        "x_last": _sum(x, "t = n - 1"),
+        "top": f"max(CASE WHEN inside THEN {x} ELSE 0D END)",
+        "ups": _count("t >= 1 AND mid > prev"),
+        "downs": _count("inside AND t <= n - 2 AND next < mid"),
+        "cross": _count("inner AND (mid - prev) * (next - mid) < 0"),
+        "turns": _count("inner AND turn"),
+        "turn_run": "coalesce(max(CASE WHEN inner AND turn THEN t - greatest(coalesce(t_turn, 0), 0) END), 0)",
+        "turn_last": "coalesce(max(CASE WHEN inner AND turn THEN t END), 0)",
+        "triple": _sum("prev * mid * next", "inner"),
+        "skewed": _sum("next * next * mid - mid * prev * prev", "inner"),
+        "switches": _count("t >= 1 AND (mid > 0) <> (prev > 0)"),
+        "zero_run": "max(CASE WHEN inside AND mid > 0 THEN t - coalesce(t_value, -1) - 1 END)",
+        "t_last": "max(CASE WHEN inside AND mid > 0 THEN t END)",
+        "wave_c": _sum("mid * cos(2 * pi() * round(n / 7D) * t / n)"),
+        "wave_s": _sum("mid * sin(2 * pi() * round(n / 7D) * t / n)"),
+        "wave_n": _sum("mid * (1 - 2 * (t % 2))"),
+        "sq7": _sum("mid * mid * lag7 * lag7", "t >= 7"),
+        "pts": "sort_array(collect_list(CASE WHEN inside AND mid > 0 THEN struct(t, mid AS x) END))",
+        "__here": f"max(CASE WHEN here = 1 AND age < {POPULATION_DAYS} THEN 1 ELSE 0 END)",
+    }
+    for k in LAGS:
+        out |= {
+            f"p{k}": _sum(f"mid * lag{k}", f"t >= {k}"),
+            f"a{k}": _sum(x, f"inside AND t < n - {k}"), f"b{k}": _sum(x, f"t >= {k}"),
+            f"aa{k}": _sum("mid * mid", f"inside AND t < n - {k}"), f"bb{k}": _sum("mid * mid", f"t >= {k}"),
+        }
+    return out
+
+
+def windows_table(panel: DataFrame, anchors: list[int], windows, shortest: int) -> DataFrame:
+    """One row per (anchor, population user, metric, window) with every additive quantity and the points."""
+    rows = in_windows(panel, anchors, windows)
+    out = rows.groupBy(*KEYS).agg(*[F.expr(e) for e in named(_sums(), cast=None)])
+    out = out.filter(f"__here = 1 AND n >= {shortest}")
+    return out.selectExpr(
+        "*", "s1 / n AS mu", "greatest(s2 / n - (s1 / n) * (s1 / n), 0D) AS var",
+        "transform(pts, p -> p.x) AS xs", "transform(pts, p -> p.t) AS ts", "sort_array(transform(pts, p -> p.x)) AS v", "n - cast(k as int) AS z",
+    ).selectExpr("*", "CASE WHEN var > 1e-13 * s2 / n THEN sqrt(var) ELSE 0D END AS sd")
+
+
+# -- expressions over a window row ---------------------------------------------------------------------
+
+def _acf(k: int) -> str:
+    """Pearson correlation of the series with itself ``k`` days later."""
+    m = f"(n - {k})"
+    den = f"sqrt(greatest(aa{k} - a{k} * a{k} / {m}, 0D) * greatest(bb{k} - b{k} * b{k} / {m}, 0D))"
+    return f"CASE WHEN {den} > 1e-9 THEN (p{k} - a{k} * b{k} / {m}) / {den} ELSE 0D END"
+
+
+def _global_acf(pair: str, mu: str, head: str, tail: str, var: str, k: int) -> str:
+    """Autocorrelation with the mean and variance of the whole series."""
+    num = f"({pair} - {mu} * ({head} + {tail}) + (n - {k}) * {mu} * {mu})"
+    return f"CASE WHEN {var} > 1e-12 THEN {num} / greatest((n - {k}) * {var}, 1e-12) ELSE 0D END"
+
+
+_M3 = "(s3 / n - 3 * mu * s2 / n + 2 * mu * mu * mu)"
+_M4 = "(s4 / n - 4 * mu * s3 / n + 6 * mu * mu * s2 / n - 3 * mu * mu * mu * mu)"
+SKEW = f"CASE WHEN sd > 0 THEN {_M3} / (sd * sd * sd) ELSE 0D END"
+KURT = f"CASE WHEN sd > 0 THEN {_M4} / (sd * sd * sd * sd) - 3 ELSE -3D END"
+SLOPE = "st / (n * (n * n - 1D) / 12)"
+# Deviations above and below the mean are equal, so one side is enough.
+MAD = "2 * aggregate(filter(v, x -> x > mu), 0D, (a, x) -> a + (x - mu)) / n"
+ABOVE = "size(filter(v, x -> x > mu))"
+
+
+def _at(i: str, values: str = "v", zeros: str = "z") -> str:
+    """The i-th smallest value (from 0) of a series with ``zeros`` zero days."""
+    return f"(CASE WHEN {i} < {zeros} THEN 0D ELSE element_at({values}, cast({i} - {zeros} + 1 as int)) END)"
+
+
+def _index(q: float) -> str:
+    return f"cast({q!r}D * (n - 1) as int)"
+
+
+def _quantile(q: float, values: str, zeros: str, n: str) -> str:
+    """Linear quantile of a zero-filled series."""
+    h = f"({q!r}D * ({n} - 1))"
+    lo, hi = f"cast(floor({h}) as int)", f"cast(least(floor({h}) + 1, {n} - 1) as int)"
+    a, b = _at(lo, values, zeros), _at(hi, values, zeros)
+    return f"({a} + ({b} - {a}) * ({h} - floor({h})))"
+
+
+def _moments() -> dict[str, str]:
+    return {
+        "mean": "mu", "std": "sd", "skew": SKEW, "kurtosis": KURT, "mad": MAD, "cv": "abs(sd / (mu + 1e-9))",
+        "energy": "s2", "rms": "sqrt(s2 / n)", "fft": "n * s2",
+        "jarquebera": f"n / 6D * (pow({SKEW}, 2) + pow({KURT}, 2) / 4)",
+        "burstiness": "(sd - mu) / (sd + mu + 1e-9)", "dutycycle": f"{ABOVE} / n",
+    }
+
+
+def _shape() -> dict[str, str]:
+    return {
+        "trendchangerate": "turns / (n - 2 + 1e-9)", "numtrendchanges": "turns", "zigzagfreq": "turns / (n - 2)",
+        "fracup": "ups / (n - 1)", "fracdown": "downs / (n - 1)", "maxrunlength": "turn_run",
+        "meanrunlength": "turn_last / greatest(turns, 1D)", "zerocross": "cross", "meanlast": "(x_last - x_first) / (n - 1)",
+    }
+
+
+def _order() -> dict[str, str]:
+    q = {p: _at(_index(p)) for p in (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)}
+    lo, hi = _index(0.10), _index(0.90)
+    part = f"slice(v, greatest({lo} - z, 0) + 1, greatest({hi} - greatest({lo}, z) + 1, 0))"
+    total = f"aggregate({part}, 0D, (a, x) -> a + x)"
+    width = f"({hi} - {lo} + 1)"
+    tm = f"({total} / {width})"
+    around = f"(aggregate({part}, 0D, (a, x) -> a + (x - {tm}) * (x - {tm})) + ({width} - size({part})) * {tm} * {tm})"
+    low, high = q[0.05], q[0.95]
+    wins = f"(aggregate(v, 0D, (a, x) -> a + least(greatest(x, {low}), {high})) + z * {low}) / n"
+    dev = f"sort_array(concat(array_repeat({q[0.5]}, z), transform(v, x -> abs(x - {q[0.5]}))))"
+    middle = f"(element_at({dev}, cast((n + 1) div 2 as int)) + element_at({dev}, cast(n div 2 + 1 as int))) / 2"
+    return {
+        "q10": q[0.1], "q25": q[0.25], "median": q[0.5], "q75": q[0.75], "q90": q[0.9], "q99": q[0.99],
+        "q19": f"{q[0.9]} - {q[0.01]}", "iqr": f"{q[0.75]} - {q[0.25]}", "interdecile": f"{q[0.9]} - {q[0.1]}",
+        "max": "top", "range": f"top - {_at('0')}", "trimmedmean": tm, "trimmedstd": f"sqrt({around} / {width})",
+        "winsorizedmean": wins,
+        # With more than half of the days zero, the median distance from the median is zero.
+        "biweightmidvar": f"CASE WHEN 2 * z > n + 1 THEN 0D ELSE pow(1.4826D * {middle}, 2) END",
+        "gini": "2 * aggregate(transform(v, (x, i) -> (z + i + 1) * x), 0D, (a, x) -> a + x) / (n * greatest(s1, 1e-9)) - (n + 1D) / n",
+    }
+
+
+def _series() -> dict[str, str]:
+    return {
+        "trendslope": SLOPE, "firsthalfmean": "half / (n div 2)", "secondhalfmean": "(s1 - half) / (n - n div 2)",
+        "hurstexp": "ln(greatest(sqrt(greatest(walk.q / n - pow(walk.s / n, 2), 0D)), 1e-9)) / ln(n + 1e-9)",
+        **{f"autocorr{k}": _acf(k) for k in (1, 5, 7)},
+    }
+
+
+# Sum and sum of squares of the running deviation c[t] = sum(x[0..t]) - (t + 1) mu over all days: over a
+# stretch t = a..b with a constant running sum, both follow from sums of (t + 1) and (t + 1)^2.
+_TRI = "(({b} + 1D) * ({b} + 2) / 2 - {a} * ({a} + 1D) / 2)"
+_PYR = "(({b} + 1D) * ({b} + 2) * (2 * {b} + 3) / 6 - {a} * ({a} + 1D) * (2 * {a} + 1) / 6)"
+
+
+def _walk() -> str:
+    add = lambda a, b, c: (
+        f"w.s + ({b} - {a} + 1) * {c} - mu * {_TRI.format(a=a, b=b)}",
+        f"w.q + ({b} - {a} + 1) * {c} * {c} - 2 * {c} * mu * {_TRI.format(a=a, b=b)} + mu * mu * {_PYR.format(a=a, b=b)}",
+    )
+    s1, q1 = add("w.at", "(p.t - 1)", "w.run")
+    s2, q2 = add("w.at", "(n - 1)", "w.run")
+    return (
+        "aggregate(pts, named_struct('at', 0, 'run', 0D, 's', 0D, 'q', 0D), "
+        f"(w, p) -> named_struct('at', p.t, 'run', w.run + p.x, 's', {s1}, 'q', {q1}), "
+        f"w -> named_struct('s', {s2}, 'q', {q2}))"
+    )
+
+
+def _entropy() -> dict[str, str]:
+    low = _at("0")
+    bin_of = lambda x: f"least(greatest(cast(({x} - {low}) / greatest(top - {low}, 1e-9) * 10 as int), 0), 9)"
+    count = f"(size(filter(v, x -> {bin_of('x')} = b)) + CASE WHEN b = {bin_of('0D')} THEN z ELSE 0 END) / cast(n as double)"
+    shares = f"transform(sequence(0, 9), b -> {count})"
+    return {"histentropy": f"-aggregate({shares}, 0D, (a, p) -> a + p * ln(greatest(p, 1e-12)))"}
+
+
+def normal_scores(lengths: list[int]) -> list[tuple[int, list[float], float]]:
+    """Centred normal order scores per series length: they depend on nothing else."""
+    out = []
+    for n in sorted(set(lengths)):
+        m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        mid = sum(m) / n
+        m = [x - mid for x in m]
+        out.append((n, m, sum(x * x for x in m)))
+    return out
+
+
+def sbc_table(panel: DataFrame, anchors: list[int], want: list[str], windows=SBC_WINDOWS) -> DataFrame:
+    """Chosen statistics of the 52-statistic set, one row per (anchor, user, metric, window)."""
+    table = windows_table(panel, anchors, windows, SHORTEST["sbc"])
+    exprs = _shape() | _moments() | _order() | _series() | _entropy()
+    if "hurstexp" in want:
+        table = table.selectExpr("*", f"{_walk()} AS walk")
+    if set(want) & set(SBC_FAMILIES["sbcspec"]):
+        table = table.withColumn("_f", series.spectral("ts", "xs", "n"))
+        exprs |= {n: f"_f.{n}" for n in SBC_FAMILIES["sbcspec"]}
+    if "andersondarling" in want:
+        table = table.withColumn("_ad", series.normal_misfit("v", "n", "mu", "sd"))
+        exprs["andersondarling"] = "_ad"
+    if "shapirofrancia" in want:
+        lengths = [min(w, a + 1) for w in windows for a in anchors if min(w, a + 1) >= SHORTEST["sbc"]]
+        scores = panel.sparkSession.createDataFrame(normal_scores(lengths), "n int, scores array<double>, score_sum double")
+        table = table.join(F.broadcast(scores), "n")  # a row per window length
+        fit = "aggregate(transform(v, (x, i) -> x * element_at(scores, z + i + 1)), 0D, (a, x) -> a + x)"
+        exprs["shapirofrancia"] = f"pow({fit}, 2) / greatest(n * var * score_sum, 1e-12)"
+    return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in want}))
+
+
+def tsfeat_table(panel: DataFrame, anchors: list[int], windows=TSFEAT_WINDOWS) -> DataFrame:
+    table = windows_table(panel, anchors, windows, SHORTEST["tsfeat"]).withColumn("_f", series.spectral("ts", "xs", "n"))
+    # Power at the 7-day period over all power without the constant, which Parseval gives.
+    power = "(n * n * var + CASE WHEN n % 2 = 0 THEN wave_n * wave_n ELSE 0D END) / 2"
+    exprs = {
+        "skew": SKEW, "kurt": KURT, "trendslope": SLOPE, "autocorr1": _acf(1), "autocorr7": _acf(7),
+        "weeklypower": f"(pow(wave_c, 2) + pow(wave_s, 2)) / greatest({power}, 1e-9)",
+        "specentropy": "_f.specentropy", "mad": MAD, "maxshare": "top / greatest(s1, 1e-9)", "dutycycle": "k / n",
+        "switches": "switches", "maxzerorun": "greatest(coalesce(zero_run, 0), coalesce(n - 1 - t_last, n))",
+    }
+    return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in TSFEAT}))
+
+
+def distance_30_60(panel: DataFrame, anchors: list[int], metric: str = "gmv") -> DataFrame:
+    """How far the daily values of the last 30 days are from those of the 60 days before."""
+    rows = attach_anchors(panel.select("user_id", "day", F.col(metric).alias("x")), anchors, 89)
+    part = lambda lo, hi: f"sort_array(collect_list(CASE WHEN age BETWEEN {lo} AND {hi} AND x > 0 THEN x END))"
+    out = rows.groupBy("anchor", "user_id").agg(
+        F.expr(f"{part(0, 29)} AS va"), F.expr(f"{part(30, 89)} AS vb"), F.min("age").alias("age")
+    ).filter(f"age < {POPULATION_DAYS}")
+    out = out.selectExpr(
+        "*", "least(30, anchor + 1) AS na", "least(60, greatest(anchor - 29, 0)) AS nb"
+    ).filter("nb > 0").selectExpr("*", "na - size(va) AS za", "nb - size(vb) AS zb")
+    gap = lambda q: f"(log1p({_quantile(q, 'va', 'za', 'na')}) - log1p({_quantile(q, 'vb', 'zb', 'nb')}))"
+    gaps = mean([f"abs({gap(k / 10)})" for k in range(11)])
+    return out.selectExpr("anchor", "user_id", f"{gaps} AS distshift_{metric}_30v60", f"{gap(0.9)} AS distshift_q90_{metric}_30v60")
+
+
+def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS, complexity: bool = False) -> DataFrame:
+    table = windows_table(panel, anchors, windows, SHORTEST["tsfresh"])
+    tt = "(n * (n * n - 1D) / 12)"
+    left = f"greatest(n * var - st * st / {tt}, 0D)"
+    se = f"sqrt(greatest({left} / (n - 2) / {tt}, 1e-18))"
+    # Longest stretch above the mean, and longest stretch of everything else between such days.
+    strikes = (
+        "aggregate(filter(pts, p -> p.x > mu), named_struct('t', -1, 'run', 0, 'up', 0, 'down', 0), "
+        "(s, p) -> named_struct('t', p.t, 'run', CASE WHEN p.t = s.t + 1 THEN s.run + 1 ELSE 1 END, "
+        "'up', greatest(s.up, CASE WHEN p.t = s.t + 1 THEN s.run + 1 ELSE 1 END), 'down', greatest(s.down, p.t - s.t - 1)), "
+        "s -> named_struct('up', s.up, 'down', greatest(s.down, cast(n as int) - 1 - s.t)))"
+    )
+    table = table.selectExpr("*", f"{strikes} AS strike")
+
+    def energy(octave: int) -> str:
+        k, h = 2**octave, 2 ** (octave - 1)
+        # Signed values by block and place; the difference of the two halves adds them up.
+        signed = f"transform(filter(pts, p -> p.t < n div {k} * {k}), p -> named_struct('b', p.t div {k}, 'i', p.t % {h}, 'x', CASE WHEN p.t % {k} < {h} THEN p.x ELSE -p.x END))"
+        blocks = f"array_distinct(transform({signed}, e -> e.b))"
+        place = " + ".join(f"pow(aggregate(filter(es, e -> e.b = b AND e.i = {i}), 0D, (s, e) -> s + e.x), 2)" for i in range(h))
+        return f"aggregate(transform(array({signed}), es -> aggregate({blocks}, 0D, (a, b) -> a + sqrt({place}))), 0D, (a, x) -> a + x) / greatest(n div {k}, 1)"
+
+    exprs = {
+        "c3": "triple / (n - 2)", "timerev": "skewed / (n - 2)", "trendt": f"{SLOPE} / greatest({se}, 1e-9)",
+        "arch7": _global_acf("sq7", "(s2 / n)", "aa7", "bb7", "greatest(s4 / n - s2 / n * (s2 / n), 0D)", 7),
+        "longstrike_above": "strike.up", "longstrike_below": "strike.down",
+        "pacf1": _global_acf("p1", "mu", "a1", "b1", "var", 1),
+        **{f"wavenergy{o}": energy(o) for o in (1, 2, 3)},
+    }
+    names = list(TSFRESH)
+    if complexity:
+        table = table.withColumn("_lz", series.distinct_words("ts", "xs", "n"))
+        exprs["lempelziv"] = "_lz"
+        names.append("lempelziv")
+    return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in names}))
+
+
+def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=FCAST_WINDOWS) -> DataFrame:
+    """Predictability and series traits, one row per (anchor, user, metric, window)."""
+    table = windows_table(panel, anchors, windows, SHORTEST["fcast"])
+    exprs: dict[str, str] = {}
+    if set(want) & set(FCAST_FAMILIES["fcomega"]):
+        table = table.withColumn("_f", series.spectral("ts", "xs", "n"))
+        exprs |= {n: f"_f.{n}" for n in FCAST_FAMILIES["fcomega"]}
+    if set(want) & set(FCAST_FAMILIES["fcstl"]):
+        table = table.withColumn("_d", series.decomposed("ts", "xs", "n", F.expr("anchor - n + 1")))
+        exprs |= {n: f"_d.{n}" for n in FCAST_FAMILIES["fcstl"]}
+    if set(want) & set(FCAST_FAMILIES["fcshift"]):
+        half = "cast(n div 2 as int)"
+        table = table.selectExpr(
+            "*", f"{half} AS na", f"cast(n as int) - {half} AS nb",
+            f"sort_array(transform(filter(pts, p -> p.t < {half}), p -> p.x)) AS va",
+            f"sort_array(transform(filter(pts, p -> p.t >= {half}), p -> p.x)) AS vb",
+        ).selectExpr("*", "na - size(va) AS za", "nb - size(vb) AS zb")
+        table = table.selectExpr(
+            "*",
+            f"array({', '.join(_quantile(i / 8, 'va', 'za', 'na') for i in range(9))}) AS qa",
+            f"array({', '.join(_quantile(i / 8, 'vb', 'zb', 'nb') for i in range(9))}) AS qb",
+        )
+        exprs["shift_lorentz"] = "aggregate(zip_with(qa, qb, (a, b) -> log1p(abs(a - b))), 0D, (s, x) -> s + x)"
+        exprs["shift_logq"] = "aggregate(zip_with(qa, qb, (a, b) -> abs(log1p(a) - log1p(b))), 0D, (s, x) -> s + x) / 9"
+    if set(want) & set(FCAST_FAMILIES["fctrans"]):
+        table = table.selectExpr("*", f"{_quantile(1 / 3, 'v', 'z', 'n')} AS low", f"{_quantile(2 / 3, 'v', 'z', 'n')} AS high")
+        level = "cast(p.x > low as int) + cast(p.x > high as int)"
+        table = table.selectExpr("*", f"filter(transform(pts, p -> named_struct('t', p.t, 's', {level})), e -> e.s > 0) AS sy")
+        # A pair is counted where its second day has a symbol, or where its first has and the second has not.
+        table = table.selectExpr(
+            "*",
+            "transform(filter(transform(sy, (e, i) -> named_struct('t', e.t, 'c', CASE WHEN i > 0 AND sy[i - 1].t = e.t - 1 THEN 3 * sy[i - 1].s + e.s ELSE e.s END)), e -> e.t >= 1), e -> e.c) AS into_",
+            "transform(filter(transform(sy, (e, i) -> named_struct('t', e.t, 'c', 3 * e.s, 'free', i = size(sy) - 1 OR sy[i + 1].t > e.t + 1)), e -> e.t <= n - 2 AND e.free), e -> e.c) AS out_",
+        ).selectExpr("*", "concat(into_, out_) AS codes")
+        cell = "(size(filter(codes, c -> c = i)) + CASE WHEN i = 0 THEN n - 1 - size(codes) ELSE 0 END) / greatest(n - 1D, 1D)"
+        table = table.selectExpr("*", f"transform(sequence(0, 8), i -> {cell}) AS cells")
+        exprs["transition"] = "aggregate(cells, 0D, (s, x) -> s + x * x) / 9 - pow(aggregate(cells, 0D, (s, x) -> s + x) / 9, 2)"
+        exprs["selftransition"] = "cells[0] + cells[4] + cells[8]"
+    if set(want) & set(FCAST_FAMILIES["fcacf"]):
+        table = table.selectExpr("*", f"array({', '.join(_acf(k) for k in LAGS)}) AS acf")
+        exprs["acf_abssum"] = "aggregate(acf, 0D, (s, x) -> s + abs(x))"
+        exprs["acf_argmax"] = "array_position(acf, array_max(acf))"
+        exprs["acf_max"] = "array_max(acf)"
+    return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in want}))
+
+
+def spread_out(table: DataFrame, names: dict[str, str], windows) -> DataFrame:
+    """One column per statistic, metric and window; ``names`` maps statistic to its column prefix."""
+    tags = [f"{m}_{w}" for m in METRICS for w in windows]
+    stats = [c for c in table.columns if c in names]
+    tall = table.withColumn("tag", F.concat_ws("_", "metric", F.col("w").cast("string")))
+    wide = tall.groupBy("anchor", "user_id").pivot("tag", tags).agg(*[F.first(s).alias(s) for s in stats])
+    return wide.selectExpr("anchor", "user_id", *[f"`{t}_{s}` AS `{names[s]}{s}_{t}`" for t in tags for s in stats])
+
+
+def _sbc_block(want: list[str]):
+    def make(panel, anchors, n_days):
+        windows = [w for w in SBC_WINDOWS if w >= SHORTEST["sbc"]]
+        return spread_out(sbc_table(panel, anchors, want, windows), {s: "sbc_" for s in want}, windows)
+
+    return make
+
+
+def _fcast_block(want: list[str]):
+    return lambda panel, anchors, n_days: spread_out(
+        fcast_table(panel, anchors, want), {s: "fc_" for s in want}, FCAST_WINDOWS)
+
+
+def _tsfeat_block(panel, anchors, n_days):
+    wide = spread_out(tsfeat_table(panel, anchors), {s: "" for s in TSFEAT}, TSFEAT_WINDOWS)
+    return wide.join(distance_30_60(panel, anchors), ["anchor", "user_id"], "left")
+
+
+def _tsfresh_block(panel, anchors, n_days):
+    return spread_out(tsfresh_table(panel, anchors), {s: "tf_" for s in TSFRESH}, TSFRESH_WINDOWS)
+
+
+SBC_ALL = [s for names in SBC_FAMILIES.values() for s in names]
+SBC_NOMOMENT = [s for s in SBC_ALL if s not in SBC_FAMILIES["sbcmoment"]]
+FCAST_ALL = [s for names in FCAST_FAMILIES.values() for s in names]
+
+SHAPE_BLOCKS = {
+    "tsfeat": _tsfeat_block,
+    "tsfresh": _tsfresh_block,
+    "sbc": _sbc_block(SBC_ALL),
+    "sbcnomoment": _sbc_block(SBC_NOMOMENT),
+    "fcast": _fcast_block(FCAST_ALL),
+    **{f: _sbc_block(names) for f, names in SBC_FAMILIES.items()},
+    **{f: _fcast_block(names) for f, names in FCAST_FAMILIES.items()},
+}
