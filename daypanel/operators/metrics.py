@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log_pos
 from ..functions.ranking import running_totals, value_counts
+from ..functions.session import cut
 
 
 def squared_log_error(y: str, pred: str) -> Column:
@@ -74,7 +75,8 @@ def auc(df: DataFrame, by: list[str], score: str, label: Column) -> DataFrame:
         F.sum(F.col("pos") * middle).alias("r"), F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0")
     )
     value = (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))
-    return out.select(*by, value.alias("auc"))
+    both = (F.col("n1") > 0) & (F.col("n0") > 0)
+    return out.select(*by, F.when(both, value).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def calibrated(df: DataFrame, by: list[str], y_log: Column, m_log: Column) -> DataFrame:
@@ -117,7 +119,7 @@ def covariance_split(df: DataFrame, by: list[str], y_log: Column, m_log: Column)
     between = F.col("dl") * F.col("dm") * F.col("p") * (1 - F.col("p"))
     return out.select(
         *by, "total", within.alias("within"), between.alias("between"),
-        (within / F.col("total")).alias("within_share"), (between / F.col("total")).alias("between_share"), "rho_buyers",
+        F.try_divide(within, "total").alias("within_share"), F.try_divide(between, "total").alias("between_share"), "rho_buyers",
     )
 
 
@@ -128,22 +130,19 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> D
     two ranks around every quantile are brought together.
     """
     ordered = running_totals(value_counts(df, by, value), by, [value], {"upto": F.col("n")})
-    wanted = F.array(*[F.lit(float(q)) for q in probs])
-    top = F.col("upto_all") - 1
-    at = F.transform(wanted, lambda q: F.struct(q.alias("q"), (q * top).alias("h")))
-    lo, hi = F.col("upto") - F.col("n"), F.col("upto") - 1
-    low = lambda r: F.floor(r["h"])
-    high = lambda r: F.least(F.floor(r["h"]) + 1, top)
-    near = F.filter(at, lambda r: low(r).between(lo, hi) | high(r).between(lo, hi))
-    rows = ordered.select(*by, F.col(value).alias("v"), lo.alias("lo"), hi.alias("hi"), top.alias("top"), F.explode(near).alias("r"))
-    h = F.col("r.h")
-    f, c = F.floor(h), F.least(F.floor(h) + 1, F.col("top"))
-    ends = rows.groupBy(*by, F.col("r.q").alias("q")).agg(
-        F.max(F.when(f.between(F.col("lo"), F.col("hi")), F.col("v"))).alias("a"),
-        F.max(F.when(c.between(F.col("lo"), F.col("hi")), F.col("v"))).alias("b"),
-        F.max(h - f).alias("t"),
+    rows = ordered.select(
+        *by, F.col(value).alias("v"), (F.col("upto") - F.col("n")).alias("lo"), (F.col("upto") - 1).alias("hi"),
+        (F.col("upto_all") - 1).alias("top"),
     )
-    return ends.select(*by, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("quantile"))
+    wanted = ", ".join(f"{float(q)!r}D" for q in probs)
+    rows = rows.selectExpr("*", f"explode(filter(array({wanted}), q -> q * top >= lo - 1 AND q * top < hi + 1)) AS q")
+    rows = rows.selectExpr("*", "floor(q * top) AS f", "least(floor(q * top) + 1, top) AS c")
+    ends = rows.groupBy(*by, "q").agg(
+        F.expr("max(CASE WHEN f BETWEEN lo AND hi THEN v END) AS a"),
+        F.expr("max(CASE WHEN c BETWEEN lo AND hi THEN v END) AS b"),
+        F.expr("max(q * top - f) AS t"),
+    )
+    return ends.selectExpr(*by, "q", "a + (b - a) * t AS quantile")
 
 
 def bin_edges(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
@@ -183,7 +182,8 @@ def look_up(df: DataFrame, table: DataFrame, by: list[str], x: str, name: str) -
 
 def with_oracles(oof: DataFrame, by: list[str], bins: int = 200) -> DataFrame:
     """Add to rows (y_log, m_log): ``z`` buyer, ``ghat`` size given the forecast, ``phat`` chance to buy."""
-    rows = oof.withColumn("z", (F.col("y_log") > 0).cast("double"))
+    # Read by five jobs below, so its lineage is cut once.
+    rows = cut(oof.withColumn("z", (F.col("y_log") > 0).cast("double")))
     size = binned_mean(rows.filter("z = 1"), by, "m_log", "y_log", bins)
     chance = binned_mean(rows, by, "m_log", "z", bins)
     rows = look_up(rows, size, by, "m_log", "ghat")
@@ -222,7 +222,7 @@ def payoff_curve(oof: DataFrame, by: list[str], lambdas=LAMBDAS, bins: int = 200
     lam = F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam")
     mixed = rows.select(*by, "y_log", "z", "m_log", "ghat", lam)
     mixed = mixed.withColumn("p_log", F.round((1 - F.col("lam")) * F.col("m_log") + F.col("lam") * F.col("z") * F.col("ghat"), 9))
-    keys = [*by, "lam"]
+    keys, mixed = [*by, "lam"], cut(mixed)
     plain = mixed.groupBy(*keys).agg(F.corr("y_log", "p_log").alias("rho"), _log_rmse("p_log").alias("rmsle"))
     out = plain.join(auc(mixed, keys, "p_log", F.col("z") == 1), keys)
     step = Window.partitionBy(*by).orderBy("lam")

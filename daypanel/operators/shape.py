@@ -64,7 +64,7 @@ def events(panel: DataFrame) -> DataFrame:
         """What a value at ``day`` is to the event at ``day + shift``."""
         part = {1: "prev", 0: "mid", -1: "next"}[shift]
         cells = ", ".join(f"{metric if c == part else '0D'} AS {c}" for c in ("prev", "mid", "next"))
-        return f"struct('{metric}' AS metric, day + {shift} AS m, {cells}, {int(shift == 0)} AS here)"
+        return f"struct('{metric}' AS metric, cast(day + {shift} as int) AS m, {cells}, {int(shift == 0)} AS here)"
 
     sides = ", ".join(side(c, d) for c in METRICS for d in (-1, 0, 1))
     near = panel.selectExpr("user_id", f"inline(array({sides}))").filter("here = 1 OR prev + next > 0")
@@ -416,12 +416,18 @@ def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=F
 
 
 def spread_out(table: DataFrame, names: dict[str, str], windows) -> DataFrame:
-    """One column per statistic, metric and window; ``names`` maps statistic to its column prefix."""
-    tags = [f"{m}_{w}" for m in METRICS for w in windows]
+    """One column per statistic, metric and window; ``names`` maps statistic to its column prefix.
+
+    The few series of a user are gathered in a fixed order and read by position. Arrow columns lose
+    the layout by user, so it is set once here and serves whatever joins the result.
+    """
+    tags = [(m, w) for m in METRICS for w in windows]
     stats = [c for c in table.columns if c in names]
-    tall = table.withColumn("tag", F.concat_ws("_", "metric", F.col("w").cast("string")))
-    wide = tall.groupBy("anchor", "user_id").pivot("tag", tags).agg(*[F.first(s).alias(s) for s in stats])
-    return wide.selectExpr("anchor", "user_id", *[f"`{t}_{s}` AS `{names[s]}{s}_{t}`" for t in tags for s in stats])
+    place = " ".join(f"WHEN metric = '{m}' AND w = {w} THEN {i}" for i, (m, w) in enumerate(tags))
+    packed = table.selectExpr("anchor", "user_id", f"struct(CASE {place} END AS i, {', '.join(stats)}) AS s")
+    wide = packed.repartition("user_id").groupBy("anchor", "user_id").agg(F.expr("array_sort(collect_list(s)) AS all"))
+    columns = {f"{names[c]}{c}_{m}_{w}": f"all[{i}].{c}" for i, (m, w) in enumerate(tags) for c in stats}
+    return wide.selectExpr("anchor", "user_id", *named(columns, cast=None))
 
 
 def _sbc_block(want: list[str]):

@@ -184,9 +184,9 @@ def attach_anchors(panel: DataFrame, anchors: list[int], oldest: int, furthest:
     start = [bisect_left(listed, d - furthest) for d in days]
     count = [bisect_right(listed, d + oldest) - i for d, i in zip(days, start)]
     fixed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-    at = lambda values: F.get(fixed(values), F.col("day"))
+    at = lambda values: F.get(fixed(values), F.col("day").cast("int"))
     seen_by = F.slice(fixed(listed), at([i + 1 for i in start]), at(count))
-    return panel.withColumn("anchor", F.explode(seen_by)).withColumn("age", F.col("anchor") - F.col("day"))
+    return panel.withColumn("anchor", F.explode(seen_by)).withColumn("age", F.col("anchor") - F.col("day").cast("int"))
 
 
 def aggregate(panel: DataFrame, anchors: list[int], plan: Plan) -> DataFrame:

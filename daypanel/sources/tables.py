@@ -37,6 +37,11 @@ def write_by(df: DataFrame, path: str, *columns: str) -> None:
     df.write.partitionBy(*columns).parquet(path)
 
 
+def save_panel(panel: DataFrame, table: str, buckets: int) -> None:
+    """Keep a daily panel bucketed by user: operators that read the table back need no shuffle at all."""
+    panel.write.mode("overwrite").bucketBy(buckets, "user_id").sortBy("user_id", "day").saveAsTable(table)
+
+
 def store_block(df: DataFrame, path: str, block: str) -> None:
     """Keep a feature block per anchor, so that later runs read it instead of computing it."""
     df.write.mode("append").partitionBy("anchor").parquet(f"{path}/block={block}")
