@@ -21,7 +21,7 @@ def slot_logs(members: DataFrame, slots: dict[str, list[str]]) -> DataFrame:
     used = F.col("member").isin([m for names in slots.values() for m in names])
     return members.groupBy("user_id").agg(
         *[mean(names).alias(slot) for slot, names in slots.items()],
-        (F.count_distinct(F.when(used, F.col("member"))) == size).alias("complete"),
+        (F.size(F.collect_set(F.when(used, F.col("member")))) == size).alias("complete"),
     )
 
 
