@@ -10,7 +10,7 @@ from ..functions.text import named
 from ..operators import channels as C
 from ..sources import panel as S
 from ..sources.panel import COLUMNS, FLAGS
-from .common import ORDER_RAW, event_days, order_days, out, query, sql_result
+from .common import ORDER_P, ORDER_RAW, event_days, order_days, out, query, sql_result
 from .data import DAY, GRID
 from .folds import BASE_CH, _B
 
@@ -33,7 +33,7 @@ def channel_query(name: str, body: str, make, ctes: str = GRID, **digits):
 
 def cols(parts: dict[str, str], source: str) -> str:
     frames = ", ".join(f"w{w} AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-                       for w in sorted({*WIN, 7, 30}))
+                       for w in sorted({*WIN, *C.WINDOWS}))
     listed = ",\n  ".join(f"{e} AS {n}" for n, e in parts.items())
     return f"""SELECT user_id, day, {listed} FROM {source}
 WINDOW so_far AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING), {frames}"""
@@ -204,3 +204,21 @@ channel_query("c16_subset", cols({n: _B[n] for n in ("gmv", "buy", "cart")}, "g"
               lambda rows, d: C.subset(C.base_channels(rows), ["gmv", "buy", "cart"]))
 channel_query("c17_crop", "SELECT user_id, day, gmv, ord FROM g WHERE day BETWEEN 16 AND 25",
               lambda rows, d: C.subset(C.crop(rows, 25, 10), ["gmv", "ord"]))
+
+
+# The default windows need a long history: the whole order panel, every user on every day, as user means.
+_ORDER_GRID = f"""{ORDER_P}, g AS (
+  SELECT u.user_id, d.day, CASE WHEN p.day IS NULL THEN 0 ELSE 1 END AS active,
+    {', '.join(f'CAST(coalesce(p.{c}, 0) AS DOUBLE) AS {c}' for c in [*COLUMNS.values(), 'buy'])}
+  FROM (SELECT DISTINCT user_id FROM p) u CROSS JOIN (SELECT unnest(range(n_days)) AS day FROM cal) d
+  LEFT JOIN p ON p.user_id = u.user_id AND p.day = d.day)"""
+_LONG = {f"{n}_rm{w}": lg(rm(COLUMNS[n], w)) for n in ("gmv", "to_ord", "searches", "to_cart") for w in C.WINDOWS}
+_LONG |= {f"{n}_rate{w}": rm(COLUMNS[n], w) for n in FLAGS for w in C.WINDOWS} | {f"active_rm{w}": rm("active", w) for w in C.WINDOWS}
+
+
+@query("c8_full_orders", sql_result(
+    f"SELECT user_id, {', '.join(f'avg({n}) AS {n}' for n in _LONG)} FROM ({cols(_LONG, 'g')}) GROUP BY user_id", ["user_id"], ctes=_ORDER_GRID))
+def c8_full_orders(spark, folder):
+    d = order_days(spark, folder)
+    rows = C.channels(S.dense(S.binary_flags(d.panel), d.n_days), "full", d.n_days, d.first)
+    return out(rows.groupBy("user_id").agg(*[F.expr(f"avg({n}) AS {n}") for n in _LONG]), ["user_id"])

@@ -80,7 +80,7 @@ windows_query("w3_buy_days", lambda p: {f"buy_{w}": p.buys(last(w)) for w in W7}
 windows_query("w4_empty_days", lambda p: {f"empty_{w}": p.empties(last(w)) for w in W7},
               {f"empty_{w}": s("empty", 0, w - 1) for w in W7})
 windows_query("w5_window_squares", lambda p: {f"{c}_sq_{w}": p.squares(c, last(w)) for c in ("gmv", "ord") for w in W7},
-              {f"{c}_sq_{w}": s(f"{c} * {c}", 0, w - 1) for c in ("gmv", "ord") for w in W7}, digits=2)
+              {f"{c}_sq_{w}": s(f"{c} * {c}", 0, w - 1) for c in ("gmv", "ord") for w in W7}, digits=0)
 windows_query("w6_date_sd", lambda p: {f"sd_{n}_{w}": p.date_sd(n, last(w)) for n in ("days", "buy") for w in W7},
               {f"sd_{n}_{w}": date_sd_sql("1" if n == "days" else "buy", w) for n in ("days", "buy") for w in W7}, digits=4)
 windows_query("w7_centre_of_mass", lambda p: {f"com_{n}_{w}": p.mass_age(n, last(w)) for n in ("days", "gmv") for w in W7},
