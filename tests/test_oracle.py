@@ -7,6 +7,9 @@ from oracle_check import difference, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
+# Fifteen users leave some calendar blocks without buyers, where a ranking score is not a number.
+UNDEFINED = {"m14_block_scores"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -17,7 +20,7 @@ def con():
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     assert len(got) > 0
-    assert not got.isna().any().any()
+    assert name in UNDEFINED or not got.isna().any().any()
     if name in entry.oracle_sql():
         assert difference(got, con.execute(entry.oracle_sql()[name]).df()) == ""
 
