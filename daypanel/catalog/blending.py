@@ -13,12 +13,11 @@ from ..operators import blending as BL
 from ..operators import blocks as B
 from ..operators import channels as C
 from ..operators import folds as P
-from ..operators import metrics as M
 from ..operators.windows import Plan, Span, features
 from .channels import dense_events
 from .common import ANCHORS, VALID_ANCHORS, anchor_cte, IN_POPULATION, ORDER_P, order_days, out, query, s, sql_result
 from .data import GRID
-from .metrics import MEMBERS, MODEL, NAIVE, NAMES, OOF, RMSLE, gini_sql, member_oof, naive_oof, wide_logs
+from .metrics import MODEL, NAIVE, NAMES, OOF, gini_sql, member_oof, naive_oof, wide_logs
 
 SLOTS = {"gbdt": NAMES[:2], "seq": NAMES[2:9], "usercv": NAMES[9:]}
 # Fixed values of the final blend: slot weights and the affine correction in log space.

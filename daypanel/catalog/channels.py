@@ -12,7 +12,7 @@ from ..sources import panel as S
 from ..sources.panel import COLUMNS, FLAGS
 from .common import ORDER_P, ORDER_RAW, event_days, order_days, out, query, sql_result
 from .data import DAY, GRID
-from .folds import BASE_CH, _B
+from .folds import _B
 
 # The event panel covers 30 days, so the trailing windows are shorter than the defaults.
 WIN = (3, 7, 14, 21)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
-from ..operators.windows import Plan, Span, ahead, before, block, features, last, target
+from ..operators.windows import Plan, ahead, before, block, features, last
 from .common import (ANCHORS, IN_POPULATION, ORDER_P, anchor_cte, features_sql, life, order_days, out, query, s,
                      sql_result)
 

@@ -106,3 +106,12 @@ def test_block_sizes(toy):
     sizes = {"sbc": 624, "sbcnomoment": 480, "tsfeat": 50, "tsfresh": 60, "fcast": 48}
     for name, want in sizes.items():
         assert len(SH.SHAPE_BLOCKS[name](toy["panel"], [410], toy["n_days"]).columns) - 2 == want
+
+
+def test_wide_columns_hold_the_long_values(spark, toy):
+    """Columns are read by position, so every value is compared with its row."""
+    wide = SH.SHAPE_BLOCKS["sbcorder"](toy["panel"], ANCHORS, toy["n_days"]).toPandas().set_index(["anchor", "user_id"])
+    tall = SH.sbc_table(toy["panel"], ANCHORS, SH.SBC_FAMILIES["sbcorder"], SH.SBC_WINDOWS[1:]).toPandas()
+    for _, row in tall.iterrows():
+        for stat in ("q90", "max", "gini", "trimmedstd"):
+            assert wide.loc[(row["anchor"], row["user_id"]), f"sbc_{stat}_{row['metric']}_{row['w']}"] == row[stat]
