@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
+from . import line_dedup, near_docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +66,26 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         D.contaminated().alias("contaminated"),
     )
+
+
+@query("op8_order_minhash")
+def order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_docs.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "kept", "n_shingles")
+
+
+LINE_DEDUP = rf"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+e AS (SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM l),
+k AS (SELECT doc_id, i, a[i] AS line,
+             {LOWER.format("trim(a[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM e),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common c USING (key) GROUP BY doc_id
+"""
+
+
+@query("op3_levelled_line_dedup", LINE_DEDUP)
+def levelled_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.without_common_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
