@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import line_dedup, near_docs, sharding
+from . import line_dedup, mixing, near_docs, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,37 @@ def bounded_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+MIXING = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS p FROM documents),
+n AS (SELECT source, count(*) AS n FROM r GROUP BY source),
+w AS (SELECT source, n, round(1000 * sqrt(n))::BIGINT AS w, count(*) OVER () AS s FROM n),
+f AS (SELECT *, greatest(1000, 2 * s) - s AS free, greatest(sum(w) OVER (), 1)::BIGINT AS whole FROM w),
+b AS (SELECT *, (free * w) // whole AS base, (free * w) % whole AS rest FROM f),
+q AS (SELECT source, n, s, (1 + base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= free - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS q FROM b),
+l AS (SELECT list(q ORDER BY source) AS qs, list(source ORDER BY source) AS names, sum(q)::BIGINT AS d FROM q),
+step(t, done, pick) AS (
+  SELECT -1::BIGINT, [0::BIGINT for x in qs], 0::BIGINT FROM l
+  UNION ALL
+  SELECT t + 1, [CASE WHEN i = v THEN done[i] + 1 ELSE done[i] END for i in generate_series(1, len(qs))], v
+  FROM (
+    SELECT t, done, qs, list_min([CASE WHEN done[i] * d // qs[i] <= t + 1
+      THEN ((done[i] + 1) * d + qs[i] - 1) // qs[i] * 1000000 + i END for i in generate_series(1, len(qs))]) % 1000000 AS v
+    FROM step, l WHERE t + 1 < d)),
+plan AS (SELECT names[pick] AS source, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM step, l WHERE t >= 0),
+dry AS (
+  SELECT min((ceil(n / 16)::BIGINT // q) * d + t) AS horizon
+  FROM q JOIN plan USING (source), l WHERE plan.k = ceil(n / 16)::BIGINT % q)
+SELECT doc_id, source, p // 16 AS block, (p // 16 // q) * d + t AS slot, ((p // 16 // q) * d + t) * 16 + p % 16 AS position,
+       (p // 16 // q) * d + t < horizon AS on_target
+FROM r JOIN q USING (source) JOIN plan USING (source), l, dry WHERE plan.k = (p // 16) % q
+"""
+
+
+@query("op6_pfair_mixing", MIXING)
+def pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, folder, "documents"))
+    return mix.select("doc_id", "source", "block", "slot", "position", "on_target")
