@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import line_dedup, mixing, near_docs, sharding
+from . import line_dedup, mixing, near_docs, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,8 @@ FROM r JOIN q USING (source) JOIN plan USING (source), l, dry WHERE plan.k = (p
 def pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mixed(table(spark, folder, "documents"))
     return mix.select("doc_id", "source", "block", "slot", "position", "on_target")
+
+
+@query("op2_string_kernel_toxicity")
+def string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
