@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import line_dedup, mixing, near_docs, sharding, toxicity
+from . import line_dedup, mixing, near_docs, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +135,56 @@ def pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_string_kernel_toxicity")
 def string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _matches(kind: str, pattern: str, ok: str) -> str:
+    """SQL: (doc_id, kind, start, end) of the matches of a pattern that pass a test on the match ``m`` or its group 2, ``v``."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, e - length(m) AS s, e FROM (
+    SELECT doc_id, ms[i] AS m, vs[i] AS v,
+           list_sum([length(x) for x in ps[1:i]])::BIGINT + list_sum([length(x) for x in ms[1:i]])::BIGINT AS e
+    FROM (SELECT doc_id, ps, ms, vs, unnest(generate_series(1, len(ms))) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '{pattern}') AS ps, regexp_extract_all(text, '{pattern}') AS ms,
+             regexp_extract_all(text, '{pattern}', {2 if kind == "assign" else 0}) AS vs FROM documents)))
+  WHERE {ok}"""
+
+
+SECRET_SCAN = f"""
+WITH f AS ({" UNION ALL ".join([
+    _matches("assign", secrets.ASSIGN, "length(v) >= 12"),
+    _matches("access", secrets.ACCESS, "length(m) >= 18"),
+    _matches("hex", secrets.HEX, "true"),
+    _matches("short", secrets.ACCESS, "length(m) BETWEEN 8 AND 17"),
+    _matches("bare", secrets.BARE, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND NOT contains(m, 'AKIA')"),
+    _matches("endpoint", secrets.ENDPOINT, "true"),
+])}),
+p AS (SELECT *, CASE WHEN kind IN ('access', 'short') THEN 'i' WHEN kind IN ('assign', 'hex', 'bare') THEN 's' END AS role,
+             list_position(['assign', 'access', 'hex', 'short', 'bare', 'endpoint'], kind) AS k FROM f),
+w AS (
+  SELECT p.doc_id, p.kind, p.s, p.e, p.k, bool_or(q.role = 'i') AS i, bool_or(q.role = 's') AS c
+  FROM p JOIN p q ON p.doc_id = q.doc_id AND q.role IS NOT NULL AND q.e >= p.s - 300 AND q.s <= p.e + 300
+  WHERE p.k > 3 GROUP BY ALL),
+a AS (
+  SELECT doc_id, kind, s, e, k FROM p WHERE k <= 3 UNION ALL
+  SELECT doc_id, kind, s, e, k FROM w WHERE CASE kind WHEN 'short' THEN c WHEN 'bare' THEN i ELSE i AND c END),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k <= 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op7_linked_secrets", SECRET_SCAN)
+def linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = secrets.written(F.filter("spans", lambda s: s["kind"] < len(secrets.BASE)))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
