@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import line_dedup, mixing, near_docs, secrets, sharding, toxicity
+from . import line_dedup, mixing, near_docs, secrets, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,3 +188,8 @@ def linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+@query("op4_host_trust_filter")
+def host_trust_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
