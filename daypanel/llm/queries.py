@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import line_dedup, mixing, near_docs, secrets, sharding, toxicity, url_filter
+from . import language, line_dedup, mixing, near_docs, secrets, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -193,3 +193,8 @@ def linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_host_trust_filter")
 def host_trust_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_fused_language")
+def fused_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "pages"), table(spark, folder, "documents"))
