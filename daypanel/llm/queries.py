@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import language, line_dedup, mixing, near_docs, secrets, sharding, toxicity, url_filter
+from . import language, line_dedup, mixing, near_docs, near_vectors, secrets, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -198,3 +198,25 @@ def host_trust_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fused_language")
 def fused_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(id, root) AS (SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id,
+       vec_id <= coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.id LEFT JOIN n ON vec_id = n.id
+"""
+
+
+@query("op1_multi_index_vectors", NEAR_VECTORS)
+def multi_index_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.linked(table(spark, folder, "embeddings"))
