@@ -241,7 +241,8 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = firsts.select("digest", "v").join(search.groups().withColumnsRenamed({"id": "v"}), "v", "left")
     roots = roots.select("digest", F.coalesce("root", "v").alias("root"))
     rooted = cut(read.drop("keys").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "row")))
-    heads = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("h"))
+    # Written out, so that the join below deals both sides anew and can split the rows of a large group.
+    heads = cut(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("h")))
     return rooted.join(heads, "root").select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("h.doc_id").alias("class_id"), (F.col("row") == F.col("h.row")).alias("kept")
     )
