@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -80,11 +79,15 @@ def _codes(units: list[str]) -> np.ndarray:
     return np.frombuffer(joined, np.int32).reshape(len(units), -1)
 
 
-@lru_cache(maxsize=None)
+_placed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all subsequences of three letters of n, and their weights by the span they cover."""
-    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
-    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32) if len(at) else np.zeros(0, np.float32)
+    if n not in _placed:
+        at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+        _placed[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1.0)).astype(np.float32)
+    return _placed[n]
 
 
 def _own(letters: np.ndarray) -> np.ndarray:
