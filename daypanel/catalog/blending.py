@@ -158,16 +158,19 @@ def b13_compare_predictions(spark, folder):
 
 # -- audits ------------------------------------------------------------------------------------------------
 
-AUDITED = ["base", "counts", "trend", "funnel", "visit", "channel", "diff", "dispersion", "agebucket", "cartbacklog"]
+AUDITED = ["base", "counts", "trend", "funnel", "visit", "channel", "diff", "dispersion", "agebucket", "cartbacklog",
+           "cumshare", "rank", "cohortrel"]
 
 
 def _audit_sql() -> str:
-    from .features import (base_sql, channel_sql, counts_sql, diff_sql, dispersion_sql, funnel_sql, trend_sql, visit_sql)
+    from .features import (base_sql, channel_sql, counts_sql, cumshare_sql, diff_sql, dispersion_sql, funnel_sql, trend_sql, visit_sql)
 
     names = {}
-    for part in (base_sql, counts_sql, trend_sql, funnel_sql, visit_sql, channel_sql, diff_sql, dispersion_sql):
+    for part in (base_sql, counts_sql, trend_sql, funnel_sql, visit_sql, channel_sql, diff_sql, dispersion_sql, cumshare_sql):
         names |= part()
-    names = [*names, "age_bucket_gmv_share_3", "cart_backlog_7"]
+    ranks = ["gmv_30", "gmv_90", "gmv_365", "ord_90", "ord_180", "days_90", "recency", "recency_ord"]
+    names = [*names, "age_bucket_gmv_share_3", "cart_backlog_7", "cohort_rel_buy_rate90", "days_since_half_of_life_gmv",
+             "days_since_p90_of_life_gmv", *[f"pct_{n}" for n in ranks]]
     listed = ", ".join(f"('{n}')" for n in names)
     return f"""SELECT v.n AS feature, 0 AS differing, 0 AS lone_keys, (SELECT count(DISTINCT user_id) FROM p, a
   WHERE day BETWEEN anchor - 29 AND anchor) AS cells FROM (VALUES {listed}) v(n)"""

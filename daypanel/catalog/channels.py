@@ -85,7 +85,7 @@ _RANK_SRC = {"rk_gmv30": "round(sum(gmv) OVER w30, 6)", "rk_ord30": "sum(ord) OV
 _RANKED = ", ".join(f"(rank() OVER (PARTITION BY day ORDER BY {n}) - 1) / CAST(count(*) OVER (PARTITION BY day) AS DOUBLE) AS {n}"
                     for n in _RANK_SRC)
 channel_query("c4_rank_channels", f"SELECT user_id, day, {_RANKED} FROM ({cols(_RANK_SRC, 'gc')})",
-              lambda rows, d: C.rank_channels(rows, d.n_days), ctes=_G)
+              lambda rows, d: C.rank_channels(rows, d.n_days, digits=6), ctes=_G)
 
 
 @query("c5_population_index", sql_result(

@@ -203,7 +203,7 @@ def d10_feature_store(spark, folder):
 
 
 @query("d12_content_hash", f"""WITH {ORDER_P} SELECT round(CAST(count(*) AS DOUBLE) + 3.7e-08, 6) AS n_rows,
-  CAST(CAST(sum(CAST('0x' || substr(md5(concat_ws(',', user_id, day, CAST(ord AS BIGINT), CAST(cart AS BIGINT))), 1, 12) AS BIGINT)) AS DECIMAL(30,0)) AS VARCHAR) AS content
+  CAST(CAST(sum(CAST('0x' || substr(md5(concat_ws(',', '=' || user_id, '=' || day, '=' || CAST(ord AS BIGINT), '=' || CAST(cart AS BIGINT))), 1, 12) AS BIGINT)) AS DECIMAL(30,0)) AS VARCHAR) AS content
   FROM p""")
 def d12_content_hash(spark, folder):
     d = order_days(spark, folder)

@@ -329,7 +329,7 @@ FROM a JOIN p ON p.day <= a.anchor, cal GROUP BY anchor, user_id, n_days HAVING
     ctes=f"{ORDER_P}, {anchor_cte(ANCHORS)}"))
 def f4_rank(spark, folder):
     d = order_days(spark, folder)
-    return out(B.build(d.panel, d.index(ANCHORS), d.n_days, ["rank"]))
+    return out(B.rank(d.panel, d.index(ANCHORS), d.n_days, digits=6))
 
 
 @query("f14_cohortrel", sql_result(
@@ -354,11 +354,22 @@ block_query("f16_build", ["base", "counts", "visit", "channel", "dispersion"],
 _ALL = base_sql() | counts_sql() | trend_sql()
 
 
-@query("f17_max_window", features_sql({n: e for n, e in _ALL.items() if B.lookback(n) <= 60}, digits=4))
+# What sees at most 60 days, written out.
+_SHORT_SIGHTED = [
+    *[f"{n}_{w}" for w in (7, 14, 30, 60) for n in ("gmv_sum", "ord_sum", "cart_sum", "srch_sum", "days", "buy_days",
+                                                    "buy_day_rate", "ord_per_buy_day", "gmv_per_buy_day")],
+    *[f"{n}_{w}" for w in (3, 21, 45) for n in ("ord_sum", "gmv_sum", "days")],
+    "gmv_search_30", "gmv_cat_30", "gmv_blk0", "ord_blk0", "gmv_blk1", "ord_blk1", "gmv_trend_blk01", "recency_days",
+    "ewm_gmv_hl7", "ewm_ord_hl7", "com_days_30", "com_gmv_30",
+    "gmv_logratio_30_prev30", "ord_logratio_30_prev30", "days_logratio_30_prev30",
+]
+
+
+@query("f17_max_window", features_sql({n: _ALL[n] for n in _SHORT_SIGHTED}, digits=4))
 def f17_max_window(spark, folder):
     d = order_days(spark, folder)
     blocks = ["base", "counts", "trend"]
-    return out(B.build(d.panel, d.index(ANCHORS), d.n_days, blocks, keep=B.within_lookback(60)), digits=4)
+    return out(B.build(d.panel, d.index(ANCHORS), d.n_days, blocks, keep=B.within_lookback(60, blocks, d.n_days)), digits=4)
 
 
 _ONLY = ["gmv_sum_90", "ord_sum_365", "geo3", "buy_days_180", "tenure_days", "gmv_total", "days_30", "aov_90"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -99,47 +99,64 @@ def p6_newest_anchors(spark, folder):
                ["fold_id", "train_anchor", "user_id"])
 
 
-TRAIN_DATES = [VALID_ANCHORS[-1] - timedelta(days=30 + 7 * k) for k in range(8)]
-_SUMS = {n: e for n, e in base_sql().items() if n in ("gmv_sum_30", "ord_sum_90", "days_365", "geo3", "recency_days")}
-_BASE_FEW = ", ".join(f"{e} AS {n}" for n, e in _SUMS.items())
+# Every training anchor of the last fold: each week back from 30 days before it, as far as 90 days of history
+# reach. The order panel begins on the same date at every size.
+PANEL_START = date(1995, 1, 1)
+TRAIN_DATES = [VALID_ANCHORS[-1] - timedelta(days=30 + 7 * k) for k in range(271)]
+TRAIN_DATES = [t for t in TRAIN_DATES if t >= PANEL_START + timedelta(days=89)]
+_Y = s("gmv", -30, -1)
 
 
-def _stack_sql(extra: str, tail: str = "") -> str:
-    return f"""SELECT anchor, user_id, {_BASE_FEW}, {extra}
-FROM a JOIN p ON p.day <= a.anchor + 30, cal GROUP BY anchor, user_id, n_days HAVING {IN_POPULATION}{tail}"""
+def train_days(spark, d) -> list[int]:
+    grid = P.training_anchors(P.fold_calendar(spark, VALID_ANCHORS[-1:]), d.first)
+    return P.anchor_days(grid, d.first)
 
 
-_Y = s("gmv", -30, -1)
+def per_anchor(rows, names: list[str], *by: str):
+    """Rows and means of every column per anchor, so that a comparison covers each column of a large table."""
+    return rows.groupBy("anchor", *by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names])
+
+
+def _means(body: str, names: list[str], *by: str) -> str:
+    keys = ", ".join(["anchor", *by])
+    return f"SELECT {keys}, count(*) AS n, {', '.join(f'avg({n}) AS {n}' for n in names)} FROM ({body}) GROUP BY {keys}"
+
+
+_TRAIN_COLS = base_sql()
+_TRAIN_SQL = f"""SELECT *, ln(1 + y) AS y_log FROM (SELECT anchor, user_id, {", ".join(f"{e} AS {n}" for n, e in _TRAIN_COLS.items())}, {_Y} AS y
+FROM a JOIN p ON p.day <= a.anchor + 30, cal GROUP BY anchor, user_id, n_days HAVING {IN_POPULATION})"""
 
 
 @query("p7_training_table", sql_result(
-    _stack_sql(f"{_Y} AS y, ln(1 + {_Y}) AS y_log"), ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}"))
+    _means(_TRAIN_SQL, [*_TRAIN_COLS, "y", "y_log"]), ["anchor"], digits=4, ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}"))
 def p7_training_table(spark, folder):
     d = order_days(spark, folder)
-    return out(P.stacked(d.panel, d.index(TRAIN_DATES), d.n_days, ["base"]).select("anchor", "user_id", *_SUMS, "y", "y_log"))
+    rows = P.stacked(d.panel, train_days(spark, d), d.n_days, ["base"])
+    return out(per_anchor(rows, [*_TRAIN_COLS, "y", "y_log"]), ["anchor"], digits=4)
 
 
 @query("p8_aux_horizons", sql_result(
-    "SELECT anchor, user_id, geo3, h AS horizon, y, ln(1 + y) AS y_log FROM ("
-    + f"""SELECT anchor, user_id, {GEO3} AS geo3, h, sum(CASE WHEN day > anchor AND day <= anchor + h THEN gmv ELSE 0 END) AS y
-FROM a JOIN p ON p.day <= a.anchor + 30, (VALUES (7), (14), (30)) v(h) GROUP BY anchor, user_id, h HAVING {IN_POPULATION})""",
-    ["anchor", "user_id", "horizon"], ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}").replace(
-        "SELECT anchor, user_id, horizon,", "SELECT anchor, user_id, CAST(horizon AS BIGINT) AS horizon,"))
+    _means("SELECT anchor, user_id, geo3, h AS horizon, y, ln(1 + y) AS y_log FROM ("
+           + f"""SELECT anchor, user_id, {GEO3} AS geo3, h, sum(CASE WHEN day > anchor AND day <= anchor + h THEN gmv ELSE 0 END) AS y
+FROM a JOIN p ON p.day BETWEEN a.anchor - 364 AND a.anchor + 30, (VALUES (7), (14), (30)) v(h) GROUP BY anchor, user_id, h HAVING {IN_POPULATION})""",
+           ["geo3", "y", "y_log"], "horizon"),
+    ["anchor", "horizon"], ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}").replace(
+        "SELECT anchor, horizon,", "SELECT anchor, CAST(horizon AS BIGINT) AS horizon,", 1))
 def p8_aux_horizons(spark, folder):
     d = order_days(spark, folder)
-    rows = P.stacked(d.panel, d.index(TRAIN_DATES), d.n_days, ["base"], horizons=(7, 14, 30))
-    return out(rows.select("anchor", "user_id", "geo3", "horizon", "y", "y_log"), ["anchor", "user_id", "horizon"])
+    rows = P.stacked(d.panel, train_days(spark, d), d.n_days, ["base"], horizons=(7, 14, 30))
+    return out(per_anchor(rows, ["geo3", "y", "y_log"], "horizon"), ["anchor", "horizon"])
 
 
 @query("p9_sample_weights", sql_result(
     f"""SELECT anchor, user_id, CASE WHEN y > 0 THEN 2.5 ELSE 1 END AS buyer_weight,
   pow(0.5, (max(anchor) OVER () - anchor) / 60.0) AS decay_weight
-FROM (SELECT anchor, user_id, {_Y} AS y FROM a JOIN p ON p.day <= a.anchor + 30 GROUP BY anchor, user_id HAVING {IN_POPULATION})""",
+FROM (SELECT anchor, user_id, {_Y} AS y FROM a JOIN p ON p.day BETWEEN a.anchor - 29 AND a.anchor + 30 GROUP BY anchor, user_id HAVING {IN_POPULATION})""",
     ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}"))
 def p9_sample_weights(spark, folder):
     d = order_days(spark, folder)
-    anchors = d.index(TRAIN_DATES)
-    rows = P.stacked(d.panel, anchors, d.n_days, ["base"])
+    anchors = train_days(spark, d)
+    rows = P.stacked(d.panel, anchors, d.n_days, [])
     return out(rows.select("anchor", "user_id", P.buyer_weight(F.col("y"), 2.5).alias("buyer_weight"),
                            P.decay_weight(max(anchors) - F.col("anchor"), 60).alias("decay_weight")))
 
@@ -151,7 +168,7 @@ def p9_sample_weights(spark, folder):
 WHERE rn <= 1000""", ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}"))
 def p10_exact_sample(spark, folder):
     d = order_days(spark, folder)
-    rows = P.population(d.panel, d.index(TRAIN_DATES), d.n_days)
+    rows = P.population(d.panel, train_days(spark, d), d.n_days)
     return out(P.exact_sample(rows, 1000, ["anchor", "user_id"], seed="7").withColumn("drawn", F.lit(1)))
 
 

@@ -147,7 +147,7 @@ def m9_covariance_split(spark, folder):
     return out(M.covariance_split(member_oof(spark, folder), ["member"], F.log1p("y_true"), F.log1p("y_pred")), MODEL)
 
 
-BINS = 50
+BINS = 200
 _PROBS = ", ".join(f"{k / BINS!r}" for k in range(1, BINS))
 
 
@@ -203,7 +203,7 @@ FROM (SELECT k, member, lam, corr(l, x) AS rho, sqrt(avg(pow(l - greatest(x, 0),
 JOIN ({auc_sql('mix', 'k', 'x', 'zb')}) b ON a.k = b.k WINDOW w AS (PARTITION BY member ORDER BY lam)""",
     ["member", "lam"], digits=5, ctes=_MIX))
 def m12_payoff_curve(spark, folder):
-    return out(M.payoff_curve(_decomposed(spark, folder), ["member"], bins=BINS), ["member", "lam"], digits=5)
+    return out(M.payoff_curve(_decomposed(spark, folder), ["member"], bins=BINS, digits=9), ["member", "lam"], digits=5)
 
 
 @query("m13_fold_report", sql_result(

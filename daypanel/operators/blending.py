@@ -63,7 +63,7 @@ def best_weights(g: np.ndarray, c: np.ndarray, steps: int = 200) -> np.ndarray:
             out = [i for i in range(n) if i not in free]
             worst = min(out, key=lambda i: price[i], default=None)
             if worst is None or price[worst] >= -1e-10:
-                break
+                return w / w.sum()
             free = sorted([*free, worst])
         else:
             down = [i for i in free if goal[i] < 0]
@@ -71,7 +71,7 @@ def best_weights(g: np.ndarray, c: np.ndarray, steps: int = 200) -> np.ndarray:
             w = w + t * (goal - w)
             free = [i for i in free if w[i] > 1e-12]
             w = np.where(np.isin(np.arange(n), free), w, 0.0)
-    return w / w.sum()
+    raise RuntimeError(f"blend weights have not settled after {steps} steps")
 
 
 def fit_weights(wide: DataFrame, logs: list[str], y_log: str) -> dict[str, float]:

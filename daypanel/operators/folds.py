@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.ranking import ordinal_positions
 from ..sources.panel import as_day, date_of
-from .blocks import block_columns
+from .blocks import build
 from .windows import POPULATION_DAYS, Plan, ahead, features, target
 
 HORIZON = 30
@@ -135,14 +135,17 @@ def population_drift(fold_rows: DataFrame, table: DataFrame) -> DataFrame:
 
 # -- training tables -----------------------------------------------------------------------------------
 
-def stacked(panel: DataFrame, anchors: list[int], n_days: int, blocks: list[str], horizons=(HORIZON,)) -> DataFrame:
-    """Features and targets of every anchor at once: one aggregation, no loop and no union.
+def stacked(panel: DataFrame, anchors: list[int], n_days: int, blocks: list[str], horizons=(HORIZON,),
+            floor_days: int | None = None, keep=None) -> DataFrame:
+    """Features and targets of every anchor at once: no loop and no union over anchors.
 
-    With several horizons each row is repeated per horizon, which becomes a feature.
+    Takes every block, floor and column choice that ``build`` takes; targets come from the aggregation
+    of the projected blocks. With several horizons each row is repeated per horizon, which becomes a
+    feature.
     """
-    plan, cols = block_columns(blocks, n_days)
-    goals = {f"_y{h}": plan.total("gmv", ahead(h)) for h in horizons}
-    rows = features(panel, anchors, plan, cols | goals)
+    rows = build(panel, anchors, n_days, blocks, floor_days, keep,
+                 lambda plan: {f"_y{h}": plan.total("gmv", ahead(h)) for h in horizons})
+    cols = [c for c in rows.columns if c not in ("anchor", "user_id") and not c.startswith("_y")]
     if len(horizons) == 1:
         y = f"_y{horizons[0]}"
         return rows.withColumn("y_log", F.log1p(y)).withColumnRenamed(y, "y")

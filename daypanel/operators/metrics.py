@@ -216,12 +216,17 @@ def _log_rmse(p: str) -> Column:
 LAMBDAS = (0.0, 0.02, 0.05, 0.10, 0.20, 0.40, 1.0)
 
 
-def payoff_curve(oof: DataFrame, by: list[str], lambdas=LAMBDAS, bins: int = 200) -> DataFrame:
-    """Mix the forecast towards the perfect split and read ranking, correlation, score and slope."""
+def payoff_curve(oof: DataFrame, by: list[str], lambdas=LAMBDAS, bins: int = 200, digits: int | None = None) -> DataFrame:
+    """Mix the forecast towards the perfect split and read ranking, correlation, score and slope.
+
+    ``digits`` rounds the mix before it is ranked, for callers to whom values that differ by the order of
+    additions are ties.
+    """
     rows = with_oracles(oof, by, bins)
     lam = F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam")
     mixed = rows.select(*by, "y_log", "z", "m_log", "ghat", lam)
-    mixed = mixed.withColumn("p_log", F.round((1 - F.col("lam")) * F.col("m_log") + F.col("lam") * F.col("z") * F.col("ghat"), 9))
+    mix = (1 - F.col("lam")) * F.col("m_log") + F.col("lam") * F.col("z") * F.col("ghat")
+    mixed = mixed.withColumn("p_log", mix if digits is None else F.round(mix, digits))
     keys, mixed = [*by, "lam"], cut(mixed)
     plain = mixed.groupBy(*keys).agg(F.corr("y_log", "p_log").alias("rho"), _log_rmse("p_log").alias("rmsle"))
     out = plain.join(auc(mixed, keys, "p_log", F.col("z") == 1), keys)

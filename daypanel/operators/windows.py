@@ -9,8 +9,10 @@ the copies made for each anchor.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from math import inf
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.text import mean, named
 
 HALF_LIVES = (7, 30, 90)
+ERA = 600  # half-lives that powers of two are taken over
+SUPPORT = 3  # half-lives after which a decayed sum counts as blind
 POPULATION_DAYS = 30
 
 
@@ -114,8 +118,7 @@ class Plan:
         """A running quantity read at the user's latest row up to the anchor.
 
         Every member of the population has a row in the last 30 days, so lifetime quantities never
-        widen the reach of the anchors. All of them grow with time (the panel holds no negative
-        value, a checked rule), so the latest one is the largest and a plain ``max`` reads it.
+        widen the reach of the anchors.
         """
         self.life[name] = value
         return f"`{name}`"
@@ -137,8 +140,11 @@ class Plan:
         n = self.floor_days
         return f"CASE WHEN anchor >= {n} THEN least({value}, {n}D) ELSE {value} END"
 
+    def _last_active(self) -> str:
+        return self._latest("last_active", "cast(day as double)")
+
     def recency(self) -> str:
-        return self._span_cap(f"(anchor - {self._latest('last_active', 'cast(day as double)')})")
+        return self._span_cap(f"(anchor - {self._last_active()})")
 
     def recency_order(self) -> str:
         seen = f"max(CASE WHEN ord > 0 THEN day END) OVER {HISTORY}"
@@ -155,8 +161,26 @@ class Plan:
         """Exponentially weighted sum over all days up to the anchor."""
         if self.floor_days is not None:
             return self._sum(f"{col}~{half_life}", f"{col} * pow(0.5D, age / {half_life}D)", last(self.floor_days))
-        grown = f"sum({col} * pow(2D, day / {half_life}D)) OVER {HISTORY}"
-        return f"({self._latest(f'decay_{col}_{half_life}', grown)} * pow(0.5D, anchor / {half_life}D))"
+        at_row = self._latest(f"decay_{col}_{half_life}", self._decayed(col, half_life))
+        return f"({at_row} * pow(0.5D, (anchor - {self._last_active()}) / {half_life}D))"
+
+    def _decayed(self, col: str, half_life: int) -> str:
+        """The weighted sum as of each row.
+
+        Days are weighted from an origin, and powers of two stay in range for ``ERA`` half-lives from
+        it. A longer panel has two series of eras, half an era apart; each row reads the one in which
+        it lies in the second half, so at least ``ERA / 2`` half-lives of history count.
+        """
+        era = ERA * half_life
+        if self.n_days <= era:
+            return f"sum({col} * pow(2D, day / {half_life}D)) OVER {HISTORY} * pow(0.5D, day / {half_life}D)"
+
+        def within(shift: int) -> str:
+            place = f"pmod(day + {shift}, {era})"
+            frame = f"(PARTITION BY user_id, floor((day + {shift}) / {era}) ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            return f"sum({col} * pow(2D, {place} / {half_life}D)) OVER {frame} * pow(0.5D, {place} / {half_life}D)"
+
+        return f"CASE WHEN pmod(day, {era}) >= {era // 2} THEN {within(0)} ELSE {within(era // 2)} END"
 
     def own_age_total(self, col: str, lo: int, hi: int) -> str:
         """Lifetime total over the user's own days ``lo <= day - first day < hi``."""
@@ -167,6 +191,18 @@ class Plan:
             return self._sum(name, inside, last(self.floor_days))
         return self._latest(name, f"sum({inside}) OVER {HISTORY}")
 
+    def reach(self, text: str) -> float:
+        """Days before the anchor that an expression over this plan's aggregates can see."""
+        days = 0.0
+        for name in re.findall("`([^`]+)`", text):
+            if name in self.sums:
+                days = max(days, self.sums[name][1].old + 1)
+            elif name.startswith("decay_"):
+                days = max(days, SUPPORT * int(name.rsplit("_", 1)[1]))
+            else:
+                days = max(days, POPULATION_DAYS if name == "last_active" else inf)
+        return days
+
     # -- common compounds ----------------------------------------------------------------------
     def geo3(self) -> str:
         """The naive level: three 30-day blocks averaged as logs."""
@@ -203,7 +239,7 @@ def aggregate(panel: DataFrame, anchors: list[int], plan: Plan) -> DataFrame:
     aggs |= {
         name: f"sum(CASE WHEN age BETWEEN {s.young} AND {s.old} THEN {v} ELSE 0D END)" for name, (v, s) in plan.sums.items()
     }
-    aggs |= {name: f"max(CASE WHEN age >= 0 THEN `{name}` END)" for name in plan.life}
+    aggs |= {name: f"max_by(`{name}`, CASE WHEN age >= 0 THEN -age END)" for name in plan.life}
     out = rows.groupBy("anchor", "user_id").agg(*[F.expr(e) for e in named(aggs, cast=None)])
     return out.filter(F.col("__seen") < POPULATION_DAYS)
 

@@ -65,14 +65,13 @@ def as_date(day: int, first: date) -> date:
 def daily(raw: DataFrame, first: date) -> DataFrame:
     """Rows keyed (user_id, day) with duplicates summed, flags 0/1, buy and empty-visit marks.
 
-    The sum is combined on the map side, so a user with very many raw rows reaches the shuffle as
-    at most one row per day. The result is then clustered by user once; every later operator that
-    groups or windows within users reuses that layout and adds no shuffle.
+    Rows are clustered by user once and duplicates are added up inside that layout, which serves the
+    grouping by (user, date) as well; every later operator that groups or windows within users reuses
+    it and adds no shuffle.
     """
     sums = [F.sum(F.col(src).cast("double")).alias(short) for src, short in COLUMNS.items()]
-    rows = raw.groupBy("user_id", "event_date").agg(*sums)
-    rows = rows.select("user_id", day_of(F.col("event_date"), first).alias("day"), *SHORT)
-    return marked(rows).repartition("user_id")
+    rows = raw.select("user_id", "event_date", *COLUMNS).repartition("user_id").groupBy("user_id", "event_date").agg(*sums)
+    return marked(rows.select("user_id", day_of(F.col("event_date"), first).alias("day"), *SHORT))
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -115,15 +114,15 @@ def dense(panel: DataFrame, n_days: int, first_day: int = 0) -> DataFrame:
     """Every user on every day of ``first_day .. n_days-1``, zero-filled, ``active`` marking real rows.
 
     Each row spreads over the gap up to the user's next row, so there is no join and no second
-    shuffle: the work is one window over rows already clustered by user.
+    shuffle: the work is one window over rows already clustered by user. Rows outside the days count
+    only in that their user has rows.
     """
     w = Window.partitionBy("user_id").orderBy("day")
     values = [c for c in panel.columns if c not in ("user_id", "day")]
-    start = F.when(F.row_number().over(w) == 1, F.lit(first_day)).otherwise(F.col("day"))
-    stop = F.coalesce(F.lead("day").over(w) - 1, F.lit(n_days - 1))
-    spread = panel.withColumns({"_from": start, "_to": stop}).withColumn(
-        "_at", F.explode(F.sequence(F.col("_from"), F.col("_to")))
-    )
+    start = F.when(F.row_number().over(w) == 1, F.lit(first_day)).otherwise(F.greatest(F.col("day"), F.lit(first_day)))
+    stop = F.least(F.coalesce(F.lead("day").over(w) - 1, F.lit(n_days - 1)), F.lit(n_days - 1))
+    spans = panel.withColumns({"_from": start, "_to": stop}).filter("_from <= _to")
+    spread = spans.withColumn("_at", F.explode(F.sequence(F.col("_from"), F.col("_to"))))
     here = F.col("_at") == F.col("day")
     return spread.select(
         "user_id",

@@ -42,16 +42,25 @@ def save_panel(panel: DataFrame, table: str, buckets: int) -> None:
     panel.write.mode("overwrite").bucketBy(buckets, "user_id").sortBy("user_id", "day").saveAsTable(table)
 
 
-def store_block(df: DataFrame, path: str, block: str) -> None:
-    """Keep a feature block per anchor, so that later runs read it instead of computing it."""
-    df.write.mode("append").partitionBy("anchor").parquet(f"{path}/block={block}")
+def _block_path(path: str, block: str, floor_days: int | None, population: str) -> str:
+    return f"{path}/block={block}/floor={floor_days or 0}/population={population}"
 
 
-def read_blocks(spark: SparkSession, path: str, blocks: list[str], anchors: list[int], columns: list[str]) -> DataFrame:
+def store_block(df: DataFrame, path: str, block: str, floor_days: int | None = None, population: str = "recent") -> None:
+    """Keep a feature block per anchor, so that later runs read it instead of computing it.
+
+    The key is block, history floor, population and anchor; anchors stored before are replaced.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("anchor").parquet(_block_path(path, block, floor_days, population))
+
+
+def read_blocks(spark: SparkSession, path: str, blocks: list[str], anchors: list[int], columns: list[str],
+                floor_days: int | None = None, population: str = "recent") -> DataFrame:
     """Chosen columns of chosen blocks and anchors, joined on the keys."""
     parts = []
     for b in blocks:
-        part = spark.read.parquet(f"{path}/block={b}").filter(F.col("anchor").isin(anchors))
+        part = spark.read.parquet(_block_path(path, b, floor_days, population)).filter(F.col("anchor").isin(anchors))
         parts.append(part.select("anchor", "user_id", *[c for c in columns if c in part.columns]))
     out = parts[0]
     for part in parts[1:]:
@@ -74,7 +83,10 @@ def merge_records(old: DataFrame, new: DataFrame, kept: tuple[str, ...] = ("lb",
 
 
 def content_hash(df: DataFrame, *columns: str) -> DataFrame:
-    """Row count and a sum of row hashes: equal for equal content in any order or file layout."""
-    text = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
+    """Row count and a sum of row hashes: equal for equal content in any order or file layout.
+
+    A null is written as a mark of its own, so it is no empty value and shifts no column.
+    """
+    text = F.concat_ws(",", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns])
     value = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("string").alias("content"))

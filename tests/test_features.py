@@ -25,10 +25,81 @@ def test_block_size(name):
     assert len(B.block_columns([name], 400)[1]) == SIZES[name]
 
 
-def test_lookback():
+def test_reach_of_columns():
     cases = {"gmv_total": float("inf"), "tenure_days": float("inf"), "gmv_blk3": 120.0, "d1_gmv_4": 180.0, "ewm_gmv_hl30": 90.0,
-             "geo3": 90.0, "recency_days": 30.0, "gmv_sum_45": 45.0, "d1_gmv_w60": 60.0, "cart_backlog_x": 90.0}
-    assert {n: B.lookback(n) for n in cases} == cases
+             "geo3": 90.0, "recency_days": 30.0, "gmv_sum_45": 45.0, "d1_gmv_w60": 120.0, "cart_backlog_7": 7.0,
+             "recency_order_days": float("inf"), "d2_gmv_0": 90.0, "gmv_logratio_30_prev30": 60.0}
+    reach = B.reaches(list(B.PROJECTED), 400)
+    assert {n: reach[n] for n in cases} == cases
+
+
+def small_panel(spark, rows):
+    """Rows of (user, day, gmv) with the other columns empty."""
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["user_id", "day", "gmv"])
+    for name in S.SHORT:
+        if name not in frame:
+            frame[name] = 1.0 if name == "srch" else 0.0
+    return S.marked(spark.createDataFrame(frame.astype({"gmv": float}))).repartition("user_id")
+
+
+def test_floor_reaches_blocks_across_users(spark, toy):
+    wide, floored = (B.build(toy["panel"], [300], toy["n_days"], ["rank", "cohortrel"], floor_days=f).toPandas().set_index("user_id") for f in (None, 60))
+    short = B.rank(toy["panel"], [300], toy["n_days"]).toPandas().set_index("user_id")
+    assert (floored.pct_gmv_30 == short.pct_gmv_30.reindex(floored.index)).all()
+    assert (wide.pct_gmv_365 != floored.pct_gmv_365.reindex(wide.index)).any()
+    assert (wide.cohort_rel_buy_rate90 != floored.cohort_rel_buy_rate90.reindex(wide.index)).any()
+
+
+def test_decay_on_a_very_long_panel(spark):
+    days = [0, 3000, 4190, 4210, 7300, 9000]
+    panel = small_panel(spark, [(1, d, 10.0) for d in days])
+    plan = Plan(9001)
+    got = features(panel, [4210, 7300, 9000], plan, {"e": plan.decay("gmv", 7)}).toPandas().set_index("anchor").e
+    for a in got.index:
+        assert got[a] == pytest.approx(sum(10 * 0.5 ** ((a - d) / 7) for d in days if d <= a), rel=1e-12)
+
+
+def test_lifetime_totals_follow_returns(spark):
+    panel = small_panel(spark, [(1, 5, 50.0), (1, 9, -30.0), (2, 9, 4.0)])
+    got = B.build(panel, [10], 40, ["base"]).toPandas().set_index("user_id")
+    assert got.gmv_total.to_dict() == {1: 20.0, 2: 4.0}
+
+
+def test_dense_from_a_later_day(spark):
+    panel = small_panel(spark, [(1, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (1, 12, 4.0), (2, 1, 9.0), (3, 5, 8.0)])
+    got = S.dense(panel, 10, first_day=5).toPandas().sort_values(["user_id", "day"])
+    assert got.groupby("user_id").day.apply(list).to_dict() == {u: [5, 6, 7, 8, 9] for u in (1, 2, 3)}
+    assert got[got.user_id == 1].gmv.tolist() == [0, 0, 3, 0, 0] and got[got.user_id == 3].gmv.tolist() == [8, 0, 0, 0, 0]
+
+
+def test_a_block_stored_twice_is_stored_once(spark, tmp_path):
+    block = spark.createDataFrame([(1, 7, 0.5), (2, 7, 0.25)], "anchor int, user_id long, x double")
+    tables.store_block(block, str(tmp_path), "b")
+    tables.store_block(block.filter("anchor = 2").selectExpr("anchor", "user_id", "x * 2 AS x"), str(tmp_path), "b")
+    tables.store_block(block, str(tmp_path), "b", floor_days=60)
+    got = tables.read_blocks(spark, str(tmp_path), ["b"], [1, 2], ["x"])
+    assert sorted((r.anchor, r.x) for r in got.collect()) == [(1, 0.5), (2, 0.5)]
+
+
+def test_nulls_do_not_collide_in_the_content_hash(spark):
+    rows = lambda *r: spark.createDataFrame([r], "a int, b int, c int")
+    kinds = [rows(1, None, 2), rows(1, 2, None), rows(None, 1, 2)]
+    assert len({tables.content_hash(k, "a", "b", "c").first()["content"] for k in kinds}) == 3
+
+
+def test_training_table_takes_every_block(spark, toy):
+    from daypanel.operators import folds as P
+
+    rows = P.stacked(toy["panel"], [200, 300], toy["n_days"], ["base", "rank", "cohortrel", "sbcent", "cumshare"], floor_days=180,
+                     keep=lambda names: [n for n in names if "gmv" in n or "hist" in n])
+    plain = P.stacked(toy["panel"], [200, 300], toy["n_days"], ["base"], floor_days=180)
+    assert rows.count() == plain.count() and {"pct_gmv_30", "y", "y_log"} <= set(rows.columns)
+    both = rows.join(plain.select("anchor", "user_id", "y", "gmv_sum_365"), ["anchor", "user_id", "y", "gmv_sum_365"])
+    assert both.count() == rows.count()
+    tall = P.stacked(toy["panel"], [200], toy["n_days"], ["rank"], horizons=(7, 30))
+    assert tall.count() == 2 * tall.select("user_id").distinct().count()
 
 
 def test_windows_against_loops(spark, toy):
