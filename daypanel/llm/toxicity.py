@@ -10,8 +10,8 @@ A sentence scores as its highest unit. Only documents carry labels, so the SVM i
 sentences of toxic documents and all sentences of clean ones, and witnesses are chosen anew in each round. A
 document's score is a logistic function of its highest sentences and its length, fitted on the same documents.
 
-Training reads a bounded sample: up to ``TRAIN_DOCS`` labelled documents of each class, of at most
-``TRAIN_BYTES`` each, first in the order of a hash. Scoring reads every whole text. Null and empty texts have no
+Training reads a bounded sample: the first ``TRAIN_DOCS`` labelled documents of each class in the order of a
+hash, those of at most ``TRAIN_BYTES``. Scoring reads every whole text. Null and empty texts have no
 units and get the score of an empty text. With no labels of both classes every score is the share of toxic
 labels, or 0. Repeated labels of a document count as toxic if any is. Columns other than doc_id and text are
 not read.
@@ -323,10 +323,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    some = docs.select("doc_id", "text").join(known, "doc_id").filter(F.octet_length("text").between(1, TRAIN_BYTES))
-    order = F.xxhash64("doc_id")
-    sample = [some.filter(F.col("toxic") == c).orderBy(order, "doc_id", "text").limit(TRAIN_DOCS) for c in (0, 1)]
-    rows = sample[0].union(sample[1]).select("text", "toxic").collect()
+    # Drawn by id alone: texts meet the drawn ids only, so none is sorted or sent before it is chosen.
+    drawn = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
+    short = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, TRAIN_BYTES))
+    met = short.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * TRAIN_DOCS ids
+    rows = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return fitted([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
