@@ -342,7 +342,10 @@ def f14_cohortrel(spark, folder):
     return out(B.build(d.panel, d.index(ANCHORS), d.n_days, ["cohortrel"]))
 
 
-@query("f15_noisectl")
+_UNIFORM = [f"((CAST('0x' || substr(md5(concat_ws(':', {k}, anchor, user_id)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)" for k in (1, 2)]
+
+
+@query("f15_noisectl", features_sql({"noise_ctl": f"sqrt(-2 * ln({_UNIFORM[0]})) * cos(2 * pi() * {_UNIFORM[1]})"}))
 def f15_noisectl(spark, folder):
     d = order_days(spark, folder)
     return out(B.build(d.panel, d.index(ANCHORS), d.n_days, ["noisectl"]))

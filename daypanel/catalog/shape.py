@@ -117,8 +117,7 @@ h AS (SELECT {SERIES}, least(greatest(CAST(trunc((x - lo) / greatest(hi - lo, 1e
 long_query("s_c_sbc_entropy", select({"histentropy": "-sum(share * ln(greatest(share, 1e-12)))"}, "h"),
            sbc(SH.SBC_FAMILIES["sbcent"]), W_SBC, _HIST)
 
-# -- spectra: a long-form Fourier transform as the oracle, on the shorter windows -------------------------
-W_SPEC = (14, 30, 60, 90)
+# -- spectra: a long-form Fourier transform as the oracle --------------------------------------------------
 
 
 def dft(value: str, floor: float) -> str:
@@ -131,7 +130,7 @@ sh AS (SELECT *, p / sum(p) OVER g AS q, sum(p) OVER (PARTITION BY {SERIES} ORDE
 
 _SPEC = {"spectralentropy": "-sum(q * ln(q))", "spectralflatness": "exp(avg(ln(p))) / (avg(p) + 1e-9)",
          "domfreqpower": "max(p)", "spectralrolloff": "min(CASE WHEN run >= 0.85 * total THEN f END)"}
-long_query("s_c_sbc_spectral", select(_SPEC, "sh"), sbc(list(_SPEC), W_SPEC), W_SPEC, dft("x", 1e-9), digits=4, domfreqpower=0)
+long_query("s_c_sbc_spectral", select(_SPEC, "sh"), sbc(list(_SPEC), W_SBC), W_SBC, dft("x", 1e-9), digits=4, domfreqpower=0)
 # The position of the largest power is not unique in a flat spectrum, so it has no oracle.
 long_query("s_c_sbc_spectral_peak", None, sbc(SH.SBC_FAMILIES["sbcspec"]), W_SBC)
 long_query("s_c_sbc_norm", None, sbc(SH.SBC_FAMILIES["sbcnorm"]), W_SBC, digits=4)
@@ -200,7 +199,7 @@ def fcast(family: str, windows=W_D):
 _HANN = "((x - mu) * (0.5 - 0.5 * cos(2 * pi() * t / (n - 1))))"
 _H = "(-sum(q * ln(q)))"
 long_query("s_d_omega", select({"omega_raw": f"1 - {_H} / ln(2 * pi())", "omega_bounded": f"1 - {_H} / ln(count(*))"}, "sh"),
-           fcast("fcomega", (90,)), (90,), dft(_HANN, 1e-12), digits=4)
+           fcast("fcomega"), W_D, dft(_HANN, 1e-12), digits=4)
 _STL = f""", tr AS (SELECT *, sum(x) OVER (PARTITION BY {SERIES} ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0 AS tt FROM c),
 se AS (SELECT *, avg(x - tt) OVER (PARTITION BY {SERIES}, (anchor - n + 1 + t) % 7) AS ss FROM tr)"""
 _VR = "var_pop(x - tt - ss)"

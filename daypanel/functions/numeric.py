@@ -24,7 +24,8 @@ def add_all(cols: list[Column]) -> Column:
 
 def hash_uniform(*keys: str, seed: int = 0) -> str:
     """SQL text of a number in (0, 1) that depends on the keys only, so any partitioning gives it again."""
-    return f"((pmod(xxhash64({seed}, {', '.join(keys)}), {2**52}L) + 0.5D) / {float(2**52)!r}D)"
+    text = f"concat_ws(':', {seed}, {', '.join(keys)})"
+    return f"((cast(conv(substring(md5({text}), 1, 8), 16, 10) as bigint) + 0.5D) / {float(2**32)!r}D)"
 
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:

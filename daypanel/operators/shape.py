@@ -364,7 +364,7 @@ def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS,
     names = list(TSFRESH)
     if complexity:
         table = table.withColumn("_lz", series.distinct_words("ts", "xs", "n"))
-        exprs["lempelziv"] = "_lz"
+        exprs["lempelziv"] = "_lz.lempelziv"
         names.append("lempelziv")
     return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in names}))
 
@@ -377,7 +377,7 @@ def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=F
         table = table.withColumn("_f", series.spectral("ts", "xs", "n"))
         exprs |= {n: f"_f.{n}" for n in FCAST_FAMILIES["fcomega"]}
     if set(want) & set(FCAST_FAMILIES["fcstl"]):
-        table = table.withColumn("_d", series.decomposed("ts", "xs", "n", F.expr("anchor - n + 1")))
+        table = table.withColumn("_d", series.decomposed("ts", "xs", "n"))
         exprs |= {n: f"_d.{n}" for n in FCAST_FAMILIES["fcstl"]}
     if set(want) & set(FCAST_FAMILIES["fcshift"]):
         half = "cast(n div 2 as int)"
