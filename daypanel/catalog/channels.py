@@ -33,7 +33,7 @@ def channel_query(name: str, body: str, make, ctes: str = GRID, **digits):
 
 def cols(parts: dict[str, str], source: str) -> str:
     frames = ", ".join(f"w{w} AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-                       for w in sorted({*WIN, *C.WINDOWS}))
+                       for w in sorted({*WIN, *C.WINDOWS, *C.DERIVED_WINDOWS}))
     listed = ",\n  ".join(f"{e} AS {n}" for n, e in parts.items())
     return f"""SELECT user_id, day, {listed} FROM {source}
 WINDOW so_far AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING), {frames}"""
@@ -66,10 +66,15 @@ _GEO = "(" + " + ".join(f"ln(1 + {b})" for b in _BLOCK) + ") / 3.0"
 
 channel_query("c1_base_channels", cols(_B, "g"), lambda rows, d: C.base_channels(rows))
 
-_DERIVED = {f"{n}_{w}": f"ln(1 + sum({e}) OVER w{w})" for n, e in
-            {"gmv": "gmv", "ord": "ord", "cart": "cart", "srch": "srch", "days": "active", "buydays": "buy"}.items() for w in WIN}
-_DERIVED |= {"recency": f"ln(1 + {since('active > 0')})", "recency_ord": f"ln(1 + {since('gmv > 0')})", "geo3": _GEO}
-channel_query("c2_derived_channels", cols(_DERIVED, "gc"), lambda rows, d: C.derived_channels(rows, d.n_days, WIN), ctes=_G)
+
+
+def derived_sql(windows) -> dict[str, str]:
+    c = {f"{n}_{w}": f"ln(1 + sum({e}) OVER w{w})" for n, e in
+         {"gmv": "gmv", "ord": "ord", "cart": "cart", "srch": "srch", "days": "active", "buydays": "buy"}.items() for w in windows}
+    return c | {"recency": f"ln(1 + {since('active > 0')})", "recency_ord": f"ln(1 + {since('gmv > 0')})", "geo3": _GEO}
+
+
+channel_query("c2_derived_channels", cols(derived_sql(WIN), "gc"), lambda rows, d: C.derived_channels(rows, d.n_days, WIN), ctes=_G)
 
 
 def _since_cols(rows, d):
@@ -96,14 +101,17 @@ def c5_population_index(spark, folder):
     return out(C.population_index(rows), ["day"])
 
 
-def _rolling(rows, d):
-    df = C.trailing_sums(rows, {"gmv": "gmv", "ord": "ord", "gmv2": "gmv * gmv", "ord2": "ord * ord"}, WIN, money={"gmv", "gmv2"})
-    return df.selectExpr(*DAY, *named({f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in WIN
+def _rolling(rows, d, windows=WIN):
+    df = C.trailing_sums(rows, {"gmv": "gmv", "ord": "ord", "gmv2": "gmv * gmv", "ord2": "ord * ord"}, windows, money={"gmv", "gmv2"})
+    return df.selectExpr(*DAY, *named({f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in windows
                                        for t, f in (("rm", C.mean_of), ("rs", C.sd_of))}))
 
 
-channel_query("c6_rolling_mean_std", cols({f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in WIN
-                                           for t, f in (("rm", rm), ("rs", rs))}, "g"), _rolling, digits=4)
+def rolling_sql(windows) -> dict[str, str]:
+    return {f"{n}_{t}{w}": f(n, w) for n in ("gmv", "ord") for w in windows for t, f in (("rm", rm), ("rs", rs))}
+
+
+channel_query("c6_rolling_mean_std", cols(rolling_sql(WIN), "g"), _rolling, digits=4)
 
 channel_query("c7_gmv_only", cols({"gmv": lg("gmv"), "gmv_rm7": lg(rm("gmv", 7)), "gmv_rm30": lg(rm("gmv", 30)), "active": "active"}, "g"),
               lambda rows, d: C.channels(rows, "gmv_only", d.n_days, d.first))
@@ -140,10 +148,9 @@ def per(a: str, b: str, w: int) -> str:
     return f"({rm(a, w)}) / ({rm(b, w)} + 1e-6)"
 
 
-def behav_sql() -> dict[str, str]:
-    c = full_sql() | _DS
-    c |= {"cart_minus_ord_d": lg(_GAP), "queue_age": lg("qage"), "cart_backlog": lg(f"sum({_GAP}) OVER so_far")}
-    for w in WIN:
+def behav_sql(windows=WIN) -> dict[str, str]:
+    c = {"cart_minus_ord_d": lg(_GAP), "queue_age": lg("qage"), "cart_backlog": lg(f"sum({_GAP}) OVER so_far")}
+    for w in windows:
         c |= {
             f"cart_minus_ord_{w}": lg(rm(_GAP, w)), f"conv_{w}": clip(per("ord", "cart", w), 1.5),
             f"aov_{w}": lg(clip(per("gmv", "ord", w), 5e4)), f"basket_{w}": clip(per("ord", "buy", w), 100),
@@ -155,7 +162,7 @@ def behav_sql() -> dict[str, str]:
     return c
 
 
-variant_query("c10_behav", "behav", behav_sql(), "qa", _Q, digits=4)
+variant_query("c10_behav", "behav", full_sql() | _DS | behav_sql(), "qa", _Q, digits=4)
 channel_query("c14_queue_age", "SELECT user_id, day, qage AS queue_age FROM qa",
               lambda rows, d: C.queue_age(rows).select(*DAY, "queue_age"), ctes=_Q)
 
@@ -164,13 +171,12 @@ _DATED = f"""{_G}, gd AS (SELECT *, dmin + CAST(day AS INT) AS dt, {since('activ
 _TENURE = "greatest(coalesce(day - min(CASE WHEN active > 0 THEN day END) OVER so_far, 0), 0)"
 
 
-def extra_sql() -> dict[str, str]:
-    c = full_sql() | _DS
-    c |= {f"gmv_rs{w}": lg(rs("gmv", w)) for w in WIN} | {f"active_rs{w}": rs("active", w) for w in WIN}
-    c |= {f"dsa_rs{w}": lg(rs("dsa_days", w)) for w in WIN}
-    c |= {f"{n}_cv{w}": clip(f"({rs(n, w)}) / ({rm(n, w)} + 1e-6)", 20) for n in ("gmv", "ord") for w in WIN}
-    c |= {f"{n}_{w}": clip(per(a, b, w), 20) for n, a, b in C.RATIOS for w in WIN}
-    a, b, e = WIN[0], WIN[1], WIN[3]
+def extra_sql(windows=WIN) -> dict[str, str]:
+    c = {f"gmv_rs{w}": lg(rs("gmv", w)) for w in windows} | {f"active_rs{w}": rs("active", w) for w in windows}
+    c |= {f"dsa_rs{w}": lg(rs("dsa_days", w)) for w in windows}
+    c |= {f"{n}_cv{w}": clip(f"({rs(n, w)}) / ({rm(n, w)} + 1e-6)", 20) for n in ("gmv", "ord") for w in windows}
+    c |= {f"{n}_{w}": clip(per(a, b, w), 20) for n, a, b in C.RATIOS for w in windows}
+    a, b, e = windows[0], windows[1], windows[3]
     c |= {f"trend_{a}_{b}": clip(f"({rm('gmv', a)}) / ({rm('gmv', b)} + 1e-6)", 20),
           f"trend_{b}_{e}": clip(f"({rm('gmv', b)}) / ({rm('gmv', e)} + 1e-6)", 20)}
     return c | {"tenure": lg(_TENURE), "cum_active": lg("sum(active) OVER so_far"),
@@ -181,10 +187,10 @@ _DOW = "(isodow(dt) - 1) * 2 * pi() / 7"
 _DOY = "dayofyear(dt) * 2 * pi() / 365.25"
 CALENDAR = {"dow_sin": f"sin({_DOW})", "dow_cos": f"cos({_DOW})", "dom": "day(dt) / 31.0",
             "moy_sin": f"sin({_DOY})", "moy_cos": f"cos({_DOY})"}
-variant_query("c11_extra", "extra", extra_sql() | CALENDAR, "gd", _DATED, digits=4)
-variant_query("c13_extra_nocal", "extra_nocal", extra_sql(), "gd", _DATED, digits=4)
+variant_query("c11_extra", "extra", full_sql() | _DS | extra_sql() | CALENDAR, "gd", _DATED, digits=4)
+variant_query("c13_extra_nocal", "extra_nocal", full_sql() | _DS | extra_sql(), "gd", _DATED, digits=4)
 variant_query("c13_extra_nodoy", "extra_nodoy",
-              extra_sql() | {n: CALENDAR[n] for n in ("dow_sin", "dow_cos", "dom")}, "gd", _DATED, digits=4)
+              full_sql() | _DS | extra_sql() | {n: CALENDAR[n] for n in ("dow_sin", "dow_cos", "dom")}, "gd", _DATED, digits=4)
 
 
 @query("c12_calendar", sql_result(
@@ -216,9 +222,30 @@ _LONG = {f"{n}_rm{w}": lg(rm(COLUMNS[n], w)) for n in ("gmv", "to_ord", "searche
 _LONG |= {f"{n}_rate{w}": rm(COLUMNS[n], w) for n in FLAGS for w in C.WINDOWS} | {f"active_rm{w}": rm("active", w) for w in C.WINDOWS}
 
 
-@query("c8_full_orders", sql_result(
-    f"SELECT user_id, {', '.join(f'avg({n}) AS {n}' for n in _LONG)} FROM ({cols(_LONG, 'g')}) GROUP BY user_id", ["user_id"], ctes=_ORDER_GRID))
-def c8_full_orders(spark, folder):
-    d = order_days(spark, folder)
-    rows = C.channels(S.dense(S.binary_flags(d.panel), d.n_days), "full", d.n_days, d.first)
-    return out(rows.groupBy("user_id").agg(*[F.expr(f"avg({n}) AS {n}") for n in _LONG]), ["user_id"])
+def order_query(name: str, parts: dict[str, str], make, source: str = "gc", ctes: str = "", **digits):
+    def run(spark, folder):
+        d = order_days(spark, folder)
+        rows = make(S.dense(S.binary_flags(d.panel), d.n_days), d)
+        return out(rows.groupBy("user_id").agg(*[F.expr(f"avg({n}) AS {n}") for n in parts]), ["user_id"], **digits)
+
+    means = f"SELECT user_id, {', '.join(f'avg({n}) AS {n}' for n in parts)} FROM ({cols(parts, source)}) GROUP BY user_id"
+    query(name, sql_result(means, ["user_id"], ctes=f"{_ORDER_GRID}, gc AS (SELECT * FROM g, cal){ctes}", **digits))(run)
+
+
+def order_variant(name: str, variant: str, parts: dict[str, str], source: str = "gc", ctes: str = "", **digits):
+    order_query(name, parts, lambda rows, d: C.channels(rows, variant, d.n_days, d.first), source, ctes, **digits)
+
+
+order_variant("c8_full_orders", "full", _LONG)
+order_query("c2_derived_orders", derived_sql(C.DERIVED_WINDOWS), lambda rows, d: C.derived_channels(rows, d.n_days))
+order_query("c6_rolling_orders", rolling_sql(C.WINDOWS), lambda rows, d: _rolling(rows, d, C.WINDOWS), digits=3)
+# The oldest cart addition that the orders so far leave open, found by nearest match on the running counts.
+_QUEUE = """, run AS (SELECT *, sum(cart) OVER so_far AS cc, sum(ord) OVER so_far AS co FROM gc
+  WINDOW so_far AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING)),
+reached AS (SELECT user_id, cc, min(day) AS at FROM run GROUP BY user_id, cc),
+qa AS (SELECT r.* EXCLUDE (cc, co), greatest(r.day - coalesce(j.at, r.n_days), 0) AS qage
+  FROM run r ASOF LEFT JOIN reached j ON r.user_id = j.user_id AND r.co <= j.cc)"""
+order_variant("c10_behav_orders", "behav", behav_sql(C.WINDOWS), "qa", _QUEUE, digits=3)
+_DAYS_SINCE = f""", gd AS (SELECT *, {since('active > 0')} AS dsa_days FROM gc
+  WINDOW so_far AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING))"""
+order_variant("c11_extra_orders", "extra", extra_sql(C.WINDOWS), "gd", _DAYS_SINCE, digits=3)

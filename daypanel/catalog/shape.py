@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from ..operators import blocks as B
 from ..operators import shape as SH
 from .common import ANCHORS, ORDER_P, anchor_cte, order_days, out, query, sql_result
@@ -124,17 +126,31 @@ def dft(value: str, floor: float) -> str:
     return f""", bins AS (SELECT c.*, unnest(range(n // 2 + 1)) AS f FROM c),
 pw AS (SELECT {SERIES}, f, pow(sum({value} * cos(2 * pi() * f * t / n)), 2) + pow(sum({value} * sin(2 * pi() * f * t / n)), 2) + {floor} AS p
   FROM bins GROUP BY {SERIES}, f),
-sh AS (SELECT *, p / sum(p) OVER g AS q, sum(p) OVER (PARTITION BY {SERIES} ORDER BY f) AS run, sum(p) OVER g AS total
+sh AS (SELECT *, p / sum(p) OVER g AS q, sum(p) OVER (PARTITION BY {SERIES} ORDER BY f) AS run, sum(p) OVER g AS total, max(p) OVER g AS peak
   FROM pw WINDOW g AS (PARTITION BY {SERIES}))"""
 
 
 _SPEC = {"spectralentropy": "-sum(q * ln(q))", "spectralflatness": "exp(avg(ln(p))) / (avg(p) + 1e-9)",
          "domfreqpower": "max(p)", "spectralrolloff": "min(CASE WHEN run >= 0.85 * total THEN f END)"}
 long_query("s_c_sbc_spectral", select(_SPEC, "sh"), sbc(list(_SPEC), W_SBC), W_SBC, dft("x", 1e-9), digits=4, domfreqpower=0)
-# The position of the largest power is not unique in a flat spectrum, so it has no oracle.
-long_query("s_c_sbc_spectral_peak", None, sbc(SH.SBC_FAMILIES["sbcspec"]), W_SBC)
+long_query("s_c_sbc_spectral_peak", select({"fftmaxfreq": "min(f) FILTER (p >= peak * (1 - 1e-9)) / CAST(n AS DOUBLE)"}, "sh"),
+           sbc(["fftmaxfreq"]), W_SBC, dft("x", 1e-9), digits=4)
 long_query("s_c_sbc_norm", None, sbc(SH.SBC_FAMILIES["sbcnorm"]), W_SBC, digits=4)
 
+
+def _score_rows() -> str:
+    """Normal scores of the series lengths of this panel; the first anchor has less than a year behind it."""
+    first = (ANCHORS[0] - date(1995, 1, 1)).days + 1
+    table = SH.normal_scores([min(w, first) for w in W_SBC] + list(W_SBC))
+    return ", ".join(f"({n}, {i}, {x!r}::DOUBLE)" for n, scores, _ in table for i, x in enumerate(scores, 1))
+
+
+_FRANCIA = f""", ns AS (SELECT * FROM (VALUES {_score_rows()}) v(n, i, score)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY x) AS i FROM c),
+fr AS (SELECT ranked.*, score FROM ranked JOIN ns ON ns.n = ranked.n AND ns.i = ranked.i)"""
+long_query("s_c_sbc_francia", select({"shapirofrancia": "pow(sum(x * score), 2) / greatest(n * var_pop(x) * sum(score * score), 1e-12)"}, "fr"),
+           sbc(["shapirofrancia"]), W_SBC, _FRANCIA, digits=4)
+
 # -- tsfeat ----------------------------------------------------------------------------------------------
 W_A = (30, 90)
 _K7 = "round(n / 7.0)"
@@ -223,7 +239,8 @@ _ACFS = f"(SELECT anchor, user_id, metric, w, [{', '.join(f'round({pearson(k)},
 long_query("s_d_acf", f"""SELECT anchor, user_id, metric, w, list_sum(list_transform(r, lambda y: abs(y))) AS acf_abssum,
   list_max(r) AS acf_max FROM {_ACFS}""",
            lambda panel, anchors: SH.fcast_table(panel, anchors, ["acf_abssum", "acf_max"]), W_D, _ACF, digits=4)
-long_query("s_d_acf_argmax", None, fcast("fcacf"), W_D)
+long_query("s_d_acf_argmax", f"SELECT anchor, user_id, metric, w, list_position([y >= list_max(r) - 1e-7 for y in r], true) AS acf_argmax FROM {_ACFS}",
+           lambda panel, anchors: SH.fcast_table(panel, anchors, ["acf_argmax"]), W_D, _ACF)
 
 
 def wide_query(name: str, blocks: list[str]):

@@ -410,7 +410,8 @@ def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=F
     if set(want) & set(FCAST_FAMILIES["fcacf"]):
         table = table.selectExpr("*", f"array({', '.join(_acf(k) for k in LAGS)}) AS acf")
         exprs["acf_abssum"] = "aggregate(acf, 0D, (s, x) -> s + abs(x))"
-        exprs["acf_argmax"] = "array_position(acf, array_max(acf))"
+        # Correlations that differ in the last digits are equal, and the shortest lag counts.
+        exprs["acf_argmax"] = "array_position(transform(acf, x -> x >= array_max(acf) - 1e-7D), true)"
         exprs["acf_max"] = "array_max(acf)"
     return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in want}))
 
