@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 TRAIN_BYTES = 20_000
 ORDER = 3
 DECAY = 0.7
@@ -123,8 +123,14 @@ class Landmarks:
         for column, s in enumerate(strings):
             at, weight = _triples(len(s))
             np.add.at(self.table[:, column], self._numbers(_codes([s]), at)[0], weight)
-        norm = np.sqrt((self.table.astype(float) ** 2).sum(0))
-        self.table /= np.maximum(norm, 1e-6)
+        norm = np.sqrt(np.einsum("tm,tm->m", self.table, self.table))
+        self.table /= np.maximum(norm, np.float32(1e-6))
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """The table of the weighted sum; the single columns are dropped."""
+        out = self.table @ weights[:, None].astype(np.float32)
+        self.table = np.zeros((0, 0), np.float32)
+        return out
 
     def _numbers(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         place = np.searchsorted(self.letters, codes)
@@ -251,7 +257,8 @@ def fitted(texts: list[str], toxic: list[int], toxic_share: float) -> Model:
     bias[0] = np.log(max(toxic_share, 1e-9) / max(1 - toxic_share, 1e-9))
     if len(set(toxic)) < 2:
         return Model(None, np.zeros((0, 1)), -2.0, bias)
-    docs = [[u for u in map(sentence_units, sentences(t)) if u] for t in texts]
+    one: dict[str, str] = {}  # each unit once in memory
+    docs = [[tuple(one.setdefault(u, u) for u in s) for s in map(sentence_units, sentences(t)) if s] for t in texts]
     counts: dict[str, list[int]] = {}
     for doc, label in zip(docs, toxic):
         for unit in set().union(*doc):
@@ -281,13 +288,13 @@ def fitted(texts: list[str], toxic: list[int], toxic_share: float) -> Model:
         whiten = vector @ np.diag(np.where(value > 1e-4, 1 / np.sqrt(np.maximum(value, 1e-4)), 0)) @ vector.T
         changed = [_inserted(u, k) for u in wicked for k in range(VARIANTS) if len(u) > ORDER + 1]
         units = list(bad) + changed + list(good)
-        x = landmarks.values(units) @ whiten
+        x = landmarks.values(units) @ whiten.astype(np.float32)
         side = np.r_[np.ones(len(bad) + len(changed)), -np.ones(len(good))]
         weight = np.r_[np.sqrt(list(bad.values())), np.full(len(changed), 0.2), np.sqrt(list(good.values()))]
         for label in (1, -1):
             weight[side == label] /= 2 * max(1e-9, weight[side == label].sum())
         w, offset = _svm(x, side, weight)
-        model = Model(landmarks, (landmarks.table @ (whiten @ w)[:, None]).astype(np.float32), offset, bias)
+        model = Model(landmarks, landmarks.folded(whiten @ w), offset, bias)
         every = list(counts)
         score = dict(zip(every, model.unit_scores(every).tolist()))
     # Toxic documents count again, with less weight, with a letter put into every insult.
@@ -299,7 +306,8 @@ def fitted(texts: list[str], toxic: list[int], toxic_share: float) -> Model:
                 text = text.replace(u, _inserted(u, VARIANTS))
             hidden.append(text)
     scorer_ = Scorer(model)
-    features = np.vstack([scorer_.documents(texts), scorer_.documents(hidden)])
+    both = texts + hidden
+    features = np.vstack([scorer_.documents(both[a : a + 200]) for a in range(0, len(both), 200)])
     share = np.where(y == 1, toxic_share / total[1], (1 - toxic_share) / total[0]) * len(y)
     share = np.r_[share, np.full(len(hidden), HIDDEN * toxic_share / total[1] * len(y))]
     model.document = _logistic(features, np.r_[y, np.ones(len(hidden))], share)
