@@ -161,6 +161,7 @@ class _Search:
         self.filed = cut(filed.join(crowd, "v"))
         self.tested: list[DataFrame] = []
         self.links: list[DataFrame] = []
+        self.known: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> int:
         """Align the pairs (a, b) that were not aligned before; the number of new links."""
@@ -178,11 +179,18 @@ class _Search:
         right = texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", _aligned("x", "y").alias("similarity"))
         links = cut(scored.filter(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b").distinct())
-        self.links.append(links)
-        return links.count()
+        found = links.count()
+        if found:
+            self.links.append(links)
+            self.known = None
+        return found
 
     def groups(self) -> DataFrame:
-        return components(reduce(DataFrame.union, self.links))
+        """(id, root) of the vertices linked so far; worked out again only after new links."""
+        if self.known is None:
+            none = self.vertices.limit(0).select(F.col("v").alias("a"), F.col("v").alias("b"))
+            self.known = cut(components(reduce(DataFrame.union, self.links, none)))
+        return self.known
 
     def placed(self, filed: DataFrame) -> DataFrame:
         """Filed keys with the component of each vertex, without the buckets of one component."""
