@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1200
 TRAIN_BYTES = 20_000
 ORDER = 3
 DECAY = 0.7
