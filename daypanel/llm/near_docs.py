@@ -12,8 +12,11 @@ Similarity is common / (n + m - common), the ordered form of the Jaccard index o
 Documents of equal words are one vertex. Pairs come from key buckets, in two steps: every vertex is first
 compared with the leaders of its buckets (the members whose buckets hold most documents, so the middle of a
 crowd), which merges most groups with a few comparisons per document. Then, in every bucket that still holds
-several components, all pairs across components are compared; buckets of more than ``LIGHT`` members, where
-that would be quadratic, draw a few new leaders per round instead, until a round links nothing.
+several components, all pairs across components are compared. Buckets of more than ``LIGHT`` members, where
+that would be quadratic, draw a few new leaders per round instead, until a round links nothing. What still
+shares such a bucket across components is then filed under the rarest of its labels: two sequences of the
+threshold share a label among the rarest fifth of each, at ranks and positions that leave room for the rest.
+All pairs across components that do are compared, so no partner is left to the draw.
 
 Rows without words (null, empty, only punctuation) are alike to nothing and stay. Rows that repeat wholly are
 equal texts, of which one stays. Empty tables give empty results. Other columns are passed through untouched.
@@ -39,6 +42,7 @@ SKETCHES = 24
 PICKED = 4
 LIGHT = 32
 PARTNERS = 2  # leaders a vertex is compared with per round, those it shares most buckets with
+CELL = 1 << 16  # comparisons of one label that a task makes for one key of the join
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = T.StructType().add("digest", T.BinaryType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
@@ -99,6 +103,17 @@ def _sketched(texts: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _labels(texts: pa.Array) -> pa.Array:
+    flat, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in parts(texts):
+        h, ptr = Words(texts.slice(a, b - a)).shingles()
+        sizes.append(np.diff(ptr))
+        flat += [labelled(h[s:e]) for s, e in zip(ptr[:-1], ptr[1:])]
+    ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64), pa.int64()))
+
+
 def ordered_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """common / (n + m - common) for the longest common subsequence of two label sequences.
 
@@ -163,6 +178,13 @@ class _Search:
         self.links: list[DataFrame] = []
         self.known: DataFrame | None = None
 
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """(v, text) of the vertices ``wanted`` (v)."""
+        wanted = wanted.join(self.vertices.select("v", "doc_id", "text_hash"), "v").alias("w")
+        d = self.docs.alias("d")
+        same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
+        return d.join(wanted, same).select("w.v", "d.text")
+
     def verify(self, pairs: DataFrame) -> int:
         """Align the pairs (a, b) that were not aligned before; the number of new links."""
         pairs = pairs.select("a", "b").distinct()
@@ -170,11 +192,7 @@ class _Search:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         self.tested.append(pairs)
-        wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(self.vertices.select("v", "doc_id", "text_hash"), "v").alias("w")
-        d = self.docs.alias("d")
-        same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
-        texts = d.join(wanted, same).select("w.v", "d.text")
+        texts = self.texts(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
         left = texts.select(F.col("v").alias("a"), F.col("text").alias("x"))
         right = texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", _aligned("x", "y").alias("similarity"))
@@ -208,6 +226,61 @@ class _Search:
         best = Window.partitionBy("v").orderBy(F.desc("times"), "leader")
         return met.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= PARTNERS).select(*_pair("v", "leader"))
 
+    def within_reach(self, members: DataFrame) -> DataFrame:
+        """All pairs (a, b) of ``members`` (v, n, root) in different components that may reach the threshold.
+
+        In the order of rarity, labels of one component before all others, the first label of a common
+        subsequence has all of it behind it on both sides. So the shorter text holds it among its first
+        n - 2 s / (1 + s) n labels and the longer one among its first n - s n.
+        """
+        read = self.texts(members.select("v")).groupBy("v").agg(F.first("text").alias("text"))
+        found = cut(members.join(read, "v").select("v", "n", "root", F.posexplode(_labels("text")).alias("pos", "label")))
+        shared = found.groupBy("label").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        found = found.join(shared.filter("lo < hi").select("label", "often"), "label")
+        turn = F.row_number().over(Window.partitionBy("v").orderBy("often", "label"))
+        behind = F.count(F.lit(1)).over(Window.partitionBy("v")) - turn + 1  # labels from this one on
+        first = cut(found.withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * F.lit(SIMILARITY) - 1e-6).drop("often"))
+
+        # The largest component of a label is compared with the others only, so that it is never paired with itself.
+        held = first.groupBy("label", "root").agg(F.count(F.lit(1)).alias("held"))
+        main = held.groupBy("label").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+        first = first.join(main.filter("roots > 1").drop("roots"), "label")
+        is_main = F.col("root") == F.col("main")
+        side = lambda alone, others: F.explode(F.when(is_main, F.array(F.lit(alone))).otherwise(F.array(F.lit(0), F.lit(others))))
+        short = first.filter(F.col("behind") >= F.col("n") * F.lit(2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+        x, y = cut(short.withColumn("side", side(2, 1)).drop("main")), cut(first.withColumn("side", side(1, 2)).drop("main"))
+        key = ["label", "side"]
+        sizes = x.groupBy(*key).agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*key).agg(F.count(F.lit(1)).alias("ny")), key)
+        sizes = cut(sizes.select(*key, (F.col("nx") >= F.col("ny")).alias("x_dealt"), F.ceil(F.col("nx") * F.col("ny") / CELL).alias("cells")))
+        one, each = F.array(F.pmod(F.xxhash64("v"), F.col("cells"))), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+        x = x.join(sizes, key).withColumn("cell", F.explode(F.when(F.col("x_dealt"), one).otherwise(each))).alias("x")
+        y = y.join(sizes, key).withColumn("cell", F.explode(F.when(F.col("x_dealt"), each).otherwise(one))).alias("y")
+        c = F.col
+        needed = (c("x.n") + c("y.n")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - 1e-6
+        before, after = F.least("x.pos", "y.pos"), F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))
+        fits = (
+            (c("x.root") != c("y.root")) & (F.struct("x.n", "x.v") < F.struct("y.n", "y.v")) & _alike_length("x.n", "y.n")
+            & (F.least("x.behind", "y.behind") >= needed) & (before + after >= needed)
+        )
+        same = (c("x.label") == c("y.label")) & (c("x.side") == c("y.side")) & (c("x.cell") == c("y.cell"))
+        return x.join(y, same & fits).select(*_pair("x.v", "y.v")).distinct()
+
+    def finish(self, rest: DataFrame) -> None:
+        """Compare what still shares a bucket across components: a pair of each two components, then all pairs left."""
+        pairs = cut(self.within_reach(cut(rest.select("v", "n", "root").distinct())))
+        for all_pairs in (False, True):
+            roots = self.groups()
+            for end in ("a", "b"):
+                pairs = pairs.drop(f"root_{end}").join(roots.withColumnsRenamed({"id": end, "root": f"root_{end}"}), end, "left")
+                pairs = pairs.withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+            pairs = cut(pairs.filter("root_a != root_b"))
+            if all_pairs:
+                self.verify(pairs)
+            else:
+                ends = [f("root_a", "root_b").alias(n) for f, n in ((F.least, "lo"), (F.greatest, "hi"))]
+                one = F.min(F.struct(F.xxhash64("a", "b"), "a", "b")).alias("p")
+                self.verify(pairs.select("a", "b", *ends).groupBy("lo", "hi").agg(one).select("p.a", "p.b"))
+
     def run(self) -> None:
         middle = F.max(F.struct("crowd", F.expr("-v").alias("order"), "v", "n")).alias("top")
         leaders = self.filed.groupBy("key").agg(middle).select("key", F.col("top.v").alias("leader"), F.col("top.n").alias("leader_n"))
@@ -232,6 +305,8 @@ class _Search:
             if self.verify(self.with_leaders(rest, leaders, across=True)) == 0:
                 break
             turn += 1
+        if not rest.isEmpty():
+            self.finish(rest)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -247,6 +247,18 @@ def test_near_documents(spark, crowd):
     assert len(set(want)) < len(crowd) - 80
 
 
+def test_partners_in_crowded_buckets(spark):
+    """Texts on one template at 0.75 to each other, and pairs of them right above the threshold."""
+    template, texts = prose(8, 260), []
+    for k in range(160):
+        own = [f"p{k // 2}x{j}" for j in range(9)] + [f"o{k}x{j}" for j in range(24)] if k < 120 else [f"o{k}x{j}" for j in range(33)]
+        texts.append(" ".join(template[:100] + own + template[133:]))
+    got = {r.doc_id: r.class_id for r in near_docs.classes(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    want = groups(texts)
+    assert want == [k - k % 2 if k < 120 else k for k in range(160)]
+    assert [got[k] for k in range(160)] == want
+
+
 def test_near_documents_odd_rows(spark, odd):
     kept = near_docs.deduplicated(frame(spark, odd))
     assert kept.columns == frame(spark, []).columns
