@@ -2,7 +2,7 @@
 
 Every stage reads what the stage before kept and applies its decisions: toxic documents, all but one document
 of each group of near-duplicates, and documents that hold benchmark passages go; the rest is written in the
-order of the source mix; the last stage adds each document's shard and its slot in it.
+order of the source mix; the last stage adds each document's shard and its slot in it, which follows the mix.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from daypanel.llm import decontaminate, mixing, near_docs, sharding, toxicity
 from daypanel.sources.tables import scratch
 
+# Target weights of the sources; None makes them proportional to the square root of a source's documents.
+MIX_WEIGHTS: dict[str, float] | None = None
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,12 +37,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pfair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order in which the mix of sources is read."""
-    return mixing.in_mix_order(docs)
+    return mixing.in_mix_order(docs, MIX_WEIGHTS)
 
 
 def bounded_ring_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with ``shard`` and ``slot``."""
-    return sharding.with_shards(docs)
+    """All documents with ``shard`` and ``slot``; the slots of a shard are in the order of the mix.
+
+    Files promise no order, so that of the mix is worked out again from the same rows.
+    """
+    return sharding.with_shards(docs, order=mixing.mixed(docs, MIX_WEIGHTS))
 
 
 STAGES: list[tuple[str, Stage]] = [

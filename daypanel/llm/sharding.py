@@ -105,11 +105,22 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0) -> DataFr
     )
 
 
-def with_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with all their columns, ``shard`` and ``slot``."""
+def with_shards(docs: DataFrame, shards: int = SHARDS, order: DataFrame | None = None) -> DataFrame:
+    """``docs`` with all their columns, ``shard`` and ``slot``.
+
+    ``order`` has (doc_id, text_hash, position) per row of ``docs``; the slots of a shard then follow position.
+    """
     places = sharded(docs.select("doc_id", "text"), shards).select("doc_id", "text_hash", "shard", "slot")
     turn = Window.partitionBy("doc_id", "text_hash").orderBy("shard", "slot")
-    places = places.withColumn("turn", F.row_number().over(turn)).alias("p")
+    places = places.withColumn("turn", F.row_number().over(turn))
+    if order is not None:
+        by_position = Window.partitionBy("doc_id", "text_hash").orderBy("position")
+        order = order.select("doc_id", "text_hash", "position").withColumn("turn", F.row_number().over(by_position)).alias("o")
+        left = places.alias("p")
+        same = F.col("p.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("p.text_hash") == F.col("o.text_hash")) & (F.col("p.turn") == F.col("o.turn"))
+        placed = left.join(order, same).select("p.doc_id", "p.text_hash", "p.turn", "p.shard", F.col("o.position").alias("place"))
+        places = ordinal_positions(placed, ["shard"], ["place"]).select("doc_id", "text_hash", "turn", "shard", (F.col("position") - 1).alias("slot"))
+    places = places.alias("p")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))).alias("r")
     same = F.col("r._id").eqNullSafe(F.col("p.doc_id")) & (F.col("r._hash") == F.col("p.text_hash")) & (F.col("r._turn") == F.col("p.turn"))

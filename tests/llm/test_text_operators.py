@@ -390,3 +390,28 @@ def test_pipeline_against_its_parts(spark):
     assert all(hashlib.md5(r.text.encode()).digest() == hashlib.md5(texts[r.doc_id].encode()).digest() for r in out)
     counts = np.bincount([r.shard for r in out], minlength=sharding.SHARDS)
     assert counts.max() - counts.min() <= 1
+
+
+def test_slots_of_the_pipeline_follow_the_mix(spark, odd, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = odd + [(100 + k, f"t{k}", "big" if k % 3 else "src1") for k in range(600)]
+    frame(spark, rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    slots = []
+    for weights in ({"big": 0.9, "src1": 0.1}, {"big": 0.1, "src1": 0.9}):
+        monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert len(out) == len(rows)
+        counts = np.bincount([r.shard for r in out], minlength=sharding.SHARDS)
+        assert counts.max() - counts.min() <= 1
+        position = {r.doc_id: r.position for r in mixing.mixed(docs, weights).collect()}
+        for s in range(sharding.SHARDS):
+            inside = sorted((r for r in out if r.shard == s), key=lambda r: r.slot)
+            assert [r.slot for r in inside] == list(range(len(inside)))
+            once = [position[r.doc_id] for r in inside if r.doc_id not in (None, 25)]  # 25 and null are ids of two rows
+            assert once == sorted(once)
+        slots.append({r.doc_id: (r.shard, r.slot) for r in out if r.doc_id not in (None, 25)})
+    assert all(slots[0][k][0] == slots[1][k][0] for k in slots[0])
+    assert slots[0] != slots[1]
