@@ -10,7 +10,9 @@ threshold; hosts that neither reaches are allowed.
 Host edges are hyperlinks to other hosts, weighted by the logarithm of their number, and the domain tree, in
 which a host and its parent domain vouch for each other. Links and pages are added up per host before any
 shuffle by host, and the graph has one row per pair of hosts, so a host with most pages is a row like any
-other. The iterations work on that graph alone and are checkpointed every few rounds.
+other. The iterations work on that graph alone and are checkpointed every few rounds. They go on until no new
+host is reached and no host's rank changes by more than ``SETTLED`` of itself. Ranks shrink as the corpus grows,
+so they are never rounded, only the share is; what a double cannot hold (below 1e-300) flows no further.
 
 A null url or one without ``://`` has an empty host and path, fits no rule and is allowed. Null html has no
 links. Rows that repeat are judged one by one (and weigh as pages of their own). Empty tables give empty
@@ -33,6 +35,7 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 16
+SETTLED = 1e-4
 THRESHOLD = 0.5
 DOMAIN_WEIGHT = 1.0
 
@@ -80,15 +83,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     known = pages.select("host").union(links.select("dst")).filter("host != ''").distinct()
     # Parents down to the registered domain: a bare suffix such as "com" vouches for nobody.
     line = F.filter(ancestors(F.col("host")), lambda a: a.contains("."))
-    steps = known.select(F.explode(F.arrays_zip(F.slice(line, 1, 100).alias("a"), F.slice(line, 2, 100).alias("b"))).alias("s"))
+    steps = known.select(F.explode(F.arrays_zip(line.alias("a"), F.slice(line, F.lit(2), F.size(line)).alias("b"))).alias("s"))
     steps = steps.select(F.col("s.a").alias("src"), F.col("s.b").alias("dst")).filter("dst is not null").distinct()
     tree = steps.union(steps.select("dst", "src")).withColumn("weight", F.lit(DOMAIN_WEIGHT))
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, settled: float | None = None) -> DataFrame:
     """(host, kind, rank) of personalised PageRank per kind from seeds (host, kind, share).
 
+    After ``rounds`` rounds it goes on, if ``settled`` is given, until the last round reached no new host and
+    changed no host's rank by more than this part of it.
     ``trust`` follows the edges, ``distrust`` goes against them. A host with nowhere to go keeps its rank.
     """
     flows = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").union(
@@ -100,12 +105,24 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     flows = cut(flows.union(stuck))
     start = seeds.select("kind", F.col("host"), ((1 - DAMPING) * F.col("share")).alias("rank"))
     ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
-    for turn in range(1, rounds + 1):
+    turn = 0
+    while True:
+        turn += 1
+        before = ranks
         moved = flows.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
-        ranks = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 1e-300")
         if turn % 4 == 0:
-            ranks = cut(ranks)
-    return ranks
+            if settled is not None and turn >= rounds:
+                # The round's start rides along, so that the comparison needs no second pass over the flows.
+                both = before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")).union(ranks.select("kind", "host", "rank", F.lit(0.0)))
+                both = cut(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+                ranks = both.filter("rank > 0").select("kind", "host", "rank")
+                if both.filter(F.abs(F.col("rank") - F.col("old")) > settled * F.col("rank")).isEmpty():
+                    return ranks
+            else:
+                ranks = cut(ranks)
+        if turn == rounds and settled is None:
+            return ranks
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,12 +140,11 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     whole = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = cut(seeds.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("share")))
     edges = host_edges(pages.select(host_of(url).alias("host"), "html"))
-    ranks = propagated(edges, seeds)
-    # Rounded so that the order of additions does not decide.
-    trust = F.round(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)), 9)
-    distrust = F.round(F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)), 9)
+    ranks = propagated(edges, seeds, settled=SETTLED)
+    trust = F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0))
+    distrust = F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0))
     hosts = ranks.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
-    share = F.when(F.col("trust") + F.col("distrust") > 0, F.col("trust") / (F.col("trust") + F.col("distrust")))
+    share = F.when(F.col("trust") + F.col("distrust") > 0, F.round(F.col("trust") / (F.col("trust") + F.col("distrust")), 9))  # the order of additions does not decide
     hosts = hosts.select("host", share.alias("trust_share"))
     by_method = F.when(F.col("trust_share") < threshold, "block").otherwise("allow")
     return ruled.join(hosts, "host", "left").select(

@@ -232,6 +232,26 @@ def test_rules_and_odd_urls(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_far_hosts_of_a_large_corpus_are_judged(spark):
+    """A chain of 24 hosts up to one blocked page, crowded at its start, beside many blocked pages elsewhere."""
+    link = lambda host: f"<a href='http://{host}/'>"
+    rows = [("http://bad.com/en/1", None)] + [(f"http://c{k}.zz/", link(f"c{k - 1}.zz" if k else "bad.com")) for k in range(24)]
+    rows += [(f"http://s{j}.{k}x.zz/", link(f"c{k}.zz")) for k in range(4) for j in range(30)]
+    rows += [("http://far.zz/", None)]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    crowd = spark.range(1000, 21000).selectExpr("id as page_id", "'http://bulk.org/es/1' as url", "cast(null as string) as html")
+    for corpus in (pages, pages.union(crowd)):
+        got = {r.host: (r.verdict, r.trust_share) for r in url_filter.judged(corpus).filter("page_id < 1000").collect()}
+        assert {h for h, (v, _) in got.items() if v == "allow"} == {"far.zz"}
+        assert all(share == 0 for h, (_, share) in got.items() if h != "far.zz")
+
+
+def test_deep_domains_are_linked_to_the_end(spark):
+    host = ".".join(["a"] * 126 + ["zz"])
+    got = url_filter.host_edges(spark.createDataFrame([(host, None)], "host string, html string")).collect()
+    assert len(got) == 2 * 125
+
+
 def test_links_become_host_edges(spark):
     pages = spark.createDataFrame([("a.x.com", "<a href='https://B.org/1'><img src=//a.x.com/i><a href=//b.org>"), ("b.org", None), ("", "href=//z.com")],
                                   "host string, html string")
