@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import language, line_dedup, mixing, near_docs, near_vectors, secrets, sharding, toxicity, url_filter
+from . import language, line_dedup, mixing, near_docs, near_vectors, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -220,3 +220,11 @@ FROM embeddings LEFT JOIN c ON vec_id = c.id LEFT JOIN n ON vec_id = n.id
 @query("op1_multi_index_vectors", NEAR_VECTORS)
 def multi_index_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.linked(table(spark, folder, "embeddings"))
+
+
+@query("op13_transducer_token_counts")
+def transducer_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
