@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import language, line_dedup, mixing, near_docs, near_vectors, secrets, sharding, tokens, toxicity, url_filter
+from . import language, line_dedup, manifest, mixing, near_docs, near_vectors, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -228,3 +228,65 @@ def transducer_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     counted = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+# CRC-32 over the bytes of an ASCII string ``s``, with the table of its 256 one-byte remainders in column ``crc``.
+CRC_TABLE = "(SELECT [list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) FOR x IN range(256)] AS crc)"
+CRC = "xor(list_reduce(list_prepend(4294967295, [ord(x)::BIGINT FOR x IN string_split({s}, '')]), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _climb(name: str, rows: str) -> str:
+    """SQL: the levels of binary trees (g, lvl, i, h), and how many there are in each."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS lvl, i, h FROM {rows} UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, lvl, i // 2),
+{name}_top AS (SELECT g, max(lvl) AS top, arg_max(h, lvl) AS h FROM {name} GROUP BY g)"""
+
+
+def _path(name: str, tree: str, rows: str) -> str:
+    """SQL: siblings and folded digests of rows (id, g, i, sibs, fold), a level per step."""
+    return f"""
+{name} AS (
+  SELECT id, g, 0 AS lvl, i, sibs, fold FROM {rows} UNION ALL
+  SELECT p.id, p.g, p.lvl + 1, p.i // 2, p.sibs || coalesce(s.h, ''),
+         sha256(CASE WHEN p.i % 2 = 1 THEN s.h || p.fold ELSE p.fold || coalesce(s.h, '') END)
+  FROM {name} p JOIN {tree}_top t ON t.g = p.g AND p.lvl < t.top LEFT JOIN {tree} s ON s.g = p.g AND s.lvl = p.lvl AND s.i = xor(p.i, 1))"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {CRC.format(s="doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS given
+  FROM documents, {CRC_TABLE}),
+r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{_climb("low", "(SELECT g, i, leaf AS h FROM r)")},
+sub AS (SELECT g AS lang, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM low_top),
+{_climb("high", "sub")},
+{_path("up", "low", "(SELECT id, g, i, '' AS sibs, given AS fold FROM r)")},
+mid AS (SELECT up.id, sub.g, sub.i, up.sibs, up.fold FROM up JOIN low_top t ON t.g = up.g AND t.top = up.lvl JOIN sub ON sub.lang = up.g),
+{_path("out", "high", "mid")}
+SELECT r.doc_id, r.leaf, low_top.h AS subroot, high_top.h AS root, sha256(o.sibs) AS proof_sha256, o.fold AS folded_root, o.fold = high_top.h AS verified
+FROM r JOIN low_top ON low_top.g = r.g JOIN out o ON o.id = r.id JOIN high_top ON o.lvl = high_top.top
+"""
+
+
+@query("op12_nested_merkle_manifest", MANIFEST)
+def nested_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    given = F.when(touched, manifest.leaf(n_chars=F.col("n_chars") + 1)).otherwise(manifest.leaf())
+    rows = manifest.manifest(table(spark, folder, "documents"), given=given)
+    rows = rows.withColumn("folded_root", manifest.folded("given", "steps"))
+    proof = F.sha2(F.array_join(manifest.siblings("steps"), ""), 256)
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
