@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
-from . import language, line_dedup, manifest, mixing, near_docs, near_vectors, secrets, sharding, tokens, toxicity, url_filter
+from . import language, line_dedup, manifest, mixing, near_docs, near_vectors, repair, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -290,3 +290,61 @@ def nested_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
+
+
+def _edit(label: str, cost: str, to: str, line: str | None = None) -> str:
+    """SQL: a repair that goes on as ``to``, a struct of cost, audit and lines."""
+    return f"{{c: {cost} + {to}.c, a: '{label}' || {to}.a, t: {f'list_prepend({line}, {to}.t)' if line else f'{to}.t'}}}"
+
+
+def _row_edits(state: str, turns: dict[str, str]) -> str:
+    """SQL: the best repair from a state that handles the row; ``turns`` maps the kinds it may be kept as to states."""
+    keeps = [f"CASE WHEN stays AND kind = '{k}' THEN {_edit('K', 'extra', to, 'line')} END" for k, to in turns.items()]
+    to, role = ("p", "assistant") if state == "u" else ("u", "user")
+    given = f"CASE WHEN stays THEN {_edit('R', '(2 + extra)', to, f"('{role}:' || text)")} END"
+    return f"list_min([{', '.join([_edit('D', '3', state), *keeps, given])}])"
+
+
+REPAIR = f"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC.format(s="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations, {CRC_TABLE}),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END))
+  FROM h WHERE k <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i FROM d),
+f AS (
+  SELECT *, left(role, 1) AS kind, role || ':' || text AS line,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM p),
+g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM f),
+t AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+go(conv_id, i, z, s, u, p) AS (
+  SELECT conv_id, n, {{c: 0::BIGINT, a: '', t: []::VARCHAR[]}}, {{c: 4::BIGINT, a: 'II', t: ['user:', 'assistant:']}},
+         {{c: 2::BIGINT, a: 'I', t: ['assistant:']}}, {{c: 0::BIGINT, a: '', t: []::VARCHAR[]}} FROM t
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {_edit("I", "2", "u", "'user:'")}]), list_min([s, {_edit("I", "2", "u", "'user:'")}]), u, p
+  FROM (
+    SELECT conv_id, i, z, s, list_min([u, {_edit("I", "2", "p", "'assistant:'")}]) AS u, list_min([p, {_edit("I", "2", "u", "'user:'")}]) AS p
+    FROM (
+      SELECT g.conv_id, g.i, {_row_edits("z", {"s": "s", "u": "u"})} AS z, {_row_edits("s", {"u": "u"})} AS s,
+             {_row_edits("u", {"a": "p"})} AS u, {_row_edits("p", {"u": "u"})} AS p
+      FROM go JOIN g ON g.conv_id IS NOT DISTINCT FROM go.conv_id AND g.i = go.i - 1)))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit,
+       sha256(coalesce(array_to_string(z.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN go ON go.conv_id IS NOT DISTINCT FROM o.conv_id AND go.i = 0
+"""
+
+
+@query("op11_doubling_repair", REPAIR)
+def doubling_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.repaired(conversations, repair.damaged(conversations))
