@@ -1,9 +1,10 @@
 """Statistics of the shape of each user's daily series in the windows before an anchor.
 
 A series is sparse: most days are zero. Every day with a value, and its two neighbours, becomes one
-event; sums over events in a window give moments, trends, autocorrelations, runs and sign changes of
-the zero-filled series without ever writing the zeros. Order statistics read the sorted non-zero
-values and count the zeros. Only spectra, the weekly decomposition and one normality distance are
+event. A user's events are gathered once with their running sums; a window looks these up at its two
+ends, which gives moments, trends, autocorrelations, runs and sign changes of the zero-filled series
+without ever writing the zeros, and takes its values as one slice. Work grows with events plus anchors
+times windows. Order statistics read the sorted non-zero values and count the zeros. Only spectra, the weekly decomposition and one normality distance are
 computed on arrays, in Arrow batches.
 
 Events are derived within users, so the only shuffle is the one that clustered the panel.
@@ -11,6 +12,7 @@ Events are derived within users, so the only shuffle is the one that clustered t
 
 from __future__ import annotations
 
+import re
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame
@@ -18,9 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import series
 from ..functions.text import mean, named
-from .windows import POPULATION_DAYS, attach_anchors
+from .windows import POPULATION_DAYS, calendar, latest, place_of_days
 
-KEYS = ["anchor", "user_id", "metric", "w", "n"]
 METRICS = ("gmv", "ord")
 LAGS = range(1, 15)
 
@@ -55,8 +56,8 @@ TSFRESH = ["c3", "timerev", "trendt", "arch7", "longstrike_above", "longstrike_b
            "wavenergy3", "pacf1"]
 
 
-def events(panel: DataFrame) -> DataFrame:
-    """Per user, metric and day near a value: the value, both neighbours, lagged values, earlier events.
+def events(panel: DataFrame, metrics: tuple[str, ...] = METRICS, lags: list[int] = ()) -> DataFrame:
+    """Per user, metric and day near a value: the value, both neighbours, lagged values, whether the slope turns.
 
     Days with a row but no value are kept as well; they show who is in the population.
     """
@@ -66,92 +67,129 @@ def events(panel: DataFrame) -> DataFrame:
         cells = ", ".join(f"{metric if c == part else '0D'} AS {c}" for c in ("prev", "mid", "next"))
         return f"struct('{metric}' AS metric, cast(day + {shift} as int) AS m, {cells}, {int(shift == 0)} AS here)"
 
-    sides = ", ".join(side(c, d) for c in METRICS for d in (-1, 0, 1))
+    sides = ", ".join(side(c, d) for c in metrics for d in (-1, 0, 1))
     near = panel.selectExpr("user_id", f"inline(array({sides}))").filter("here = 1 OR prev + next > 0")
     rows = near.groupBy("user_id", "metric", "m").agg(*[F.sum(c).alias(c) for c in ("prev", "mid", "next")], F.max("here").alias("here"))
     by = "PARTITION BY user_id, metric ORDER BY m"
-    rows = rows.selectExpr("*", "sign(mid - prev) <> sign(next - mid) AS turn")
-    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return rows.selectExpr(
-        "*",
-        f"max(CASE WHEN mid > 0 THEN m END) OVER ({by} {earlier}) AS value_before",
-        f"max(CASE WHEN turn THEN m END) OVER ({by} {earlier}) AS turn_before",
-        *[f"coalesce(sum(mid) OVER ({by} RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING), 0D) AS lag{k}" for k in LAGS],
+        "*", "sign(mid - prev) <> sign(next - mid) AS turn",
+        *[f"coalesce(sum(mid) OVER ({by} RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING), 0D) AS lag{k}" for k in lags],
     )
 
 
-def in_windows(panel: DataFrame, anchors: list[int], windows) -> DataFrame:
-    """Events placed in each window: ``n`` days long, ``t`` the position from its first day.
+_if = lambda cond: f"cast({cond} as int)"
 
-    Rows of the last 30 days stay in shorter windows with a negative position, so that a series of
-    nothing but zeros still has a group.
-    """
-    longest = max(max(windows), POPULATION_DAYS)
-    rows = attach_anchors(events(panel).withColumnRenamed("m", "day"), anchors, longest - 1)
-    sizes = ", ".join(map(str, windows))
-    rows = rows.selectExpr("*", f"explode(array({sizes})) AS w").selectExpr("*", "least(w, anchor + 1) AS n")
-    rows = rows.selectExpr("*", "n - 1 - age AS t").filter(f"t >= 0 OR age < {POPULATION_DAYS}")
-    return rows.selectExpr(
-        "*", "t >= 0 AS inside", "t BETWEEN 1 AND n - 2 AS inner",
-        "greatest(n - 1 - (anchor - value_before), -1) AS t_value", "greatest(n - 1 - (anchor - turn_before), 0) AS t_turn",
-    )
+# Per event, what running sums are taken of.
+RUNNING = {
+    "here": "here", "s1": "mid", "s2": "mid * mid", "k": _if("mid > 0"), "sm": "mid * m", "wn": "mid * (1 - 2 * pmod(m, 2))",
+    "ups": _if("mid > prev"), "downs": _if("next < mid"), "cross": _if("(mid - prev) * (next - mid) < 0"), "turns": _if("turn"),
+    "triple": "prev * mid * next", "skewed": "next * next * mid - mid * prev * prev", "switches": _if("(mid > 0) <> (prev > 0)"),
+    "sq7": "mid * mid * lag7 * lag7", **{f"p{k}": f"mid * lag{k}" for k in LAGS},
+}
 
 
-def _sum(value: str, cond: str = "inside") -> str:
-    return f"sum(CASE WHEN {cond} THEN {value} ELSE 0D END)"
+def _upto(running: str, day: str) -> str:
+    """A running sum as of a day: ``place`` says which event is the latest one by then."""
+    return f"coalesce({latest(running, day, 'm')}, 0)"
 
 
-def _count(cond: str) -> str:
-    return f"cast(count(CASE WHEN {cond} THEN 1 END) as double)"
+def _over(running: str, first: str = "c.start", final: str = "c.anchor") -> str:
+    """Sum over the days ``first`` .. ``final``: the running sum is searched at both ends."""
+    if (first, final) != ("c.start", "c.anchor"):
+        final = f"greatest({final}, {first} - 1)"
+    return f"({_upto(running, final)} - {_upto(running, f'{first} - 1')})"
 
 
 def _sums() -> dict[str, str]:
-    """Additive quantities of a window; unread ones are pruned by the optimizer."""
-    x = "mid"
-    out = {f"s{k}": _sum("*".join([x] * k)) for k in (1, 2, 3, 4)}
+    """Quantities of the window ``c`` (anchor, n days from day ``start`` on), from running sums and slices."""
+    inner = ("c.start + 1", "c.anchor - 1")
+    out = {n: _over(n) for n in ("s1", "s2", "k")} | {n: _over(n, *inner) for n in ("cross", "turns", "triple", "skewed")}
     out |= {
-        "k": _count("inside AND mid > 0"),
-        "st": _sum("mid * (t - (n - 1) / 2D)"),
-        "half": _sum(x, "inside AND t < n div 2"),
-        "x_first": _sum(x, "t = 0"),
-        "x_last": _sum(x, "t = n - 1"),
-        "top": f"max(CASE WHEN inside THEN {x} ELSE 0D END)",
-        "ups": _count("t >= 1 AND mid > prev"),
-        "downs": _count("inside AND t <= n - 2 AND next < mid"),
-        "cross": _count("inner AND (mid - prev) * (next - mid) < 0"),
-        "turns": _count("inner AND turn"),
-        "turn_run": "coalesce(max(CASE WHEN inner AND turn THEN t - greatest(coalesce(t_turn, 0), 0) END), 0)",
-        "turn_last": "coalesce(max(CASE WHEN inner AND turn THEN t END), 0)",
-        "triple": _sum("prev * mid * next", "inner"),
-        "skewed": _sum("next * next * mid - mid * prev * prev", "inner"),
-        "switches": _count("t >= 1 AND (mid > 0) <> (prev > 0)"),
-        "zero_run": "max(CASE WHEN inside AND mid > 0 THEN t - coalesce(t_value, -1) - 1 END)",
-        "t_last": "max(CASE WHEN inside AND mid > 0 THEN t END)",
-        "wave_c": _sum("mid * cos(2 * pi() * round(n / 7D) * t / n)"),
-        "wave_s": _sum("mid * sin(2 * pi() * round(n / 7D) * t / n)"),
-        "wave_n": _sum("mid * (1 - 2 * (t % 2))"),
-        "sq7": _sum("mid * mid * lag7 * lag7", "t >= 7"),
-        "pts": "sort_array(collect_list(CASE WHEN inside AND mid > 0 THEN struct(t, mid AS x) END))",
-        "__here": f"max(CASE WHEN here = 1 AND age < {POPULATION_DAYS} THEN 1 ELSE 0 END)",
+        "st": f"{_over('sm')} - (c.start + (c.n - 1) / 2D) * {_over('s1')}",
+        "half": _over("s1", "c.start", "c.start + c.n div 2 - 1"),
+        "ups": _over("ups", "c.start + 1"), "downs": _over("downs", "c.start", "c.anchor - 1"), "switches": _over("switches", "c.start + 1"),
+        "wave_n": f"(1 - 2 * pmod(c.start, 2)) * {_over('wn')}",
+        "sq7": _over("sq7", "c.start + 7"),
+        "pts": f"transform(slice(points, {_upto('k', 'c.start - 1')} + 1, {_over('k')}), p -> named_struct('t', p.m - c.start, 'x', p.x))",
+        "turn_days": f"slice(turning, {_upto('turns', 'c.start')} + 1, {_over('turns', *inner)})",
     }
     for k in LAGS:
         out |= {
-            f"p{k}": _sum(f"mid * lag{k}", f"t >= {k}"),
-            f"a{k}": _sum(x, f"inside AND t < n - {k}"), f"b{k}": _sum(x, f"t >= {k}"),
-            f"aa{k}": _sum("mid * mid", f"inside AND t < n - {k}"), f"bb{k}": _sum("mid * mid", f"t >= {k}"),
+            f"p{k}": _over(f"p{k}", f"c.start + {k}"),
+            f"a{k}": _over("s1", "c.start", f"c.anchor - {k}"), f"b{k}": _over("s1", f"c.start + {k}"),
+            f"aa{k}": _over("s2", "c.start", f"c.anchor - {k}"), f"bb{k}": _over("s2", f"c.start + {k}"),
         }
     return out
 
 
-def windows_table(panel: DataFrame, anchors: list[int], windows, shortest: int) -> DataFrame:
-    """One row per (anchor, population user, metric, window) with every additive quantity and the points."""
-    rows = in_windows(panel, anchors, windows)
-    out = rows.groupBy(*KEYS).agg(*[F.expr(e) for e in named(_sums(), cast=None)])
-    out = out.filter(f"__here = 1 AND n >= {shortest}")
-    return out.selectExpr(
-        "*", "s1 / n AS mu", "greatest(s2 / n - (s1 / n) * (s1 / n), 0D) AS var",
-        "transform(pts, p -> p.x) AS xs", "transform(pts, p -> p.t) AS ts", "sort_array(transform(pts, p -> p.x)) AS v", "n - cast(k as int) AS z",
-    ).selectExpr("*", "CASE WHEN var > 1e-13 * s2 / n THEN sqrt(var) ELSE 0D END AS sd")
+SUMS = _sums()
+
+# What follows from the quantities above inside one row, in an order in which each finds what it reads.
+DERIVED = {
+    "xs": "transform(pts, p -> p.x)", "ts": "transform(pts, p -> p.t)", "mu": "s1 / n", "z": "n - cast(k as int)",
+    "v": "sort_array(xs)", "var": "greatest(s2 / n - mu * mu, 0D)",
+    "sd": "CASE WHEN var > 1e-13 * s2 / n THEN sqrt(var) ELSE 0D END",
+    # Higher powers are added up inside the window: as differences of running sums they would lose digits.
+    "s3": "aggregate(xs, 0D, (a, x) -> a + x * x * x)", "s4": "aggregate(xs, 0D, (a, x) -> a + x * x * x * x)",
+    "top": "coalesce(array_max(xs), 0D)",
+    "x_first": "CASE WHEN get(ts, 0) = 0 THEN get(xs, 0) ELSE 0D END",
+    "t_last": "get(ts, size(ts) - 1)", "x_last": "CASE WHEN t_last = n - 1 THEN get(xs, size(xs) - 1) ELSE 0D END",
+    "turn_run": "aggregate(turn_days, named_struct('at', start, 'most', 0), (s, d) -> named_struct('at', d, 'most', greatest(s.most, d - s.at)), s -> s.most)",
+    "turn_last": "coalesce(get(turn_days, size(turn_days) - 1) - start, 0)",
+    "zero_run": "aggregate(ts, named_struct('at', -1, 'most', cast(null as int)), (s, t) -> named_struct('at', t, 'most', greatest(s.most, t - s.at - 1)), s -> s.most)",
+    "wave_c": "aggregate(pts, 0D, (a, p) -> a + p.x * cos(2 * pi() * round(n / 7D) * p.t / n))",
+    "wave_s": "aggregate(pts, 0D, (a, p) -> a + p.x * sin(2 * pi() * round(n / 7D) * p.t / n))",
+}
+
+
+def _read(texts, known) -> set[str]:
+    return {n for t in texts for n in re.findall(r"[A-Za-z_]\w*", t)} & set(known)
+
+
+def gathered(panel: DataFrame, anchors: list[int], running: set[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row per user and metric: events ``e`` with running sums, ``place`` of each day, ``points`` and ``turning`` days.
+
+    Days are found through ``place``, as in ``windows.aggregate``.
+    """
+    lags = sorted({7 if n == "sq7" else int(n[1:]) for n in running if n == "sq7" or re.fullmatch(r"p\d+", n)})
+    order = "(PARTITION BY user_id, metric ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rows = events(panel, metrics, lags).selectExpr("user_id", "metric", "m", "mid", "turn", *[f"sum({RUNNING[n]}) OVER {order} AS `{n}`" for n in sorted(running)])
+    listed = lambda x, name: F.expr(f"array_sort(collect_list({x})) AS {name}")
+    users = rows.groupBy("user_id", "metric").agg(
+        listed(f"struct(m, {', '.join(f'`{n}`' for n in sorted(running))})", "e"),
+        listed("CASE WHEN mid > 0 THEN struct(m, mid AS x) END", "points"), listed("CASE WHEN turn THEN m END", "turning"),
+    )
+    return users.selectExpr("*", f"{place_of_days(max(anchors, default=0), 'm')} AS place")
+
+
+def _present(anchors: list[int]) -> str:
+    """The anchors that have the user in their population."""
+    return f"filter({calendar(anchors)}, a -> {_upto('here', 'a')} > {_upto('here', f'a - {POPULATION_DAYS}')})"
+
+
+def windows_table(panel: DataFrame, anchors: list[int], windows, shortest: int, texts) -> DataFrame:
+    """One row per (anchor, population user, metric, window) with all that the expressions ``texts`` read.
+
+    A user's events are gathered once, with their running sums. A window is an element of an array of
+    (anchor, length), for which the running sums are looked up at both of its ends; no event is copied.
+    """
+    derived, found = set(), _read(texts, DERIVED)
+    while found - derived:
+        derived |= found
+        found |= _read([DERIVED[n] for n in found], DERIVED)
+    sums = _read([*texts, *[DERIVED[n] for n in derived]], SUMS)
+    running = {n for s in sums for n in re.findall(r"\)\)\.(\w+)", SUMS[s])} | {"here"}
+    users = gathered(panel, anchors, running)
+    sizes = ", ".join(str(int(w)) for w in windows)
+    span = "named_struct('anchor', a, 'w', w, 'n', least(w, a + 1), 'start', greatest(a + 1 - w, 0))"
+    spans = f"filter(flatten(transform({_present(anchors)}, a -> transform(array({sizes}), w -> {span}))), c -> c.n >= {shortest})"
+    cells = ", ".join(f"'{n}', {SUMS[n]}" for n in sorted(sums))
+    keys = ", ".join(f"'{n}', c.{n}" for n in ("anchor", "w", "n", "start"))
+    table = users.selectExpr("user_id", "metric", f"inline(transform({spans}, c -> named_struct({keys}{', ' if cells else ''}{cells})))")
+    for n in DERIVED:
+        if n in derived:
+            table = table.selectExpr("*", f"{DERIVED[n]} AS {n}")
+    return table
 
 
 # -- expressions over a window row ---------------------------------------------------------------------
@@ -285,8 +323,9 @@ def normal_scores(lengths: list[int]) -> list[tuple[int, list[float], float]]:
 
 def sbc_table(panel: DataFrame, anchors: list[int], want: list[str], windows=SBC_WINDOWS) -> DataFrame:
     """Chosen statistics of the 52-statistic set, one row per (anchor, user, metric, window)."""
-    table = windows_table(panel, anchors, windows, SHORTEST["sbc"])
     exprs = _shape() | _moments() | _order() | _series() | _entropy()
+    arrays = {"hurstexp": _walk(), "andersondarling": "v mu sd", "shapirofrancia": "v z var"} | {n: "ts xs" for n in SBC_FAMILIES["sbcspec"]}
+    table = windows_table(panel, anchors, windows, SHORTEST["sbc"], [exprs.get(n, "") for n in want] + [arrays.get(n, "") for n in want])
     if "hurstexp" in want:
         table = table.selectExpr("*", f"{_walk()} AS walk")
     if set(want) & set(SBC_FAMILIES["sbcspec"]):
@@ -305,7 +344,6 @@ def sbc_table(panel: DataFrame, anchors: list[int], want: list[str], windows=SBC
 
 
 def tsfeat_table(panel: DataFrame, anchors: list[int], windows=TSFEAT_WINDOWS) -> DataFrame:
-    table = windows_table(panel, anchors, windows, SHORTEST["tsfeat"]).withColumn("_f", series.spectral("ts", "xs", "n"))
     # Power at the 7-day period over all power without the constant, which Parseval gives.
     power = "(n * n * var + CASE WHEN n % 2 = 0 THEN wave_n * wave_n ELSE 0D END) / 2"
     exprs = {
@@ -314,26 +352,23 @@ def tsfeat_table(panel: DataFrame, anchors: list[int], windows=TSFEAT_WINDOWS) -
         "specentropy": "_f.specentropy", "mad": MAD, "maxshare": "top / greatest(s1, 1e-9)", "dutycycle": "k / n",
         "switches": "switches", "maxzerorun": "greatest(coalesce(zero_run, 0), coalesce(n - 1 - t_last, n))",
     }
+    table = windows_table(panel, anchors, windows, SHORTEST["tsfeat"], [*exprs.values(), "ts xs"]).withColumn("_f", series.spectral("ts", "xs", "n"))
     return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in TSFEAT}))
 
 
 def distance_30_60(panel: DataFrame, anchors: list[int], metric: str = "gmv") -> DataFrame:
     """How far the daily values of the last 30 days are from those of the 60 days before."""
-    rows = attach_anchors(panel.select("user_id", "day", F.col(metric).alias("x")), anchors, 89)
-    part = lambda lo, hi: f"sort_array(collect_list(CASE WHEN age BETWEEN {lo} AND {hi} AND x > 0 THEN x END))"
-    out = rows.groupBy("anchor", "user_id").agg(
-        F.expr(f"{part(0, 29)} AS va"), F.expr(f"{part(30, 89)} AS vb"), F.min("age").alias("age")
-    ).filter(f"age < {POPULATION_DAYS}")
-    out = out.selectExpr(
-        "*", "least(30, anchor + 1) AS na", "least(60, greatest(anchor - 29, 0)) AS nb"
-    ).filter("nb > 0").selectExpr("*", "na - size(va) AS za", "nb - size(vb) AS zb")
+    users = gathered(panel, anchors, {"here", "k"}, (metric,))
+    part = lambda lo, hi: f"sort_array(transform(slice(points, {_upto('k', f'a - {hi + 1}')} + 1, {_upto('k', f'a - {lo}')} - {_upto('k', f'a - {hi + 1}')}), p -> p.x))"
+    cells = f"named_struct('anchor', a, 'va', {part(0, 29)}, 'vb', {part(30, 89)}, 'na', least(30, a + 1), 'nb', least(60, greatest(a - 29, 0)))"
+    out = users.selectExpr("user_id", f"inline(transform({_present(anchors)}, a -> {cells}))")
+    out = out.filter("nb > 0").selectExpr("*", "na - size(va) AS za", "nb - size(vb) AS zb")
     gap = lambda q: f"(log1p({_quantile(q, 'va', 'za', 'na')}) - log1p({_quantile(q, 'vb', 'zb', 'nb')}))"
     gaps = mean([f"abs({gap(k / 10)})" for k in range(11)])
     return out.selectExpr("anchor", "user_id", f"{gaps} AS distshift_{metric}_30v60", f"{gap(0.9)} AS distshift_q90_{metric}_30v60")
 
 
 def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS, complexity: bool = False) -> DataFrame:
-    table = windows_table(panel, anchors, windows, SHORTEST["tsfresh"])
     tt = "(n * (n * n - 1D) / 12)"
     left = f"greatest(n * var - st * st / {tt}, 0D)"
     se = f"sqrt(greatest({left} / (n - 2) / {tt}, 1e-18))"
@@ -344,8 +379,6 @@ def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS,
         "'up', greatest(s.up, CASE WHEN p.t = s.t + 1 THEN s.run + 1 ELSE 1 END), 'down', greatest(s.down, p.t - s.t - 1)), "
         "s -> named_struct('up', s.up, 'down', greatest(s.down, cast(n as int) - 1 - s.t)))"
     )
-    table = table.selectExpr("*", f"{strikes} AS strike")
-
     def energy(octave: int) -> str:
         k, h = 2**octave, 2 ** (octave - 1)
         # Signed values by block and place; the difference of the two halves adds them up.
@@ -362,6 +395,8 @@ def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS,
         **{f"wavenergy{o}": energy(o) for o in (1, 2, 3)},
     }
     names = list(TSFRESH)
+    read = [*exprs.values(), strikes, *(["ts xs"] if complexity else [])]
+    table = windows_table(panel, anchors, windows, SHORTEST["tsfresh"], read).selectExpr("*", f"{strikes} AS strike")
     if complexity:
         table = table.withColumn("_lz", series.distinct_words("ts", "xs", "n"))
         exprs["lempelziv"] = "_lz.lempelziv"
@@ -371,7 +406,10 @@ def tsfresh_table(panel: DataFrame, anchors: list[int], windows=TSFRESH_WINDOWS,
 
 def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=FCAST_WINDOWS) -> DataFrame:
     """Predictability and series traits, one row per (anchor, user, metric, window)."""
-    table = windows_table(panel, anchors, windows, SHORTEST["fcast"])
+    acf = f"array({', '.join(_acf(k) for k in LAGS)})"
+    arrays = {"fcomega": "ts xs", "fcstl": "ts xs", "fcshift": "pts", "fctrans": "v z pts", "fcacf": acf}
+    read = [text for family, text in arrays.items() if set(want) & set(FCAST_FAMILIES[family])]
+    table = windows_table(panel, anchors, windows, SHORTEST["fcast"], read)
     exprs: dict[str, str] = {}
     if set(want) & set(FCAST_FAMILIES["fcomega"]):
         table = table.withColumn("_f", series.spectral("ts", "xs", "n"))
@@ -408,7 +446,7 @@ def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=F
         exprs["transition"] = "aggregate(cells, 0D, (s, x) -> s + x * x) / 9 - pow(aggregate(cells, 0D, (s, x) -> s + x) / 9, 2)"
         exprs["selftransition"] = "cells[0] + cells[4] + cells[8]"
     if set(want) & set(FCAST_FAMILIES["fcacf"]):
-        table = table.selectExpr("*", f"array({', '.join(_acf(k) for k in LAGS)}) AS acf")
+        table = table.selectExpr("*", f"{acf} AS acf")
         exprs["acf_abssum"] = "aggregate(acf, 0D, (s, x) -> s + abs(x))"
         # Correlations that differ in the last digits are equal, and the shortest lag counts.
         exprs["acf_argmax"] = "array_position(transform(acf, x -> x >= array_max(acf) - 1e-7D), true)"

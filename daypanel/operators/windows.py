@@ -1,16 +1,16 @@
 """Window aggregates of a sparse panel at many anchor days, in one pass.
 
 A block of features is a projection. While it is written it asks a ``Plan`` for the aggregates it
-reads; the plan names each one once, however many blocks share it, and ``aggregate`` computes all of
-them together. The panel is clustered by user before the anchors are attached, so the grouping by
-(anchor, user) needs no shuffle of its own: what moves over the network is the panel, once, and never
-the copies made for each anchor.
+reads; the plan names each one once, however many blocks share it, and ``aggregate`` computes those
+that are read together. The panel is clustered by user, so a user's rows are gathered without a
+shuffle, as one array by day with running sums. Every window of every anchor is a difference of two of
+them, found by day: work grows with rows plus anchors times windows, and no row is copied to an anchor.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import inf
 
@@ -23,6 +23,10 @@ HALF_LIVES = (7, 30, 90)
 ERA = 600  # half-lives that powers of two are taken over
 SUPPORT = 3  # half-lives after which a decayed sum counts as blind
 POPULATION_DAYS = 30
+# Columns that are no counts. Their running sums are kept exactly to 1e-8, so that a difference of two large
+# ones has the digits of the window's own sum; counts are exact as doubles.
+AMOUNTS = ("gmv", "gmvs", "gmvc")
+EXACT = "decimal(38,8)"
 
 
 @dataclass(frozen=True)
@@ -63,10 +67,7 @@ class Plan:
         self.n_days = n_days
         self.floor_days = floor_days
         self.sums: dict[str, tuple[str, Span]] = {}
-        self.life: dict[str, str] = {}
-        self.needs_own_age = False
-        self.oldest = POPULATION_DAYS - 1
-        self.furthest = 0
+        self.life: dict[str, tuple[str, int]] = {}
 
     # -- windows -------------------------------------------------------------------------------
     def _cut(self, span: Span) -> Span:
@@ -80,8 +81,6 @@ class Plan:
             return "0D"
         key = f"{name}|{span.young}|{span.old}"
         self.sums[key] = (value, span)
-        self.oldest = max(self.oldest, span.old)
-        self.furthest = max(self.furthest, -span.young)
         return f"`{key}`"
 
     def total(self, col: str, span: Span) -> str:
@@ -101,27 +100,28 @@ class Plan:
 
     def mass_age(self, which: str, span: Span) -> str:
         """Mean age of activity or value inside the window, -1 where there is none."""
+        mass = self._sum(which, "1D" if which == "days" else which, span)
+        return f"CASE WHEN {mass} > 0 THEN {self._aged(which, span)} / greatest({mass}, 1e-9) - {span.young} ELSE -1D END"
+
+    def _aged(self, which: str, span: Span) -> str:
+        """Sum of mass times age in the window."""
         v = "1D" if which == "days" else which
-        mass, moment = self._sum(which, v, span), self._sum(f"{which}*age", f"{v} * age", span)
-        return f"CASE WHEN {mass} > 0 THEN {moment} / greatest({mass}, 1e-9) - {span.young} ELSE -1D END"
+        return f"(anchor * {self._sum(which, v, span)} - {self._sum(f'{which}*day', f'{v} * day', span)})"
 
     def date_sd(self, which: str, span: Span) -> str:
         """Spread of the active or buying dates; -1 with fewer than two of them."""
         v = "1D" if which == "days" else which
-        n = self._sum(which, v, span)
-        m1 = f"({self._sum(f'{which}*age', f'{v} * age', span)} / greatest({n}, 1D))"
-        m2 = f"({self._sum(f'{which}*age2', f'{v} * age * age', span)} / greatest({n}, 1D))"
+        n, s1, s2 = (self._sum(which + tag, v + times, span) for tag, times in (("", ""), ("*day", " * day"), ("*day2", " * day * day")))
+        m1 = f"({self._aged(which, span)} / greatest({n}, 1D))"
+        m2 = f"((anchor * (anchor * {n} - 2 * {s1}) + {s2}) / greatest({n}, 1D))"
         return f"CASE WHEN {n} >= 2 THEN sqrt(greatest({m2} - {m1} * {m1}, 0D)) ELSE -1D END"
 
     # -- whole history -------------------------------------------------------------------------
-    def _latest(self, name: str, value: str) -> str:
-        """A running quantity read at the user's latest row up to the anchor.
-
-        Every member of the population has a row in the last 30 days, so lifetime quantities never
-        widen the reach of the anchors.
-        """
-        self.life[name] = value
-        return f"`{name}`"
+    def _latest(self, name: str, value: str, back: int = 0) -> str:
+        """A running quantity read at the user's latest row up to ``back`` days before the anchor, null without one."""
+        key = f"{name}~{back}" if back else name
+        self.life[key] = (value, back)
+        return f"`{key}`"
 
     def life_total(self, col: str) -> str:
         if self.floor_days is not None:
@@ -159,10 +159,13 @@ class Plan:
 
     def decay(self, col: str, half_life: int) -> str:
         """Exponentially weighted sum over all days up to the anchor."""
-        if self.floor_days is not None:
-            return self._sum(f"{col}~{half_life}", f"{col} * pow(0.5D, age / {half_life}D)", last(self.floor_days))
-        at_row = self._latest(f"decay_{col}_{half_life}", self._decayed(col, half_life))
-        return f"({at_row} * pow(0.5D, (anchor - {self._last_active()}) / {half_life}D))"
+        name, value = f"decay_{col}_{half_life}", self._decayed(col, half_life)
+
+        def faded(back: int) -> str:
+            at = self._latest("last_active", "cast(day as double)", back)
+            return f"{self._latest(name, value, back)} * pow(0.5D, (anchor - {at}) / {half_life}D)"
+
+        return f"({faded(0)})" if self.floor_days is None else f"({faded(0)} - coalesce({faded(self.floor_days)}, 0D))"
 
     def _decayed(self, col: str, half_life: int) -> str:
         """The weighted sum as of each row.
@@ -184,7 +187,6 @@ class Plan:
 
     def own_age_total(self, col: str, lo: int, hi: int) -> str:
         """Lifetime total over the user's own days ``lo <= day - first day < hi``."""
-        self.needs_own_age = True
         inside = f"CASE WHEN own_age BETWEEN {lo} AND {hi - 1} THEN {col} ELSE 0D END"
         name = f"own_{col}_{lo}_{hi}"
         if self.floor_days is not None:
@@ -197,6 +199,8 @@ class Plan:
         for name in re.findall("`([^`]+)`", text):
             if name in self.sums:
                 days = max(days, self.sums[name][1].old + 1)
+            elif self.life.get(name, ("", 0))[1]:
+                days = max(days, self.life[name][1])
             elif name.startswith("decay_"):
                 days = max(days, SUPPORT * int(name.rsplit("_", 1)[1]))
             else:
@@ -209,44 +213,54 @@ class Plan:
         return f"expm1({mean([f'log1p({self.total("gmv", block(k))})' for k in range(3)])})"
 
 
-def attach_anchors(panel: DataFrame, anchors: list[int], oldest: int, furthest: int = 0) -> DataFrame:
-    """Copy each row to the anchors that can see it.
+def place_of_days(until: int, day: str = "day") -> str:
+    """Per calendar day from that of the first element of ``e`` on, the position of its latest element by then."""
+    days = f"greatest(coalesce(get(e, i + 1).{day}, {until + 1}) - x.{day}, 0)"
+    return f"flatten(transform(e, (x, i) -> array_repeat(i, {days})))"
+
+
+def latest(field: str, at: str, day: str = "day") -> str:
+    """A field of the latest element of ``e`` by a day, null before the first."""
+    return f"get(e, get(place, {at} - e[0].{day})).{field}"
 
-    Anchors are calendar days, so few by nature. A table from day to the run of anchors that see it
-    goes along as a constant: each row looks its anchors up and no join takes place.
-    """
-    listed = sorted(set(int(a) for a in anchors))
-    days = range(listed[-1] + furthest + 1)
-    start = [bisect_left(listed, d - furthest) for d in days]
-    count = [bisect_right(listed, d + oldest) - i for d, i in zip(days, start)]
-    fixed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-    at = lambda values: F.get(fixed(values), F.col("day").cast("int"))
-    seen_by = F.slice(fixed(listed), at([i + 1 for i in start]), at(count))
-    return panel.withColumn("anchor", F.explode(seen_by)).withColumn("age", F.col("anchor") - F.col("day").cast("int"))
 
+def calendar(anchors: Iterable[int]) -> str:
+    return f"cast(array({', '.join(str(a) for a in sorted({int(a) for a in anchors}))}) as array<int>)"
 
-def aggregate(panel: DataFrame, anchors: list[int], plan: Plan) -> DataFrame:
-    """One row per (anchor, user) of the population, holding every aggregate the plan asked for.
+
+def aggregate(panel: DataFrame, anchors: list[int], plan: Plan, read: Iterable[str]) -> DataFrame:
+    """One row per (anchor, user) of the population, holding the plan's aggregates that the expressions ``read`` use.
 
     The population rule, an active day in the 30 days up to the anchor, is part of the same pass.
     """
-    if plan.needs_own_age:
+    used = {n for text in read for n in re.findall("`([^`]+)`", text)}
+    sums = {n: x for n, x in plan.sums.items() if n in used}
+    life = {n: x for n, x in plan.life.items() if n in used}
+    running = {v: f"r{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in sums.values()))}
+    levels = {v: f"l{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in life.values()))}
+    if any("own_age" in v for v in (*running, *levels)):
         panel = panel.selectExpr("*", f"day - min(day) OVER {HISTORY} AS own_age")
-    if plan.life:
-        panel = panel.selectExpr("*", *named(plan.life, cast=None))
-    rows = attach_anchors(panel, anchors, plan.oldest, plan.furthest)
-    aggs = {"__seen": "min(CASE WHEN age >= 0 THEN age END)"}
-    aggs |= {
-        name: f"sum(CASE WHEN age BETWEEN {s.young} AND {s.old} THEN {v} ELSE 0D END)" for name, (v, s) in plan.sums.items()
-    }
-    aggs |= {name: f"max_by(`{name}`, CASE WHEN age >= 0 THEN -age END)" for name in plan.life}
-    out = rows.groupBy("anchor", "user_id").agg(*[F.expr(e) for e in named(aggs, cast=None)])
-    return out.filter(F.col("__seen") < POPULATION_DAYS)
+    exact = {v: any(re.search(rf"\b{c}\b", v) for c in AMOUNTS) for v in running}
+    totals = [f"sum({f'cast({v} as {EXACT})' if exact[v] else v}) OVER {HISTORY} AS {r}" for v, r in running.items()]
+    rows = panel.selectExpr("user_id", "cast(day as int) AS day", *totals, *[f"{v} AS {name}" for v, name in levels.items()])
+    fields = ", ".join(["day", *running.values(), *levels.values()])
+    users = rows.groupBy("user_id").agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS e"))
+    ahead_by = max([0, *[-s.young for _, s in sums.values()]])
+    users = users.selectExpr("*", f"{place_of_days(max(anchors, default=0) + ahead_by)} AS place")
+
+    def between(value: str, s: Span) -> str:
+        upto = lambda at: f"coalesce({latest(running[value], at)}, {'0BD' if exact[value] else '0D'})"
+        return f"cast({upto(f'(a - {s.young})')} - {upto(f'(a - {s.old + 1})')} as double)"
+
+    cells = {n: between(v, s) for n, (v, s) in sums.items()} | {n: latest(levels[v], f"(a - {back})") for n, (v, back) in life.items()}
+    here = f"filter({calendar(anchors)}, a -> coalesce({latest('day', 'a')}, -{POPULATION_DAYS}) > a - {POPULATION_DAYS})"
+    each = ", ".join(["'anchor', a", *[f"'{n}', {e}" for n, e in cells.items()]])
+    return users.selectExpr("user_id", f"inline(transform({here}, a -> named_struct({each})))")
 
 
 def features(panel: DataFrame, anchors: list[int], plan: Plan, columns: dict[str, str]) -> DataFrame:
     """Project named expressions, written against ``plan``, for the population of each anchor."""
-    return aggregate(panel, anchors, plan).selectExpr("anchor", "user_id", *named(columns))
+    return aggregate(panel, anchors, plan, columns.values()).selectExpr("anchor", "user_id", *named(columns))
 
 
 def target(panel: DataFrame, anchors: list[int], n_days: int, horizon: int = 30) -> DataFrame:
