@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut
 
+ROWS = 50_000  # rows of a small table in one partition
+
+
+def packed(table: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` narrow rows in as few partitions as it needs; one partition is never shuffled."""
+    return table.coalesce(max(1, -(-rows // ROWS)))
+
 
 def _followed(table: DataFrame, column: str, moves: DataFrame) -> DataFrame:
     """``column`` replaced by where its value moves to, if it moves."""
@@ -37,18 +44,23 @@ def components(edges: DataFrame) -> DataFrame:
     whatever the shape: a path shrinks by a factor per round as a star does, and the number of rounds
     grows with the logarithm of the size. Grouping is a partial minimum and joins have unique keys on
     one side, so a vertex with very many edges is neither gathered nor multiplied. Each round is
-    checkpointed.
+    checkpointed, and its tables are packed into partitions by their size.
     """
     ends = cut(_oriented(edges))
+    left = ends.count()
+    ends = packed(ends, left)
     roots = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
-    roots = cut(roots.withColumn("root", F.col("id")))
-    while not ends.isEmpty():
+    roots = packed(cut(roots.withColumn("root", F.col("id"))), 2 * left)
+    many = 2 * left
+    while left:
         moves = ends.groupBy(F.col("b").alias("_from")).agg(F.min(_rank("a"))["v"].alias("_to"))
         for _ in range(2):
             onward = moves.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
             moves = moves.join(onward, "_to", "left").select("_from", F.coalesce("_next", "_to").alias("_to"))
-        moves = cut(moves)
-        roots = cut(_followed(roots, "root", moves))
+        moves = packed(cut(moves), left)
+        roots = packed(cut(_followed(roots, "root", moves)), many)
         ends = cut(_oriented(_followed(_followed(ends, "a", moves), "b", moves)))
+        left = ends.count()
+        ends = packed(ends, left)
     least = cut(roots.groupBy("root").agg(F.min("id").alias("least")))
     return roots.join(least, "root").select("id", F.col("least").alias("root"))

@@ -25,7 +25,6 @@ equal texts, of which one stays. Empty tables give empty results. Other columns
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.session import cut
-from .components import components
+from .components import components, packed
 from .words import Words, mixed, parts
 
 SIMILARITY = 0.8
@@ -42,6 +41,7 @@ SKETCHES = 24
 PICKED = 4
 LIGHT = 32
 PARTNERS = 2  # leaders a vertex is compared with per round, those it shares most buckets with
+FEW = 1 << 20  # ids and hashes of 16 bytes that may go to all executors
 CELL = 1 << 16  # comparisons of one label that a task makes for one key of the join
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,13 +145,8 @@ def ordered_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 @F.arrow_udf(T.DoubleType())
 def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
-    out = []
-    for a, b in parts(left, 1 << 20):
-        x, y = Words(left.slice(a, b - a)), Words(right.slice(a, b - a))
-        (h, p), (g, q) = x.shingles(), y.shingles()
-        for r in range(b - a):
-            out.append(ordered_similarity(labelled(h[p[r] : p[r + 1]]), labelled(g[q[r] : q[r + 1]])))
-    return pa.array(out, pa.float64())
+    (p, h), (q, g) = ((x.offsets.to_numpy(), x.values.to_numpy().view(np.uint64)) for x in (left, right))
+    return pa.array([ordered_similarity(h[p[r] : p[r + 1]], g[q[r] : q[r + 1]]) for r in range(len(left))], pa.float64())
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -163,43 +158,56 @@ def _alike_length(n: str, m: str) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * F.lit(SIMILARITY - 1e-9)
 
 
+def chosen(rows: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
+    """``rows`` joined with narrow ``keys``, which go to all executors if there are few of them."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, how)
+
+
 class _Search:
     """Verified links between vertices: documents of distinct word sequences."""
 
     def __init__(self, docs: DataFrame, vertices: DataFrame):
-        self.docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
         self.vertices = vertices
         filed = vertices.select("v", "n", F.explode("keys").alias("key"))
         shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         filed = cut(filed.join(shared, "key"))
         crowd = filed.groupBy("v").agg(F.sum("members").alias("crowd"))
         self.filed = cut(filed.join(crowd, "v"))
-        self.tested: list[DataFrame] = []
-        self.links: list[DataFrame] = []
+        self.labels = cut(self.read(docs))
+        self.tested: DataFrame | None = None
+        self.n_tested = 0
+        self.links: DataFrame | None = None
         self.known: DataFrame | None = None
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(v, text) of the vertices ``wanted`` (v)."""
-        wanted = wanted.join(self.vertices.select("v", "doc_id", "text_hash"), "v").alias("w")
-        d = self.docs.alias("d")
+    def read(self, docs: DataFrame) -> DataFrame:
+        """(v, labels) of the vertices that share a bucket, whose texts alone are read."""
+        wanted = self.filed.select("v").distinct().join(self.vertices.select("v", "doc_id", "text_hash"), "v")
+        wanted = cut(wanted).alias("w")
+        d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("d")
         same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
-        return d.join(wanted, same).select("w.v", "d.text")
+        read = chosen(d, wanted, same, "inner").select("w.v", "d.text")
+        # Rows that repeat wholly have the same labels, of which one copy is kept.
+        return read.select("v", _labels("text").alias("labels")).groupBy("v").agg(F.first("labels").alias("labels"))
 
     def verify(self, pairs: DataFrame) -> int:
         """Align the pairs (a, b) that were not aligned before; the number of new links."""
         pairs = pairs.select("a", "b").distinct()
-        for old in self.tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        self.tested.append(pairs)
-        texts = self.texts(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-        left = texts.select(F.col("v").alias("a"), F.col("text").alias("x"))
-        right = texts.select(F.col("v").alias("b"), F.col("text").alias("y"))
+        n = pairs.count()
+        if n == 0:
+            return 0
+        self.n_tested += n
+        self.tested = packed(pairs if self.tested is None else cut(self.tested.union(pairs)), self.n_tested)
+        left = self.labels.select(F.col("v").alias("a"), F.col("labels").alias("x"))
+        right = self.labels.select(F.col("v").alias("b"), F.col("labels").alias("y"))
         scored = pairs.join(left, "a").join(right, "b").select("a", "b", _aligned("x", "y").alias("similarity"))
-        links = cut(scored.filter(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b").distinct())
+        links = cut(scored.filter(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b"))
         found = links.count()
         if found:
-            self.links.append(links)
+            links = packed(links, found)
+            self.links = links if self.links is None else self.links.union(links)
             self.known = None
         return found
 
@@ -207,7 +215,7 @@ class _Search:
         """(id, root) of the vertices linked so far; worked out again only after new links."""
         if self.known is None:
             none = self.vertices.limit(0).select(F.col("v").alias("a"), F.col("v").alias("b"))
-            self.known = cut(components(reduce(DataFrame.union, self.links, none)))
+            self.known = cut(components(none if self.links is None else self.links))
         return self.known
 
     def placed(self, filed: DataFrame) -> DataFrame:
@@ -233,8 +241,7 @@ class _Search:
         subsequence has all of it behind it on both sides. So the shorter text holds it among its first
         n - 2 s / (1 + s) n labels and the longer one among its first n - s n.
         """
-        read = self.texts(members.select("v")).groupBy("v").agg(F.first("text").alias("text"))
-        found = cut(members.join(read, "v").select("v", "n", "root", F.posexplode(_labels("text")).alias("pos", "label")))
+        found = cut(members.join(self.labels, "v").select("v", "n", "root", F.posexplode("labels").alias("pos", "label")))
         shared = found.groupBy("label").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         found = found.join(shared.filter("lo < hi").select("label", "often"), "label")
         turn = F.row_number().over(Window.partitionBy("v").orderBy("often", "label"))
@@ -332,11 +339,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns; rows without words stay."""
-    kept = classes(docs.select("doc_id", "text")).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    """One row of each group of near-duplicates, with all its columns; rows without words stay.
+
+    Rows that go are taken out by their id and text; where equal ones repeat, one of them comes back.
+    """
+    found = classes(docs.select("doc_id", "text")).groupBy("doc_id", "text_hash")
+    gone = cut(found.agg(F.max("kept").alias("back"), F.min("kept").alias("all")).filter(~F.col("all")).drop("all"))
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_hash)
-    same = rows["_id"].eqNullSafe(kept["doc_id"]) & (rows["_hash"] == kept["text_hash"])
-    chosen = rows.join(kept, same)
-    turn = Window.partitionBy("_id", "_hash").orderBy(F.lit(1))
-    return chosen.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= F.col("copies")).select("_row.*")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
+    back = chosen(rows, gone.filter("back").drop("back"), same, "left_semi").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return chosen(rows, gone.drop("back"), same, "left_anti").select("_row.*").union(back.select("_row.*"))
