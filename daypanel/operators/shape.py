@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series
 from ..functions.text import mean, named
+from .parts import Part
 from .windows import POPULATION_DAYS, calendar, latest, place_of_days
 
 METRICS = ("gmv", "ord")
@@ -454,41 +455,38 @@ def fcast_table(panel: DataFrame, anchors: list[int], want: list[str], windows=F
     return table.selectExpr("anchor", "user_id", "metric", "w", *named({s: exprs[s] for s in want}))
 
 
-def spread_out(table: DataFrame, names: dict[str, str], windows) -> DataFrame:
+def spread_out(table: DataFrame, names: dict[str, str], windows) -> Part:
     """One column per statistic, metric and window; ``names`` maps statistic to its column prefix.
 
-    The few series of a user are gathered in a fixed order and read by position. Arrow columns lose
-    the layout by user, so it is set once here and serves whatever joins the result.
+    The few series of a user come together in a fixed order and are read by position.
     """
     tags = [(m, w) for m in METRICS for w in windows]
     stats = [c for c in table.columns if c in names]
     place = " ".join(f"WHEN metric = '{m}' AND w = {w} THEN {i}" for i, (m, w) in enumerate(tags))
-    packed = table.selectExpr("anchor", "user_id", f"struct(CASE {place} END AS i, {', '.join(stats)}) AS s")
-    wide = packed.repartition("user_id").groupBy("anchor", "user_id").agg(F.expr("array_sort(collect_list(s)) AS all"))
-    columns = {f"{names[c]}{c}_{m}_{w}": f"all[{i}].{c}" for i, (m, w) in enumerate(tags) for c in stats}
-    return wide.selectExpr("anchor", "user_id", *named(columns, cast=None))
+    packed = table.selectExpr("anchor", "user_id", f"struct(CASE {place} END AS i, {', '.join(stats)}) AS value")
+    return Part(packed, {f"{names[c]}{c}_{m}_{w}": f"{{v}}[{i}].{c}" for i, (m, w) in enumerate(tags) for c in stats}, several=True)
 
 
 def _sbc_block(want: list[str]):
     def make(panel, anchors, n_days):
         windows = [w for w in SBC_WINDOWS if w >= SHORTEST["sbc"]]
-        return spread_out(sbc_table(panel, anchors, want, windows), {s: "sbc_" for s in want}, windows)
+        return [spread_out(sbc_table(panel, anchors, want, windows), {s: "sbc_" for s in want}, windows)]
 
     return make
 
 
 def _fcast_block(want: list[str]):
-    return lambda panel, anchors, n_days: spread_out(
-        fcast_table(panel, anchors, want), {s: "fc_" for s in want}, FCAST_WINDOWS)
+    return lambda panel, anchors, n_days: [spread_out(
+        fcast_table(panel, anchors, want), {s: "fc_" for s in want}, FCAST_WINDOWS)]
 
 
 def _tsfeat_block(panel, anchors, n_days):
     wide = spread_out(tsfeat_table(panel, anchors), {s: "" for s in TSFEAT}, TSFEAT_WINDOWS)
-    return wide.join(distance_30_60(panel, anchors), ["anchor", "user_id"], "left")
+    return [wide, Part.of(distance_30_60(panel, anchors), optional=True)]
 
 
 def _tsfresh_block(panel, anchors, n_days):
-    return spread_out(tsfresh_table(panel, anchors), {s: "tf_" for s in TSFRESH}, TSFRESH_WINDOWS)
+    return [spread_out(tsfresh_table(panel, anchors), {s: "tf_" for s in TSFRESH}, TSFRESH_WINDOWS)]
 
 
 SBC_ALL = [s for names in SBC_FAMILIES.values() for s in names]

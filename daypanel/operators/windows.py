@@ -23,10 +23,11 @@ HALF_LIVES = (7, 30, 90)
 ERA = 600  # half-lives that powers of two are taken over
 SUPPORT = 3  # half-lives after which a decayed sum counts as blind
 POPULATION_DAYS = 30
-# Columns that are no counts. Their running sums are kept exactly to 1e-8, so that a difference of two large
-# ones has the digits of the window's own sum; counts are exact as doubles.
+# Columns that are no counts. Their running sums are kept in two parts, multiples of ``GRAIN`` and the rest:
+# the first are exact, the second small, so that a difference of two large sums has the digits of the window's
+# own sum. Counts are exact as they are.
 AMOUNTS = ("gmv", "gmvs", "gmvc")
-EXACT = "decimal(38,8)"
+GRAIN = 2.0**-6
 
 
 @dataclass(frozen=True)
@@ -240,22 +241,31 @@ def aggregate(panel: DataFrame, anchors: list[int], plan: Plan, read: Iterable[s
     levels = {v: f"l{i}" for i, v in enumerate(dict.fromkeys(v for v, _ in life.values()))}
     if any("own_age" in v for v in (*running, *levels)):
         panel = panel.selectExpr("*", f"day - min(day) OVER {HISTORY} AS own_age")
-    exact = {v: any(re.search(rf"\b{c}\b", v) for c in AMOUNTS) for v in running}
-    totals = [f"sum({f'cast({v} as {EXACT})' if exact[v] else v}) OVER {HISTORY} AS {r}" for v, r in running.items()]
-    rows = panel.selectExpr("user_id", "cast(day as int) AS day", *totals, *[f"{v} AS {name}" for v, name in levels.items()])
-    fields = ", ".join(["day", *running.values(), *levels.values()])
+    kept = {}
+    for v, r in running.items():
+        if any(re.search(rf"\b{c}\b", v) for c in AMOUNTS):
+            kept[v] = {r: f"{v} - pmod({v}, {GRAIN!r}D)", f"{r}s": f"pmod({v}, {GRAIN!r}D)"}
+        else:
+            kept[v] = {r: v}
+    totals = {name: f"sum({x}) OVER {HISTORY}" for part in kept.values() for name, x in part.items()}
+    rows = panel.selectExpr("user_id", "cast(day as int) AS day", *named(totals, cast=None), *[f"{v} AS {name}" for v, name in levels.items()])
+    fields = ", ".join(["day", *totals, *levels.values()])
     users = rows.groupBy("user_id").agg(F.expr(f"array_sort(collect_list(struct({fields}))) AS e"))
-    ahead_by = max([0, *[-s.young for _, s in sums.values()]])
-    users = users.selectExpr("*", f"{place_of_days(max(anchors, default=0) + ahead_by)} AS place")
+
+    # A window needs the rows at both of its ends, which many windows share: each is looked up once.
+    backs = sorted({x for _, s in sums.values() for x in (s.young, s.old + 1)} | {back for _, back in life.values()} | {0})
+    end = {back: f"at{i}" for i, back in enumerate(backs)}
+    users = users.selectExpr("*", f"{place_of_days(max(anchors, default=0) - backs[0])} AS place", "e[0].day AS first")
+    here = f"filter({calendar(anchors)}, a -> coalesce(get(e, get(place, a - first)).day, -{POPULATION_DAYS}) > a - {POPULATION_DAYS})"
+    looks = ", ".join(["'anchor', a", *[f"'{n}', get(e, get(place, a - {back} - first))" for back, n in end.items()]])
+    looked = users.selectExpr("user_id", f"inline(transform({here}, a -> named_struct({looks})))")
 
     def between(value: str, s: Span) -> str:
-        upto = lambda at: f"coalesce({latest(running[value], at)}, {'0BD' if exact[value] else '0D'})"
-        return f"cast({upto(f'(a - {s.young})')} - {upto(f'(a - {s.old + 1})')} as double)"
+        upto = lambda back, r: f"coalesce({end[back]}.{r}, 0D)"
+        return " + ".join(f"({upto(s.young, r)} - {upto(s.old + 1, r)})" for r in kept[value])
 
-    cells = {n: between(v, s) for n, (v, s) in sums.items()} | {n: latest(levels[v], f"(a - {back})") for n, (v, back) in life.items()}
-    here = f"filter({calendar(anchors)}, a -> coalesce({latest('day', 'a')}, -{POPULATION_DAYS}) > a - {POPULATION_DAYS})"
-    each = ", ".join(["'anchor', a", *[f"'{n}', {e}" for n, e in cells.items()]])
-    return users.selectExpr("user_id", f"inline(transform({here}, a -> named_struct({each})))")
+    cells = {n: between(v, s) for n, (v, s) in sums.items()} | {n: f"{end[back]}.{levels[v]}" for n, (v, back) in life.items()}
+    return looked.selectExpr("user_id", "anchor", *named(cells, cast=None))
 
 
 def features(panel: DataFrame, anchors: list[int], plan: Plan, columns: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from daypanel.operators import blocks as B
 from daypanel.operators import shape as SH
 
 ANCHORS = [40, 200, 410]
@@ -105,12 +106,12 @@ def test_weekly_decomposition(spark, toy):
 def test_block_sizes(toy):
     sizes = {"sbc": 624, "sbcnomoment": 480, "tsfeat": 50, "tsfresh": 60, "fcast": 48}
     for name, want in sizes.items():
-        assert len(SH.SHAPE_BLOCKS[name](toy["panel"], [410], toy["n_days"]).columns) - 2 == want
+        assert len(B.build(toy["panel"], [410], toy["n_days"], [name]).columns) - 2 == want
 
 
 def test_wide_columns_hold_the_long_values(spark, toy):
     """Columns are read by position, so every value is compared with its row."""
-    wide = SH.SHAPE_BLOCKS["sbcorder"](toy["panel"], ANCHORS, toy["n_days"]).toPandas().set_index(["anchor", "user_id"])
+    wide = B.build(toy["panel"], ANCHORS, toy["n_days"], ["sbcorder"]).toPandas().set_index(["anchor", "user_id"])
     tall = SH.sbc_table(toy["panel"], ANCHORS, SH.SBC_FAMILIES["sbcorder"], SH.SBC_WINDOWS[1:]).toPandas()
     for _, row in tall.iterrows():
         for stat in ("q90", "max", "gini", "trimmedstd"):
