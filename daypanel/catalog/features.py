@@ -375,6 +375,45 @@ def f17_max_window(spark, folder):
     return out(B.build(d.panel, d.index(ANCHORS), d.n_days, blocks, keep=B.within_lookback(60, blocks, d.n_days)), digits=4)
 
 
+# Every block of the shipped matrix within 90 days. The names, written out: windows up to 90 days, blocks that end
+# within them, shares and ranks of such windows, and the statistics of all series of up to 90 days.
+_SHIPPED_90 = """
+SELECT n || '_sum_' || w AS feature FROM (VALUES ('gmv'), ('ord'), ('cart'), ('srch')) a(n), (VALUES (7), (14), (30), (60), (90)) b(w)
+UNION ALL SELECT n || '_sum_' || w FROM (VALUES ('gmv'), ('ord')) a(n), (VALUES (3), (21), (45)) b(w)
+UNION ALL SELECT 'days_' || w FROM (VALUES (3), (7), (14), (21), (30), (45), (60), (90)) b(w)
+UNION ALL SELECT 'gmv_' || n || '_' || w FROM (VALUES ('search'), ('cat')) a(n), (VALUES (7), (14), (30), (60), (90)) b(w)
+UNION ALL SELECT n || '_blk' || k FROM (VALUES ('gmv'), ('ord')) a(n), (VALUES (0), (1), (2)) b(k)
+UNION ALL SELECT n || '_' || w FROM (VALUES ('buy_days'), ('buy_day_rate'), ('ord_per_buy_day'), ('gmv_per_buy_day')) a(n), (VALUES (7), (14), (30), (60), (90)) b(w)
+UNION ALL SELECT n || '_' || w FROM (VALUES ('empty_days'), ('real_days'), ('empty_day_rate')) a(n), (VALUES (7), (30), (90)) b(w)
+UNION ALL SELECT n || '_' || w FROM (VALUES ('cat_gmv_share'), ('cart_per_search')) a(n), (VALUES (30), (90)) b(w)
+UNION ALL SELECT n || '_' || t || '_' || w FROM (VALUES ('fano'), ('cv')) a(n), (VALUES ('ord'), ('gmv')) c(t), (VALUES (30), (90)) b(w)
+UNION ALL SELECT n || '_' || t || '_' || w FROM (VALUES ('date_sd'), ('date_regularity'), ('mean_gap'), ('burstiness')) a(n),
+  (VALUES ('act'), ('buy')) c(t), (VALUES (30), (90)) b(w)
+UNION ALL SELECT n || '_hhi_' || w FROM (VALUES ('gmv'), ('ord')) a(n), (VALUES (30), (90)) b(w)
+UNION ALL SELECT n FROM (VALUES ('geo3'), ('gmv_trend_blk01'), ('recency_days'), ('aov_90'), ('gmv_per_active_day_90'), ('ord_per_active_day_90'),
+  ('cart_to_ord_rate_90'), ('srch_to_ord_rate_90'), ('gmv_ratio_30_90'), ('active_day_rate_90'),
+  ('pct_gmv_30'), ('pct_gmv_90'), ('pct_ord_90'), ('pct_days_90'), ('pct_recency')) a(n)
+UNION ALL SELECT 'sbc_' || n || '_' || t || '_' || w FROM (VALUES ('gmv'), ('ord')) c(t), (VALUES (14), (30), (60), (90)) b(w), (VALUES
+  ('trendchangerate'), ('numtrendchanges'), ('zigzagfreq'), ('fracup'), ('fracdown'), ('maxrunlength'), ('meanrunlength'), ('zerocross'), ('meanlast'),
+  ('q10'), ('q25'), ('median'), ('q75'), ('q90'), ('q99'), ('q19'), ('iqr'), ('interdecile'), ('max'), ('range'), ('trimmedmean'), ('trimmedstd'),
+  ('winsorizedmean'), ('biweightmidvar'), ('gini'), ('shapirofrancia'), ('andersondarling'), ('spectralentropy'), ('spectralflatness'), ('fftmaxfreq'),
+  ('domfreqpower'), ('spectralrolloff'), ('trendslope'), ('firsthalfmean'), ('secondhalfmean'), ('hurstexp'), ('autocorr1'), ('autocorr5'), ('autocorr7'),
+  ('histentropy')) a(n)"""
+SHIPPED = ["base", "counts", "rank", "visit", "channel", "dispersion", "sbcnomoment"]
+
+
+@query("f17_shipped_max_window", sql_result(
+    f"SELECT feature, count(DISTINCT user_id) AS n FROM ({_SHIPPED_90}), a JOIN p ON day BETWEEN anchor - 29 AND anchor GROUP BY feature",
+    ["feature"], ctes=f"{ORDER_P}, {anchor_cte(ANCHORS[2:])}"))
+def f17_shipped_max_window(spark, folder):
+    d = order_days(spark, folder)
+    rows = B.build(d.panel, d.index(ANCHORS[2:]), d.n_days, SHIPPED, keep=B.within_lookback(90, SHIPPED, d.n_days))
+    names = [c for c in rows.columns if c not in ("anchor", "user_id")]
+    counted = rows.agg(*[F.count(n).alias(n) for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("n")) for n in names])
+    return out(counted.select(F.inline(cells)), ["feature"])
+
+
 _ONLY = ["gmv_sum_90", "ord_sum_365", "geo3", "buy_days_180", "tenure_days", "gmv_total", "days_30", "aov_90"]
 
 

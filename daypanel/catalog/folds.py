@@ -13,7 +13,7 @@ from ..sources import panel as S
 from .common import (ANCHORS, GUARD_START, IN_POPULATION, ORDER_P, VALID_ANCHORS, anchor_cte, event_days, features_sql,
                      order_days, out, query, s, sql_result)
 from .data import DAY, FOLDS, GRID, TRAIN_GRID, fold_rows, train_grid
-from .features import GEO3, base_sql
+from .features import GEO3, SHIPPED, base_sql
 
 FOLD = ["fold_id", "anchor_date", "user_id"]
 
@@ -135,17 +135,28 @@ def p7_training_table(spark, folder):
     return out(per_anchor(rows, [*_TRAIN_COLS, "y", "y_log"]), ["anchor"], digits=4)
 
 
+_H = ", ".join(f"sum(CASE WHEN day > anchor AND day <= anchor + {h} THEN gmv ELSE 0 END) AS y{h}" for h in (7, 14, 30))
+_AUX_SQL = f"""SELECT t.*, h AS horizon, [y7, y14, y30][k] AS y, ln(1 + [y7, y14, y30][k]) AS y_log FROM (
+SELECT anchor, user_id, {", ".join(f"{e} AS {n}" for n, e in _TRAIN_COLS.items())}, {_H}
+FROM a JOIN p ON p.day <= a.anchor + 30, cal GROUP BY anchor, user_id, n_days HAVING {IN_POPULATION}) t, (VALUES (1, 7), (2, 14), (3, 30)) v(k, h)"""
+
+
 @query("p8_aux_horizons", sql_result(
-    _means("SELECT anchor, user_id, geo3, h AS horizon, y, ln(1 + y) AS y_log FROM ("
-           + f"""SELECT anchor, user_id, {GEO3} AS geo3, h, sum(CASE WHEN day > anchor AND day <= anchor + h THEN gmv ELSE 0 END) AS y
-FROM a JOIN p ON p.day BETWEEN a.anchor - 364 AND a.anchor + 30, (VALUES (7), (14), (30)) v(h) GROUP BY anchor, user_id, h HAVING {IN_POPULATION})""",
-           ["geo3", "y", "y_log"], "horizon"),
-    ["anchor", "horizon"], ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}").replace(
+    _means(_AUX_SQL, [*_TRAIN_COLS, "y", "y_log"], "horizon"), ["anchor", "horizon"], digits=4, ctes=f"{ORDER_P}, {anchor_cte(TRAIN_DATES)}").replace(
         "SELECT anchor, horizon,", "SELECT anchor, CAST(horizon AS BIGINT) AS horizon,", 1))
 def p8_aux_horizons(spark, folder):
     d = order_days(spark, folder)
     rows = P.stacked(d.panel, train_days(spark, d), d.n_days, ["base"], horizons=(7, 14, 30))
-    return out(per_anchor(rows, ["geo3", "y", "y_log"], "horizon"), ["anchor", "horizon"])
+    return out(per_anchor(rows, [*_TRAIN_COLS, "y", "y_log"], "horizon"), ["anchor", "horizon"], digits=4)
+
+
+# All 665 columns and the target on every training anchor. Its series written out day by day would be billions of
+# rows for the oracle; single anchors of the same blocks have one, and a test compares the two.
+@query("p7_shipped_training")
+def p7_shipped_training(spark, folder):
+    d = order_days(spark, folder)
+    rows = P.stacked(d.panel, train_days(spark, d), d.n_days, SHIPPED)
+    return out(per_anchor(rows, [c for c in rows.columns if c not in ("anchor", "user_id")]), ["anchor"], digits=4)
 
 
 @query("p9_sample_weights", sql_result(
@@ -386,3 +397,21 @@ def p27_final_fit(spark, folder):
     rows = sizes.join(F.broadcast(late)).select(
         S.date_of(F.col("anchor"), d.first).alias("train_anchor"), "n_users", "scored_outside_population")
     return out(rows, ["train_anchor"])
+
+
+# The set itself: features and targets on every clean anchor, and the rows to score on the last day.
+_FINAL_DATES = [FINAL_LAST - timedelta(days=7 * k) for k in range(300) if FINAL_LAST - timedelta(days=7 * k) >= PANEL_START + timedelta(days=89)]
+_FINAL_ROWS = f"""SELECT anchor, anchor = (SELECT n_days - 1 FROM cal) AS scored, {", ".join(_TRAIN_COLS)},
+  CASE WHEN anchor = (SELECT n_days - 1 FROM cal) THEN 0 ELSE ln(1 + y) END AS y_log FROM (
+SELECT anchor, user_id, {", ".join(f"{e} AS {n}" for n, e in _TRAIN_COLS.items())}, {_Y} AS y
+FROM (SELECT anchor FROM a UNION ALL SELECT n_days - 1 FROM cal) a JOIN p ON p.day <= a.anchor + 30, cal GROUP BY anchor, user_id, n_days HAVING {IN_POPULATION})"""
+
+
+@query("p27_final_fit_set", sql_result(
+    f"SELECT anchor, scored, count(*) AS n, {', '.join(f'avg({n}) AS {n}' for n in [*_TRAIN_COLS, 'y_log'])} FROM ({_FINAL_ROWS}) GROUP BY anchor, scored",
+    ["anchor", "scored"], digits=4, ctes=f"{ORDER_P}, {anchor_cte(_FINAL_DATES)}"))
+def p27_final_fit_set(spark, folder):
+    d = order_days(spark, folder)
+    grid = P.training_anchors(P.fold_calendar(spark, [GUARD_START - timedelta(days=1)]), d.first, gap=30)
+    rows = P.final_set(d.panel, P.anchor_days(grid, d.first), d.n_days, ["base"])
+    return out(per_anchor(rows, [*_TRAIN_COLS, "y_log"], "scored"), ["anchor", "scored"], digits=4)

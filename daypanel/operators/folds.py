@@ -154,6 +154,14 @@ def stacked(panel: DataFrame, anchors: list[int], n_days: int, blocks: list[str]
     return out.withColumn("y_log", F.log1p("y"))
 
 
+def final_set(panel: DataFrame, anchors: list[int], n_days: int, blocks: list[str], **options) -> DataFrame:
+    """Training rows of the clean anchors and, ``scored``, the rows of the last day, whose target is not known (0)."""
+    rows = stacked(panel, [*anchors, n_days - 1], n_days, blocks, **options)
+    scored = F.col("anchor") == n_days - 1
+    known = lambda c: F.when(scored, F.lit(0.0)).otherwise(F.col(c))
+    return rows.withColumns({"y": known("y"), "y_log": known("y_log"), "scored": scored})
+
+
 def buyer_weight(y: Column, weight: float) -> Column:
     return F.when(y > 0, F.lit(float(weight))).otherwise(F.lit(1.0))
 

@@ -467,38 +467,35 @@ def spread_out(table: DataFrame, names: dict[str, str], windows) -> Part:
     return Part(packed, {f"{names[c]}{c}_{m}_{w}": f"{{v}}[{i}].{c}" for i, (m, w) in enumerate(tags) for c in stats}, several=True)
 
 
-def _sbc_block(want: list[str]):
-    def make(panel, anchors, n_days):
-        windows = [w for w in SBC_WINDOWS if w >= SHORTEST["sbc"]]
-        return [spread_out(sbc_table(panel, anchors, want, windows), {s: "sbc_" for s in want}, windows)]
-
-    return make
-
+SBC_ALL = [s for names in SBC_FAMILIES.values() for s in names]
+SBC_NOMOMENT = [s for s in SBC_ALL if s not in SBC_FAMILIES["sbcmoment"]]
+FCAST_ALL = [s for names in FCAST_FAMILIES.values() for s in names]
+SBC_SPREAD = tuple(w for w in SBC_WINDOWS if w >= SHORTEST["sbc"])
+
+# Blocks of spread statistics: column prefix, statistics, windows and the table they come from.
+SPREAD = {
+    "tsfeat": ("", TSFEAT, TSFEAT_WINDOWS, lambda p, a, names, w: tsfeat_table(p, a, w)),
+    "tsfresh": ("tf_", TSFRESH, TSFRESH_WINDOWS, lambda p, a, names, w: tsfresh_table(p, a, w)),
+    **{b: ("sbc_", names, SBC_SPREAD, sbc_table) for b, names in {"sbc": SBC_ALL, "sbcnomoment": SBC_NOMOMENT, **SBC_FAMILIES}.items()},
+    **{b: ("fc_", names, FCAST_WINDOWS, fcast_table) for b, names in {"fcast": FCAST_ALL, **FCAST_FAMILIES}.items()},
+}
 
-def _fcast_block(want: list[str]):
-    return lambda panel, anchors, n_days: [spread_out(
-        fcast_table(panel, anchors, want), {s: "fc_" for s in want}, FCAST_WINDOWS)]
 
+def _spread_block(block: str):
+    prefix, names, windows, table = SPREAD[block]
 
-def _tsfeat_block(panel, anchors, n_days):
-    wide = spread_out(tsfeat_table(panel, anchors), {s: "" for s in TSFEAT}, TSFEAT_WINDOWS)
-    return [wide, Part.of(distance_30_60(panel, anchors), optional=True)]
+    def make(panel, anchors, n_days):
+        parts = [spread_out(table(panel, anchors, names, windows), {s: prefix for s in names}, windows)]
+        return parts + ([Part.of(distance_30_60(panel, anchors), optional=True)] if block == "tsfeat" else [])
 
+    return make
 
-def _tsfresh_block(panel, anchors, n_days):
-    return [spread_out(tsfresh_table(panel, anchors), {s: "tf_" for s in TSFRESH}, TSFRESH_WINDOWS)]
 
+SHAPE_BLOCKS = {block: _spread_block(block) for block in SPREAD}
 
-SBC_ALL = [s for names in SBC_FAMILIES.values() for s in names]
-SBC_NOMOMENT = [s for s in SBC_ALL if s not in SBC_FAMILIES["sbcmoment"]]
-FCAST_ALL = [s for names in FCAST_FAMILIES.values() for s in names]
 
-SHAPE_BLOCKS = {
-    "tsfeat": _tsfeat_block,
-    "tsfresh": _tsfresh_block,
-    "sbc": _sbc_block(SBC_ALL),
-    "sbcnomoment": _sbc_block(SBC_NOMOMENT),
-    "fcast": _fcast_block(FCAST_ALL),
-    **{f: _sbc_block(names) for f, names in SBC_FAMILIES.items()},
-    **{f: _fcast_block(names) for f, names in FCAST_FAMILIES.items()},
-}
+def shape_reaches(block: str) -> dict[str, int]:
+    """Days before the anchor that each column of a shape block can see."""
+    prefix, names, windows, _ = SPREAD[block]
+    found = {f"{prefix}{s}_{m}_{w}": w for s in names for m in METRICS for w in windows}
+    return found | ({"distshift_gmv_30v60": 90, "distshift_q90_gmv_30v60": 90} if block == "tsfeat" else {})
