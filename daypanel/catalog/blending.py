@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ordinal_positions
+from ..functions.session import cut
 from ..operators import audit as A
 from ..operators import blending as BL
 from ..operators import blocks as B
@@ -15,7 +16,7 @@ from ..operators import channels as C
 from ..operators import folds as P
 from ..operators.windows import Plan, Span, features
 from .channels import dense_events
-from .common import ANCHORS, VALID_ANCHORS, anchor_cte, IN_POPULATION, ORDER_P, order_days, out, query, s, sql_result
+from .common import ANCHORS, QUERIES, VALID_ANCHORS, anchor_cte, IN_POPULATION, ORDER_P, order_days, out, query, s, sql_result
 from .data import GRID
 from .metrics import MODEL, NAIVE, NAMES, OOF, gini_sql, member_oof, naive_oof, wide_logs
 
@@ -282,48 +283,49 @@ def b5_soft_targets(spark, folder):
 
 # -- models ----------------------------------------------------------------------------------------------------
 
-MODEL_COLS = ["gmv_sum_30", "gmv_sum_90", "gmv_sum_365", "ord_sum_90", "ord_sum_365", "days_30", "days_90", "geo3",
-              "recency_days", "recency_order_days", "buy_days_180", "aov_90"]
-SMALL = {"maxIter": 4, "maxDepth": 3, "maxBins": 32}
+MODEL_BLOCKS = ["base", "counts"]
 
 
 def model_tables(spark, folder):
-    """Training rows of the newest anchors of the last fold, and the rows to score."""
-    from datetime import timedelta
+    """Fitting and tuning rows of the last fold's whole weekly grid, the rows to score, and the columns of the blocks.
 
+    Anchors whose targets overlap that of the tuning anchor, the newest one, are held out of the fit.
+    """
     d = order_days(spark, folder)
-    train_dates = [VALID_ANCHORS[-1] - timedelta(days=30 + 7 * k) for k in range(4)]
-    both = P.stacked(d.panel, d.index([*train_dates, VALID_ANCHORS[-1]]), d.n_days, ["base", "counts"])
-    both = both.select("anchor", "user_id", "y", "y_log", *MODEL_COLS)
+    roles = P.anchor_roles(P.training_anchors(P.fold_calendar(spark, VALID_ANCHORS[-1:]), d.first))
+    role = {r.train_anchor: r.role for r in roles.select("train_anchor", "role").collect()}  # calendar days
+    fit, tune = (d.index([t for t, what in role.items() if what == wanted]) for wanted in ("fit", "tune"))
     at = d.index(VALID_ANCHORS)[-1]
-    return both.filter(F.col("anchor") != at), both.filter(F.col("anchor") == at), max(d.index(train_dates))
+    rows = cut(P.stacked(d.panel, [*fit, *tune, at], d.n_days, MODEL_BLOCKS))
+    names = [c for c in rows.columns if c not in ("anchor", "user_id", "y", "y_log")]
+    return rows.filter(F.col("anchor") != at), rows.filter(F.col("anchor") == at), names, F.col("anchor") == tune[0], tune[0]
 
 
 @query("b1_boosted_seeds")
 def b1_boosted_seeds(spark, folder):
     from ..operators import models as ML
 
-    train, score, newest = model_tables(spark, folder)
+    train, score, names, held, newest = model_tables(spark, folder)
     weight = P.buyer_weight(F.col("y"), 2.0) * P.decay_weight(newest - F.col("anchor"), 60)
-    return out(ML.boosted(train, score, MODEL_COLS, ["anchor", "user_id"], [0, 1], weight, **SMALL))
+    return out(ML.boosted(train, score, names, ["anchor", "user_id"], [0, 1], weight, held))
 
 
 @query("b2_two_part")
 def b2_two_part(spark, folder):
     from ..operators import models as ML
 
-    train, score, _ = model_tables(spark, folder)
-    return out(ML.two_part(train, score, MODEL_COLS, ["anchor", "user_id"], 0, **SMALL))
+    train, score, names, held, _ = model_tables(spark, folder)
+    return out(ML.two_part(train, score, names, ["anchor", "user_id"], 0, held))
 
 
 @query("b3_size_only")
 def b3_size_only(spark, folder):
     from ..operators import models as ML
 
-    train, score, _ = model_tables(spark, folder)
+    train, score, names, held, _ = model_tables(spark, folder)
     keys = ["anchor", "user_id"]
-    buyers = ML.size_only(train, score, MODEL_COLS, keys, 0, **SMALL).select(*keys, F.col("m_log").alias("from_buyers"))
-    control = ML.size_only(train, score, MODEL_COLS, keys, 0, everyone=True, **SMALL).select(*keys, F.col("m_log").alias("from_everyone"))
+    buyers = ML.size_only(train, score, names, keys, 0, held=held).select(*keys, F.col("m_log").alias("from_buyers"))
+    control = ML.size_only(train, score, names, keys, 0, everyone=True, held=held).select(*keys, F.col("m_log").alias("from_everyone"))
     return out(buyers.join(control, keys))
 
 
@@ -331,7 +333,7 @@ def b3_size_only(spark, folder):
 def b6_top_features(spark, folder):
     from ..operators import models as ML
 
-    train, _, _ = model_tables(spark, folder)
-    models = ML.fit_regressors(ML.training_rows(train, MODEL_COLS), [0], **SMALL)
-    rows = [(i + 1, n, v) for i, (n, v) in enumerate(ML.top_features(models, MODEL_COLS, 15))]
+    train, _, names, held, _ = model_tables(spark, folder)
+    models = ML.fit_regressors(ML.training_rows(train, names, held=held), [0])
+    rows = [(i + 1, n, v) for i, (n, v) in enumerate(ML.top_features(models, names, 15))]
     return out(spark.createDataFrame(rows, "place int, feature string, importance double"), ["place"])
