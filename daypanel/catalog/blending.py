@@ -283,7 +283,7 @@ def b5_soft_targets(spark, folder):
 
 # -- models ----------------------------------------------------------------------------------------------------
 
-MODEL_BLOCKS = ["base", "counts"]
+MODEL_BLOCKS = ["base"]
 
 
 def model_tables(spark, folder):
