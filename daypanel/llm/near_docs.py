@@ -12,11 +12,11 @@ Similarity is common / (n + m - common), the ordered form of the Jaccard index o
 Documents of equal words are one vertex. Pairs come from key buckets, in two steps: every vertex is first
 compared with the leaders of its buckets (the members whose buckets hold most documents, so the middle of a
 crowd), which merges most groups with a few comparisons per document. Then, in every bucket that still holds
-several components, all pairs across components are compared. Buckets of more than ``LIGHT`` members, where
-that would be quadratic, draw a few new leaders per round instead, until a round links nothing. What still
-shares such a bucket across components is then filed under the rarest of its labels: two sequences of the
-threshold share a label among the rarest fifth of each, at ranks and positions that leave room for the rest.
-All pairs across components that do are compared, so no partner is left to the draw.
+several components, all pairs across components are compared. What shares a bucket of more than ``LIGHT``
+members across components, where that would be quadratic, is looked for by the rarest labels: a sequence of the
+threshold shares a label among the rarest fifth of the other's, at a rank and positions that leave room for the
+rest. Of the pairs across components that do, one of each two components is compared, and then all that are
+left, so no partner is left to a draw.
 
 Rows without words (null, empty, only punctuation) are alike to nothing and stay. Rows that repeat wholly are
 equal texts, of which one stays. Empty tables give empty results. Other columns are passed through untouched.
@@ -42,7 +42,6 @@ PICKED = 4
 LIGHT = 32
 PARTNERS = 2  # leaders a vertex is compared with per round, those it shares most buckets with
 FEW = 1 << 20  # ids and hashes of 16 bytes that may go to all executors
-CELL = 1 << 16  # comparisons of one label that a task makes for one key of the join
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = T.StructType().add("digest", T.BinaryType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType()))
@@ -218,63 +217,56 @@ class _Search:
             self.known = cut(components(none if self.links is None else self.links))
         return self.known
 
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (v, ...) with the component of each vertex."""
+        roots = self.groups().withColumnsRenamed({"id": "v"})
+        return rows.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+
     def placed(self, filed: DataFrame) -> DataFrame:
         """Filed keys with the component of each vertex, without the buckets of one component."""
-        roots = self.groups().withColumnsRenamed({"id": "v"})
-        placed = filed.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        placed = self.rooted(filed)
         mixed_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         return cut(placed.join(mixed_keys.select("key"), "key", "left_semi"))
 
-    def with_leaders(self, filed: DataFrame, leaders: DataFrame, across: bool) -> DataFrame:
+    def with_leaders(self, filed: DataFrame, leaders: DataFrame) -> DataFrame:
         """Per vertex the ``PARTNERS`` leaders of its buckets that it meets most often."""
         met = filed.join(leaders, "key").filter((F.col("v") != F.col("leader")) & _alike_length("n", "leader_n"))
-        if across:
-            met = met.filter(F.col("root") != F.col("leader_root"))
         met = met.groupBy("v", "leader").agg(F.count(F.lit(1)).alias("times"))
         best = Window.partitionBy("v").orderBy(F.desc("times"), "leader")
         return met.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= PARTNERS).select(*_pair("v", "leader"))
 
-    def within_reach(self, members: DataFrame) -> DataFrame:
-        """All pairs (a, b) of ``members`` (v, n, root) in different components that may reach the threshold.
+    def within_reach(self, heavy: DataFrame) -> DataFrame:
+        """All pairs (a, b) that share a larger bucket across components (``heavy``) and may reach the threshold.
 
-        In the order of rarity, labels of one component before all others, the first label of a common
-        subsequence has all of it behind it on both sides. So the shorter text holds it among its first
-        n - 2 s / (1 + s) n labels and the longer one among its first n - s n.
+        Of two components the smaller one asks: a text asks if it is not of the largest component in one of its
+        buckets. In the order of rarity, labels of one component before all others, the first label of a common
+        subsequence has all of it behind it, so an asking text holds it among its first n - s n labels. Only
+        these are looked for among the labels of all texts, at positions that leave room for the rest.
         """
+        members = cut(heavy.select("v", "n", "root").distinct())
+        sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        placed = heavy.join(sizes, "root").withColumn("rank", F.struct("size", "root"))
+        tops = placed.groupBy("key").agg(F.max("rank").alias("top"))
+        asking = cut(placed.join(tops, "key").filter("rank < top").select("v").distinct())
+
         found = cut(members.join(self.labels, "v").select("v", "n", "root", F.posexplode("labels").alias("pos", "label")))
-        shared = found.groupBy("label").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        found = found.join(shared.filter("lo < hi").select("label", "often"), "label")
+        often = found.groupBy("label").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        asked = chosen(found.alias("f"), asking.alias("k"), F.col("f.v") == F.col("k.v"), "left_semi")
+        asked = asked.join(often.filter("lo < hi").select("label", "often"), "label")
         turn = F.row_number().over(Window.partitionBy("v").orderBy("often", "label"))
         behind = F.count(F.lit(1)).over(Window.partitionBy("v")) - turn + 1  # labels from this one on
-        first = cut(found.withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * F.lit(SIMILARITY) - 1e-6).drop("often"))
-
-        # The largest component of a label is compared with the others only, so that it is never paired with itself.
-        held = first.groupBy("label", "root").agg(F.count(F.lit(1)).alias("held"))
-        main = held.groupBy("label").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
-        first = first.join(main.filter("roots > 1").drop("roots"), "label")
-        is_main = F.col("root") == F.col("main")
-        side = lambda alone, others: F.explode(F.when(is_main, F.array(F.lit(alone))).otherwise(F.array(F.lit(0), F.lit(others))))
-        short = first.filter(F.col("behind") >= F.col("n") * F.lit(2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6)
-        x, y = cut(short.withColumn("side", side(2, 1)).drop("main")), cut(first.withColumn("side", side(1, 2)).drop("main"))
-        key = ["label", "side"]
-        sizes = x.groupBy(*key).agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*key).agg(F.count(F.lit(1)).alias("ny")), key)
-        sizes = cut(sizes.select(*key, (F.col("nx") >= F.col("ny")).alias("x_dealt"), F.ceil(F.col("nx") * F.col("ny") / CELL).alias("cells")))
-        one, each = F.array(F.pmod(F.xxhash64("v"), F.col("cells"))), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
-        x = x.join(sizes, key).withColumn("cell", F.explode(F.when(F.col("x_dealt"), one).otherwise(each))).alias("x")
-        y = y.join(sizes, key).withColumn("cell", F.explode(F.when(F.col("x_dealt"), each).otherwise(one))).alias("y")
+        asked = cut(asked.withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * F.lit(SIMILARITY) - 1e-6)).alias("x")
+
         c = F.col
         needed = (c("x.n") + c("y.n")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - 1e-6
         before, after = F.least("x.pos", "y.pos"), F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))
-        fits = (
-            (c("x.root") != c("y.root")) & (F.struct("x.n", "x.v") < F.struct("y.n", "y.v")) & _alike_length("x.n", "y.n")
-            & (F.least("x.behind", "y.behind") >= needed) & (before + after >= needed)
-        )
-        same = (c("x.label") == c("y.label")) & (c("x.side") == c("y.side")) & (c("x.cell") == c("y.cell"))
-        return x.join(y, same & fits).select(*_pair("x.v", "y.v")).distinct()
-
-    def finish(self, rest: DataFrame) -> None:
-        """Compare what still shares a bucket across components: a pair of each two components, then all pairs left."""
-        pairs = cut(self.within_reach(cut(rest.select("v", "n", "root").distinct())))
+        fits = (c("x.root") != c("y.root")) & _alike_length("x.n", "y.n") & (c("x.behind") >= needed) & (before + after >= needed)
+        met = chosen(found.alias("y"), asked, (c("x.label") == c("y.label")) & fits, "inner")
+        return met.select(*_pair("x.v", "y.v")).distinct()
+
+    def finish(self, heavy: DataFrame) -> None:
+        """Compare what shares a larger bucket across components: a pair of each two components, then all pairs that are left."""
+        pairs = cut(self.within_reach(heavy))
         for all_pairs in (False, True):
             roots = self.groups()
             for end in ("a", "b"):
@@ -291,7 +283,7 @@ class _Search:
     def run(self) -> None:
         middle = F.max(F.struct("crowd", F.expr("-v").alias("order"), "v", "n")).alias("top")
         leaders = self.filed.groupBy("key").agg(middle).select("key", F.col("top.v").alias("leader"), F.col("top.n").alias("leader_n"))
-        self.verify(self.with_leaders(self.filed, leaders, across=False))
+        self.verify(self.with_leaders(self.filed, leaders))
 
         rest = self.placed(self.filed)
         light = rest.filter(F.col("members") <= LIGHT)
@@ -300,20 +292,9 @@ class _Search:
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
         self.verify(pairs)
 
-        turn, rest = 0, rest.filter(F.col("members") > LIGHT)
-        while not rest.isEmpty():
-            rest = self.placed(rest.drop("root"))
-            drawn = F.xxhash64(F.lit(turn), "v")
-            leaders = (
-                rest.groupBy("key").agg(F.max(F.struct(drawn, "v", "n", "root")).alias("p"), F.min(F.struct(drawn, "v", "n", "root")).alias("q"))
-                .select("key", F.explode(F.array("p", "q")).alias("e"))
-                .select("key", F.col("e.v").alias("leader"), F.col("e.n").alias("leader_n"), F.col("e.root").alias("leader_root"))
-            )
-            if self.verify(self.with_leaders(rest, leaders, across=True)) == 0:
-                break
-            turn += 1
-        if not rest.isEmpty():
-            self.finish(rest)
+        heavy = rest.filter(F.col("members") > LIGHT)
+        if not heavy.isEmpty():
+            self.finish(self.placed(heavy.drop("root")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
