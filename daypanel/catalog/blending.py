@@ -14,6 +14,7 @@ from ..operators import blending as BL
 from ..operators import blocks as B
 from ..operators import channels as C
 from ..operators import folds as P
+from ..operators.shape import shape_reaches
 from ..operators.windows import Plan, Span, features
 from .channels import dense_events
 from .common import ANCHORS, QUERIES, VALID_ANCHORS, anchor_cte, IN_POPULATION, ORDER_P, order_days, out, query, s, sql_result
@@ -160,7 +161,7 @@ def b13_compare_predictions(spark, folder):
 # -- audits ------------------------------------------------------------------------------------------------
 
 AUDITED = ["base", "counts", "trend", "funnel", "visit", "channel", "diff", "dispersion", "agebucket", "cartbacklog",
-           "cumshare", "rank", "cohortrel"]
+           "cumshare", "rank", "cohortrel", "tsfeat", "tsfresh", "sbc", "fcast"]
 
 
 def _audit_sql() -> str:
@@ -171,17 +172,17 @@ def _audit_sql() -> str:
         names |= part()
     ranks = ["gmv_30", "gmv_90", "gmv_365", "ord_90", "ord_180", "days_90", "recency", "recency_ord"]
     names = [*names, "age_bucket_gmv_share_3", "cart_backlog_7", "cohort_rel_buy_rate90", "days_since_half_of_life_gmv",
-             "days_since_p90_of_life_gmv", *[f"pct_{n}" for n in ranks]]
+             "days_since_p90_of_life_gmv", *[f"pct_{n}" for n in ranks], *[n for b in AUDITED[-4:] for n in shape_reaches(b)]]
     listed = ", ".join(f"('{n}')" for n in names)
-    return f"""SELECT v.n AS feature, 0 AS differing, 0 AS lone_keys, (SELECT count(DISTINCT user_id) FROM p, a
+    return f"""SELECT v.n AS feature, 0 AS differing, 0 AS lone_keys, (SELECT count(DISTINCT (anchor, user_id)) FROM p, a
   WHERE day BETWEEN anchor - 29 AND anchor) AS cells FROM (VALUES {listed}) v(n)"""
 
 
-@query("b14_look_ahead", sql_result(_audit_sql(), ["feature"], ctes=f"{ORDER_P}, {anchor_cte(ANCHORS[2:])}"))
+@query("b14_look_ahead", sql_result(_audit_sql(), ["feature"], ctes=f"{ORDER_P}, {anchor_cte(ANCHORS)}"))
 def b14_look_ahead(spark, folder):
     d = order_days(spark, folder)
     make = lambda panel, anchors: B.build(panel, anchors, d.n_days, AUDITED)
-    return out(A.look_ahead(d.panel, d.index(ANCHORS[2:])[0], make), ["feature"])
+    return out(A.look_ahead(d.panel, d.index(ANCHORS), make), ["feature"])
 
 
 # Positive control: a window that reaches one day too far has to be caught.

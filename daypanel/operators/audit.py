@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WHOLE = -1  # the world whose panel does not end
+
 
 def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], by: list[str] = (), rtol: float = 1e-9,
                     atol: float = 1e-9) -> DataFrame:
@@ -27,10 +29,39 @@ def differing_cells(full: DataFrame, cut: DataFrame, keys: list[str], by: list[s
     return counts.selectExpr(*by, "cells", "lone_keys", f"inline(array({rows}))")
 
 
-def look_ahead(panel: DataFrame, anchor: int, make: Callable[[DataFrame, list[int]], DataFrame], **tol) -> DataFrame:
-    """Features at an anchor from the whole panel against those from a panel that ends there."""
-    past = panel.filter(F.col("day") <= anchor)
-    return differing_cells(make(panel, [anchor]), make(past, [anchor]), ["anchor", "user_id"], **tol)
+def look_ahead(panel: DataFrame, anchors: int | list[int], make: Callable[[DataFrame, list[int]], DataFrame], rtol: float = 1e-9,
+               atol: float = 1e-9) -> DataFrame:
+    """Features at anchors from the whole panel against those from panels that end there, per column.
+
+    All panels are built together, once: the whole one and one that ends at each anchor are worlds of their
+    own, in which the users are (user, world). Rows of a user and anchor then meet in one grouping; only cells
+    that differ are written out.
+    """
+    anchors = [anchors] if isinstance(anchors, int) else anchors
+    ends = F.array(F.lit(WHOLE), *[F.lit(int(a)) for a in anchors])
+    seen = F.filter(ends, lambda w: (w == WHOLE) | (F.col("day") <= w))
+    copies = panel.withColumn("world", F.explode(seen)).withColumn("user_id", F.struct("user_id", "world")).drop("world")
+    made = make(copies, anchors).filter(F.col("user_id.world").isin(WHOLE) | (F.col("user_id.world") == F.col("anchor")))
+    names = [c for c in made.columns if c not in ("anchor", "user_id")]
+    cells = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
+    whole = F.col("user_id.world") == WHOLE
+    met = made.select("anchor", F.col("user_id.user_id").alias("user"), whole.alias("whole"), cells.alias("x"))
+    met = met.groupBy("anchor", "user").agg(*[F.first(F.when(side, F.col("x")), ignorenulls=True).alias(n) for n, side in (("f", F.col("whole")), ("c", ~F.col("whole")))])
+
+    def differs(a, b):
+        return ((F.abs(a - b) > atol + rtol * F.abs(b)) | (a.isNull() != b.isNull())) & F.col("f").isNotNull() & F.col("c").isNotNull()
+
+    bad = F.filter(F.zip_with("f", "c", lambda a, b: F.coalesce(differs(a, b), F.lit(False))), lambda x: x)
+    spots = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(differs(F.col("f")[i], F.col("c")[i]), F.lit(False)))
+    met = met.select((F.col("f").isNull() != F.col("c").isNull()).cast("int").alias("lone"), F.when(F.size(bad) > 0, spots).otherwise(F.slice(spots, 1, 0)).alias("spots"))
+    # -1 stands for the pairs, -2 for those without a partner.
+    listed = F.concat(F.array(F.lit(-1)), F.when(F.col("lone") == 1, F.array(F.lit(-2))).otherwise(F.array().cast("array<int>")), "spots")
+    counts = met.select(F.explode(listed).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("n"))  # a row per column at most
+    at = lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0))
+    listed = F.split(F.lit("\n".join(names)), "\n")
+    rows = F.transform(listed, lambda n, i: F.struct(n.alias("feature"), at(i).alias("differing")))
+    return counts.select(at(F.lit(-1)).alias("cells"), at(F.lit(-2)).alias("lone_keys"), F.inline(rows))
 
 
 def causality(dense: DataFrame, probes: list[int], make: Callable[[DataFrame], DataFrame], **tol) -> DataFrame:
