@@ -202,7 +202,13 @@ long_query("s_b_tsfresh",
            "SELECT anchor, user_id, metric, w, c3, timerev, trendt, arch7, longstrike_above, longstrike_below, wavenergy1, wavenergy2, wavenergy3, pacf1 "
            f"FROM one JOIN longest USING ({SERIES}) JOIN w1 USING ({SERIES}) JOIN w2 USING ({SERIES}) JOIN w3 USING ({SERIES})",
            lambda panel, anchors: SH.tsfresh_table(panel, anchors), W_B, _B, digits=4, c3=-3, timerev=-3)
-long_query("s_b_lempelziv", None, lambda panel, anchors: SH.tsfresh_table(panel, anchors, complexity=True).select(*LONG, "lempelziv"), W_B)
+# Every series is read as letters, one word at a time: a word that is not known yet is added and the next one begins.
+_LZ = f""", ext AS (SELECT *, min(x) OVER g AS lo, max(x) OVER g AS hi FROM c WINDOW g AS (PARTITION BY {SERIES})),
+letters AS (SELECT {SERIES}, list(chr(CAST(65 + len(list_filter(range(1, 11), lambda i: CASE WHEN i = 10 THEN hi ELSE i * ((hi - lo) / 10) + lo END < x)) AS INT)) ORDER BY t) AS ls
+  FROM ext GROUP BY {SERIES}),
+words AS (SELECT {SERIES}, list_reduce(ls, lambda s, l: CASE WHEN list_contains(s.k, s.w || l) THEN {{w: s.w || l, k: s.k}} ELSE {{w: '', k: list_append(s.k, s.w || l)}} END,
+  {{w: '', k: []::VARCHAR[]}}) AS r FROM letters)"""
+long_query("s_b_lempelziv", "SELECT anchor, user_id, metric, w, len(r.k) / CAST(n AS DOUBLE) AS lempelziv FROM words", lambda panel, anchors: SH.tsfresh_table(panel, anchors, complexity=True).select(*LONG, "lempelziv"), W_B, _LZ)
 
 # -- fcast -----------------------------------------------------------------------------------------------
 W_D = (90, 365)
