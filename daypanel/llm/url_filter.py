@@ -8,9 +8,11 @@ links to blocked hosts is suspect. A host is blocked when its share ``trust / (t
 threshold; hosts that neither reaches are allowed.
 
 Host edges are hyperlinks to other hosts, weighted by the logarithm of their number, and the domain tree, in
-which a host and its parent domain vouch for each other. Links and pages are added up per host before any
+which a host and its parent domain vouch for each other. Nobody vouches through a bare suffix: that is every last
+label and every domain of ``suffixes``, the caller's table of domains under which strangers register (``co.uk``); no list
+is built in. Addresses and hosts with a port or a user name have no parent. Links and pages are added up per host before any
 shuffle by host, and the graph has one row per pair of hosts, so a host with most pages is a row like any
-other. The iterations work on that graph alone and are checkpointed every few rounds. They go on until no new
+other. The iterations work on that graph alone, packed into partitions by its size, and are checkpointed every few rounds. They go on until no new
 host is reached and no host's rank changes by more than ``SETTLED`` of itself. Ranks shrink as the corpus grows,
 so they are never rounded, only the share is; what a double cannot hold (below 1e-300) flows no further.
 
@@ -21,10 +23,13 @@ results. Only page_id, url and html are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
+from .components import packed
 
 RULES = (
     ("com/en/", "block"),
@@ -40,6 +45,8 @@ THRESHOLD = 0.5
 DOMAIN_WEIGHT = 1.0
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+# An address (its last label is a number), or a host with more than a name.
+_UNNAMED = r"(^|\.)(\d+|0x[0-9a-f]*)\.?$|[:@\[\]]"
 _LINK = r"(?i)(?:href|src|action)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'>\s]+)"
 
 
@@ -67,6 +74,11 @@ def ancestors(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def domains(host: Column) -> Column:
+    """The host and the domains it belongs to; of an address, or a host with a port or user, the host alone."""
+    return F.when(host.rlike(_UNNAMED), F.array(host)).otherwise(ancestors(host))
+
+
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, rules): the rules whose host covers each host, the longest first."""
     covered = hosts.select("host", F.explode(ancestors(F.col("host"))).alias("rule_host")).join(rules, "rule_host")
@@ -74,7 +86,7 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return covered.groupBy("host").agg(F.array_sort(F.collect_set(longest)).alias("rules"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, suffixes: Iterable[str] = ()) -> DataFrame:
     """(src, dst, weight) between different hosts: hyperlinks of ``pages`` (host, html) and the domain tree."""
     targets = F.when(F.col("html").contains("//"), F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))
     links = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
@@ -82,9 +94,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = links.groupBy("src", "dst").agg(F.log1p(F.count(F.lit(1))).alias("weight"))
     known = pages.select("host").union(links.select("dst")).filter("host != ''").distinct()
     # Parents down to the registered domain: a bare suffix such as "com" vouches for nobody.
-    line = F.filter(ancestors(F.col("host")), lambda a: a.contains("."))
+    line = F.filter(domains(F.col("host")), lambda a: a.contains("."))
     steps = known.select(F.explode(F.arrays_zip(line.alias("a"), F.slice(line, F.lit(2), F.size(line)).alias("b"))).alias("s"))
     steps = steps.select(F.col("s.a").alias("src"), F.col("s.b").alias("dst")).filter("dst is not null").distinct()
+    bare = pages.sparkSession.createDataFrame([(s,) for s in suffixes], "dst string")
+    steps = steps.join(bare, "dst", "left_anti").select("src", "dst")
     tree = steps.union(steps.select("dst", "src")).withColumn("weight", F.lit(DOMAIN_WEIGHT))
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -103,6 +117,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, settled
     flows = flows.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("total")).alias("part"))
     stuck = seeds.join(total, ["kind", "host"], "left_anti").select("kind", "host", F.col("host").alias("to"), F.lit(1.0).alias("part"))
     flows = cut(flows.union(stuck))
+    size = flows.count()
+    flows = packed(flows, size)
     start = seeds.select("kind", F.col("host"), ((1 - DAMPING) * F.col("share")).alias("rank"))
     ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
     turn = 0
@@ -115,22 +131,23 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, settled
             if settled is not None and turn >= rounds:
                 # The round's start rides along, so that the comparison needs no second pass over the flows.
                 both = before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")).union(ranks.select("kind", "host", "rank", F.lit(0.0)))
-                both = cut(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+                both = packed(cut(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))), size)
                 ranks = both.filter("rank > 0").select("kind", "host", "rank")
                 if both.filter(F.abs(F.col("rank") - F.col("old")) > settled * F.col("rank")).isEmpty():
                     return ranks
             else:
-                ranks = cut(ranks)
+                ranks = packed(cut(ranks), size)
         if turn == rounds and settled is None:
             return ranks
 
 
-def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust_share) per row of ``pages``."""
+def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, suffixes: Iterable[str] = ()) -> DataFrame:
+    """(page_id, host, path, rule, verdict, trust_share) per row of ``pages``; ``suffixes`` part the domains under them."""
     url = F.col("url")
     split = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    counted = split.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    by_host = rules_by_host(cut(counted), rule_table(pages.sparkSession, rules))
+    counted = cut(split.select("host").distinct())
+    counted = packed(counted, counted.count())
+    by_host = rules_by_host(counted, rule_table(pages.sparkSession, rules))
     ruled = split.join(by_host, "host", "left")
     fitting = F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"]))
     ruled = cut(ruled.withColumn("fit", F.get(fitting, F.lit(0))).select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("verdict")))
@@ -139,7 +156,9 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataF
     seeds = ruled.filter("verdict is not null").groupBy("host", kind).agg(F.count(F.lit(1)).alias("n"))
     whole = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = cut(seeds.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("share")))
-    edges = host_edges(pages.select(host_of(url).alias("host"), "html"))
+    seeds = packed(seeds, seeds.count())
+    edges = cut(host_edges(pages.select(host_of(url).alias("host"), "html"), suffixes))
+    edges = packed(edges, edges.count())
     ranks = propagated(edges, seeds, settled=SETTLED)
     trust = F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0))
     distrust = F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0))
