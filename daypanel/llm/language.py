@@ -7,7 +7,8 @@ themselves by grouped sums of the text's posteriors, so a wrong but consistent d
 Host priors are smoothed along the domain tree: a domain with n pages keeps n / (n + ``PRIOR_PAGES``) of its own
 counts and takes the rest from its parent domain, up to all pages; a page does not count towards its own prior.
 
-The trigram table is fitted on about ``LANGUAGE_DOCS`` labelled documents per language, drawn by a hash; all
+The trigram table is fitted on about ``LANGUAGE_DOCS`` different texts of labelled documents per language, drawn by a
+hash of the text; copies count once, so neither a text of most rows nor a language of few texts tips the draw. All
 other counts cover all pages and the whole of their text. A long text's likelihood is that of ``EVIDENCE``
 trigrams at most, at the mean of all, because neighbouring trigrams are not independent.
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.session import cut
-from .url_filter import ancestors, host_of
+from .url_filter import domains as domains_of
+from .url_filter import host_of
 from .words import parts, utf8
 
 LANGUAGE_DOCS = 1000
@@ -67,10 +69,14 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_table(docs: DataFrame, languages: dict[str, int]) -> np.ndarray:
-    """Log probability of each slot per language, from a hashed draw of documents (text, lang)."""
+    """Log probability of each slot per language, from a hashed draw of the different texts of documents (text, lang).
+
+    ``languages`` holds each language's number of different texts, which may be an estimate.
+    """
     names = list(languages)
-    chance = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, LANGUAGE_DOCS / k))) for n, k in languages.items()])
-    drawn = docs.filter(F.col("lang").isin(names)).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < chance * (1 << 20))
+    chance = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, LANGUAGE_DOCS / max(1, k)))) for n, k in languages.items()])
+    drawn = docs.filter(F.col("lang").isin(names)).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 50)) < chance * (1 << 50))
+    drawn = drawn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))  # copies fold before the shuffle
 
     def counted(batches):
         total = np.zeros((len(names), SLOTS), np.int64)
@@ -141,7 +147,7 @@ def host_priors(read: DataFrame, languages: list[str]) -> DataFrame:
     """(host, own, n, above): posterior sums and pages of each host, and the prior of the domains above it."""
     k = range(len(languages))
     hosts = cut(read.groupBy("host").agg(*_sums(languages), F.count(F.lit(1)).cast("double").alias("n")))
-    line = ancestors(F.col("host"))
+    line = domains_of(F.col("host"))
     domains = hosts.select(F.explode(line).alias("domain"), *[f"n{i}" for i in k], "n").groupBy("domain").agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in k], F.sum("n").alias("n")
     )
@@ -159,7 +165,7 @@ def host_priors(read: DataFrame, languages: list[str]) -> DataFrame:
 
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, host, declared, suffix, text_lang, lang, probability) per row of ``pages``."""
-    counted = docs.filter("lang is not null and lang != ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.filter("lang is not null and lang != ''").groupBy("lang").agg(F.approx_count_distinct("text").alias("n"))
     languages = {r["lang"]: r["n"] for r in counted.orderBy("lang").collect()}
     host = host_of(F.col("url"))
     plain = pages.select("page_id", host.alias("host"), declared_language(F.col("html")).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), "html")
