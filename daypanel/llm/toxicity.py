@@ -331,9 +331,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    # Drawn by id alone: texts meet the drawn ids only, so none is sorted or sent before it is chosen.
-    drawn = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
+    # Drawn among the ids whose text fits; texts meet the drawn ids only, so none is sorted or sent before it is chosen.
     short = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, TRAIN_BYTES))
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    drawn = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
     met = short.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * TRAIN_DOCS ids
     rows = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return fitted([r["text"] for r in rows], [r["toxic"] for r in rows], share)
