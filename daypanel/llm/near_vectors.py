@@ -35,12 +35,19 @@ PER_CELL = 800  # vectors per cell, over all labels, that the size of the codebo
 MEMBERS, VISITORS = 1024, 2048
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. A power of two is taken out first, so that no square is lost or infinite and no digit changes."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    x = np.ldexp(x, -power)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Grid:
     """Codebooks of the two halves and the limit of the traversal."""
 
     def __init__(self, sample: np.ndarray, size: int, similarity: float, recall: float):
         draw = np.random.default_rng(3)
-        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        sample = _unit(sample)
         self.dim, self.cut = sample.shape[1], (sample.shape[1] + 1) // 2
         self.books = [_centres(h, size, draw) for h in (sample[:, : self.cut], sample[:, self.cut :])]
         self.size = size
@@ -105,8 +112,7 @@ def _placer(grid: Grid):
 
     @F.arrow_udf(kind)
     def place(vectors: pa.Array) -> pa.Array:
-        x = _matrix(vectors, grid.dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(_matrix(vectors, grid.dim))
         home, visits = grid.placed(x)
         ends = np.concatenate([[0], np.cumsum([len(v) for v in visits])]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *visits])
@@ -121,8 +127,7 @@ def _verifier(dim: int, similarity: float):
     """Links inside one chunk and between it and its visitors, as counts (a, null, n) and spanning links (a, b, null)."""
 
     def verify(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("embedding"), dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(_matrix(table.column("embedding"), dim))
         ids = table.column("rep").to_numpy()
         size = table.column("n").to_numpy().astype(np.int64)
         sizes = table.column("dim").to_numpy()
