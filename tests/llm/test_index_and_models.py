@@ -39,6 +39,13 @@ def vectors(spark, rows):
     return spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, n int, cell string").repartition(4)
 
 
+def test_extreme_components_keep_their_direction(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e-200, 2e-200 * 1.01], 1), (3, [1e200, 2e200], 1), (4, [2.0, -1.0], 1), (5, [5e-324, 1e-323], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.linked(table).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "MEMBERS", 16)  # so that cells come in several chunks
     monkeypatch.setattr(near_vectors, "VISITORS", 16)
@@ -140,6 +147,21 @@ def toy_texts():
     return clean + bad, [0] * 60 + [1] * 60
 
 
+def test_sample_is_drawn_among_texts_that_fit(spark, monkeypatch):
+    """Nine of ten labelled texts are too long to train on; the draw is filled from the others."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(toxicity, "fitted", lambda texts, toxic, share: seen.append((texts, toxic, share)))
+    long = "z " * toxicity.TRAIN_BYTES
+    docs = spark.createDataFrame([(k, f"text {k}" if k % 10 == 0 else long) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 10 % 2) for k in range(400)] + [(None, 1)], "doc_id long, toxic int")
+    toxicity.trained(docs, labels)
+    (texts, toxic, share), = seen
+    fits = [k for k in range(0, 400, 10) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(texts) == sorted(f"text {k}" for k in fits) and sum(toxic) == sum(k // 10 % 2 for k in fits)
+    assert share == pytest.approx(0.5, abs=0.1)
+
+
 def test_changed_insults_are_found():
     model = toxicity.fitted(*toy_texts(), 0.5)
     score = lambda *t: model.probability(toxicity.Scorer(model).documents(list(t)))
@@ -246,6 +268,58 @@ def test_far_hosts_of_a_large_corpus_are_judged(spark):
         assert all(share == 0 for h, (_, share) in got.items() if h != "far.zz")
 
 
+def test_strangers_share_no_parent(spark):
+    """Addresses, ports and the caller's suffixes vouch for nobody; a registered domain does."""
+    hosts = ["bad0.co.uk", "innocent.co.uk", "bad1.co.uk", "10.0.0.1", "77.9.0.1", "a.x.zz:8080", "b.x.zz:8080", "www.shop.zz", "m.shop.zz", "[::1]"]
+    pages = spark.createDataFrame([(k, f"http://{h}/p", None) for k, h in enumerate(hosts)], "page_id long, url string, html string")
+    rules = [("bad0.co.uk/", "block"), ("10.0.0.1/", "block"), ("a.x.zz:8080/", "block"), ("www.shop.zz/", "block")]
+    got = {r.host: r.verdict for r in url_filter.judged(pages, rules, suffixes=["co.uk"]).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad0.co.uk", "10.0.0.1", "a.x.zz:8080", "www.shop.zz", "m.shop.zz"}
+
+
+def test_verdicts_equal_the_plain_ones(spark):
+    """Every page of a small table: rules, ranks on the written-out host graph, shares and verdicts."""
+    draw = np.random.default_rng(11)
+    names = [f"{s}.{d}{k}.{t}" for k, t in enumerate(("com", "net", "org", "com", "net", "org")) for d in "ab" for s in ("www", "m")]
+    paths = ["/en/7", "/en/1", "/de/8", "/de/1", "/es/1", "/fr/1", "/fr/2"]
+    rows = []
+    for k in range(150):
+        links = "".join(f"<a href='http://{names[j]}/'>" for j in draw.integers(0, len(names), draw.integers(0, 3)))
+        rows.append((k, f"http://{names[draw.integers(len(names))]}{paths[draw.integers(len(paths))]}", links))
+    got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    ruled = {k: rule_of(url) for k, url, _ in rows}
+    seeds, links, known = {"allow": {}, "block": {}}, {}, set()
+    for k, _, html in rows:
+        host, _, (rule, verdict) = ruled[k]
+        known.add(host)
+        if rule:
+            seeds[verdict][host] = seeds[verdict].get(host, 0) + 1
+        for to in html.split("http://")[1:]:
+            to = to.split("/")[0]
+            if to != host:
+                links[host, to] = links.get((host, to), 0) + 1
+                known.add(to)
+    weight = {e: math.log1p(n) for e, n in links.items()}
+    for host in known:
+        parent = host.split(".", 1)[1]
+        for e in ((host, parent), (parent, host)):
+            weight[e] = weight.get(e, 0) + 1.0
+    edges = [(a, b, w) for (a, b), w in weight.items()]
+    ranks = [rank(edges, {h: n / sum(s.values()) for h, n in s.items()}, 200, back) for s, back in ((seeds["allow"], False), (seeds["block"], True))]
+    unclear = 0
+    for k, (host, path, (rule, verdict)) in ruled.items():
+        trust, distrust = (r.get(host, 0.0) for r in ranks)
+        share = trust / (trust + distrust) if trust + distrust else 1.0
+        assert got[k].trust_share == pytest.approx(share, abs=1e-3)
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        if rule or abs(share - 0.5) > 1e-3:
+            assert got[k].verdict == (verdict or ("block" if share < 0.5 else "allow"))
+        else:
+            unclear += 1
+    assert unclear < 15
+
+
 def test_deep_domains_are_linked_to_the_end(spark):
     host = ".".join(["a"] * 126 + ["zz"])
     got = url_filter.host_edges(spark.createDataFrame([(host, None)], "host string, html string")).collect()
@@ -295,6 +369,24 @@ def test_language_evidence_is_fused(spark):
     assert {r.lang for r in language.identified(pages, docs.limit(0)).collect()} == {""}
 
 
+def test_copies_do_not_tip_the_trigram_table(spark):
+    """A language whose rows are copies of one text keeps it; a text of most rows counts once."""
+    en, de = "the house and the river with the old mill", "das haus und der fluss mit der alten muehle"
+    docs = spark.createDataFrame([(k, en, "en") for k in range(3000)] + [(5000 + k, f"{de} {k}", "de") for k in range(20)] + [(9000, None, "en")],
+                                 "doc_id long, text string, lang string")
+    once = spark.createDataFrame([(1, en, "en")] + [(5000 + k, f"{de} {k}", "de") for k in range(20)], "doc_id long, text string, lang string")
+    table = language.trigram_table(docs.filter("text is not null"), {"de": 20, "en": 1})
+    assert np.array_equal(table, language.trigram_table(once, {"de": 20, "en": 1}))
+    pages = spark.createDataFrame([(1, "http://a.x/", f"<p>{en}</p>"), (2, "http://b.x/", f"<p>{de}</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in language.identified(pages, docs).collect()} == {1: "en", 2: "de"}
+
+
+def test_addresses_have_no_domain_above(spark):
+    read = spark.createDataFrame([("10.0.0.1", [1.0, 0.0])] * 9 + [("77.9.0.1", [0.0, 1.0])], "host string, p array<double>")
+    got = {r.host: list(r.above) for r in language.host_priors(read, ["l", "m"]).collect()}
+    assert got["77.9.0.1"] == got["10.0.0.1"] == pytest.approx([9.5 / 11, 1.5 / 11])
+
+
 def test_priors_follow_the_domain_tree(spark):
     """Host sums smoothed by the domains above, written out."""
     rows = [("x.a.org", [1.0, 0.0])] * 4 + [("y.a.org", [0.0, 1.0])] * 2 + [("b.org", [0.0, 1.0])]
