@@ -202,6 +202,20 @@ def d10_feature_store(spark, folder):
     return out(tables.read_blocks(spark, path, ["base", "visit"], anchors[1:], _STORED))
 
 
+@query("d10_feature_store_resumed", features_sql(
+    {n: e for n, e in (base_sql() | visit_sql()).items() if n in _STORED}, ANCHORS))
+def d10_feature_store_resumed(spark, folder):
+    d = order_days(spark, folder)
+    anchors = d.index(ANCHORS)
+    path = tables.scratch(spark, "features")
+    name = "features_" + path[-12:]
+    for block in ("base", "visit"):
+        make = lambda missing, b=block: B.build(d.panel, missing, d.n_days, [b])
+        for wanted in (anchors[:1], anchors):  # the second call computes what the first did not
+            tables.store_missing(spark, f"{name}_{block}", wanted, make, 8, f"{path}/{block}")
+    return out(tables.read_stored(spark, [f"{name}_base", f"{name}_visit"], anchors, _STORED))
+
+
 @query("d12_content_hash", f"""WITH {ORDER_P} SELECT round(CAST(count(*) AS DOUBLE) + 3.7e-08, 6) AS n_rows,
   CAST(CAST(sum(CAST('0x' || substr(md5(concat_ws(',', '=' || user_id, '=' || day, '=' || CAST(ord AS BIGINT), '=' || CAST(cart AS BIGINT))), 1, 12) AS BIGINT)) AS DECIMAL(30,0)) AS VARCHAR) AS content
   FROM p""")

@@ -170,6 +170,9 @@ def decay_weight(age: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), age / float(half_life))
 
 
+STRETCHES = 1 << 14  # of the hash range of ``exact_sample``
+
+
 def key_hash(seed: str, *keys: str) -> Column:
     """32 bits of md5 over the keys, as a whole number: the same on every engine and layout."""
     text = F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])
@@ -177,8 +180,20 @@ def key_hash(seed: str, *keys: str) -> Column:
 
 
 def exact_sample(df: DataFrame, n: int, keys: list[str], seed: str = "0") -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer), chosen by a hash of the key; ranked without one big task."""
-    drawn = ordinal_positions(df.withColumn("_h", key_hash(seed, *keys)), [], ["_h", *keys])
+    """Exactly ``n`` rows (or all, if fewer), chosen by a hash of the key.
+
+    One aggregation counts rows per stretch of hashes (``STRETCHES`` numbers for the driver); only rows up to the
+    stretch in which the ``n``-th lies are ranked. The rest is neither moved nor written.
+    """
+    width = (1 << 32) // STRETCHES
+    hashed = df.withColumn("_h", key_hash(seed, *keys))
+    upto = 0
+    for r in sorted(hashed.groupBy(F.floor(F.col("_h") / width).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        upto, bound = upto + r["n"], (r["at"] + 1) * width
+        if upto >= n:
+            hashed = hashed.filter(F.col("_h") < bound)
+            break
+    drawn = ordinal_positions(hashed, [], ["_h", *keys])
     return drawn.filter(F.col("position") <= n).select(*df.columns)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,45 @@ def read_blocks(spark: SparkSession, path: str, blocks: list[str], anchors: list
     return out
 
 
+def stored_anchors(spark: SparkSession, table: str) -> set[int]:
+    """Anchors that a feature table holds, read from the catalog alone."""
+    if not spark.catalog.tableExists(table):
+        return set()
+    return {int(r["partition"].partition("=")[2]) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+
+
+def store_missing(spark: SparkSession, table: str, anchors: list[int], make: Callable[[list[int]], DataFrame],
+                  buckets: int, path: str | None = None) -> list[int]:
+    """Add to a feature table the anchors it does not hold yet, and return them.
+
+    ``make`` builds the rows (anchor, user_id, …) of the anchors it is given and is not called when none is missing. One
+    table holds one block, floor and population. It is partitioned by anchor and bucketed by user, so tables of several blocks
+    meet without a shuffle. A write that fails adds no anchor, and the next call computes it again. ``path`` puts a new
+    table elsewhere than the warehouse.
+    """
+    held = stored_anchors(spark, table)
+    missing = [a for a in dict.fromkeys(anchors) if a not in held]
+    if missing:
+        # One task per bucket, so that an anchor has as many files as buckets.
+        writer = make(missing).repartition(buckets, "user_id").write.mode("append").format("parquet")
+        writer = writer.partitionBy("anchor").bucketBy(buckets, "user_id").sortBy("user_id")
+        (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return missing
+
+
+def read_stored(spark: SparkSession, stored: list[str], anchors: list[int], columns: list[str]) -> DataFrame:
+    """Chosen columns and anchors of feature tables with equal buckets, joined in place.
+
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` lets Spark see that buckets by user suffice for (anchor, user).
+    """
+    out = None
+    for table in stored:
+        part = spark.table(table).filter(F.col("anchor").isin(anchors))
+        part = part.select("anchor", "user_id", *[c for c in columns if c in part.columns])
+        out = part if out is None else out.join(part, ["anchor", "user_id"])
+    return out
+
+
 def merge_records(old: DataFrame, new: DataFrame, kept: tuple[str, ...] = ("lb", "verdict")) -> DataFrame:
     """New records win by ``exp_id``; hand-entered fields survive where the new record leaves them empty."""
     columns = [c for c in new.columns if c != "exp_id"]

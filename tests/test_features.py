@@ -211,3 +211,52 @@ def test_scan_reads_only_needed_columns(spark, toy, tmp_path):
     read = text[text.index("ReadSchema") :].split("\n")[0]
     assert "gmv:double" in read and "cart" not in read
     assert "GreaterThanOrEqual(day,100)" in text
+
+
+def test_store_computes_only_missing_anchors(spark, toy):
+    asked = []
+
+    def maker(block):
+        def make(anchors):
+            asked.append((block, anchors))
+            return B.build(toy["panel"], anchors, toy["n_days"], [block])
+
+        return make
+
+    names = {b: f"store_{b}" for b in ("base", "visit")}
+    for wanted in ([200], [200, 300, 300], [300, 200]):
+        for block, name in names.items():
+            tables.store_missing(spark, name, wanted, maker(block), 4)
+    assert asked == [("base", [200]), ("visit", [200]), ("base", [300]), ("visit", [300])]
+    assert tables.stored_anchors(spark, "store_base") == {200, 300}
+    assert tables.stored_anchors(spark, "no_such_store") == set()
+
+    whole = B.build(toy["panel"], [200, 300], toy["n_days"], ["base", "visit"])
+    columns = [c for c in whole.columns if c not in ("anchor", "user_id")]
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = {k: spark.conf.get(k) for k in (key, "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set(key, "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tables.read_stored(spark, list(names.values()), [200, 300], columns)
+        assert "Exchange" not in plan_of(got)
+        got = got.select(whole.columns).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    order = ["anchor", "user_id"]
+    want = whole.toPandas()
+    got["anchor"] = got["anchor"].astype(want["anchor"].dtype)
+    pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True))
+
+
+def test_exact_sample_ranks_few_rows(spark):
+    """The same rows as a ranking of all, also where one hash holds a third of the rows."""
+    df = spark.range(30000).select((F.col("id") % 10 == 0).cast("int").alias("hot"), F.col("id").alias("user_id"))
+    df = df.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
+    hashed = df.select(P.key_hash("0", "user_id").alias("h"), "user_id")
+    for n in (0, 1, 500, 29999, 30000, 40000):
+        got = sorted(r.user_id for r in P.exact_sample(df.select("user_id"), n, ["user_id"]).collect())
+        want = sorted(r.user_id for r in hashed.orderBy("h", "user_id").limit(n).collect())
+        assert got == want
+    assert P.exact_sample(df.limit(0), 5, ["user_id"]).count() == 0
