@@ -242,7 +242,24 @@ def _target_rows(spark, folder):
     return naive_oof(spark, folder).select("fold_id", "user_id", F.log1p("y_true").alias("y_log"))
 
 
-@query("b4_target_bins")
+# One row per merge: the emptiest bin (the first of equal ones) joins its left neighbour, the first bin its right one.
+_MERGED = f"""RECURSIVE {NAIVE}, logs AS (SELECT ln(1 + y_true) AS l FROM oof),
+cap AS (SELECT quantile_cont(l, 0.999) AS top FROM logs WHERE l > 0),
+grid AS (SELECT list_transform(range(13), lambda i: CASE i WHEN 12 THEN top ELSE top * i / 12 END) AS edges FROM cap),
+spot AS (SELECT len(list_filter(edges[2:12], lambda e: e <= l)) AS bin FROM logs, grid),
+steps AS (
+  SELECT 0 AS turn, edges, (SELECT list(n ORDER BY b) FROM (SELECT b, count(bin) AS n FROM range(12) r(b) LEFT JOIN spot ON bin = b GROUP BY b)) AS n,
+    greatest(20, floor(0.002 * (SELECT count(*) FROM logs))) AS least_n FROM grid
+  UNION ALL
+  SELECT turn + 1, list_concat(edges[:gone - 1], edges[gone + 1:]), list_concat(n[:gone - 2], [n[gone - 1] + n[gone]], n[gone + 1:]), least_n
+  FROM (SELECT *, greatest(list_position(n, list_min(n)), 2) AS gone FROM steps WHERE len(n) > 2 AND list_min(n) < least_n)
+),
+bins AS (SELECT * FROM steps ORDER BY turn DESC LIMIT 1)"""
+
+
+@query("b4_target_bins", sql_result(
+    "SELECT i - 1 AS bin, n[i] AS n, edges[i] AS lo, edges[i + 1] AS hi, (edges[i] + edges[i + 1]) / 2 AS centre "
+    "FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM bins) WHERE n[i] > 0", ["bin"], ctes=_MERGED))
 def b4_target_bins(spark, folder):
     rows = _target_rows(spark, folder)
     edges = BL.target_bins(rows, "y_log", 12)
