@@ -5,14 +5,16 @@ shuffled by a hash and cut into blocks of ``BLOCK``. Block j of a source with q
 floor(j * PERIOD / q) and due at ceil((j + 1) * PERIOD / q); in every slot the released block with the earliest
 deadline goes, ties by source. One slot serves one block and the weights fill the period, so every block is
 served between release and deadline and each source is always less than one block off its target. All sources
-are exactly on target when a period ends, so one period is scheduled (its size is a parameter, not the data's)
-and repeated. A source that runs dry leaves its slots empty and the others go on in proportion: every document
-gets one position, and ``on_target`` marks the part before the first source ran dry.
+are exactly on target when a period ends, so one period is scheduled and repeated. Its size is a parameter, or
+twice the number of sources if that is more; one task schedules it, so sources should be few (hundreds). A
+source that runs dry leaves its slots empty and the others go on in proportion: every document gets one
+position, and ``on_target`` marks the part before the first source ran dry.
 
 Without weights, a source's target is proportional to the square root of its number of documents. A source
-that the given weights do not name gets one slot. A null source is the source ''. Texts are not read. Rows that
-repeat are scheduled as rows of their own. An empty table gives an empty result. Only DataFrame functions are
-used; ranks inside a source come from range partitions, so one source may hold any share of the rows.
+that the given weights do not name gets one slot. A null source is the source ''. Of texts only a hash is read,
+which orders rows with equal ids. Rows that repeat are scheduled as rows of their own. An empty table gives an
+empty result. Only DataFrame functions are used; ranks inside a source come from range partitions, so one
+source may hold any share of the rows.
 """
 
 from __future__ import annotations
