@@ -126,7 +126,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, settled
         turn += 1
         before = ranks
         moved = flows.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
-        ranks = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 1e-300")
+        # Packed before they are added up: the sums of a graph of one partition need no shuffle.
+        ranks = packed(moved.union(start), size).groupBy("kind", "host").agg(F.sum("rank").alias("rank")).filter("rank > 1e-300")
         if turn % 4 == 0:
             if settled is not None and turn >= rounds:
                 # The round's start rides along, so that the comparison needs no second pass over the flows.

@@ -415,3 +415,19 @@ def test_slots_of_the_pipeline_follow_the_mix(spark, odd, tmp_path, monkeypatch)
         slots.append({r.doc_id: (r.shard, r.slot) for r in out if r.doc_id not in (None, 25)})
     assert all(slots[0][k][0] == slots[1][k][0] for k in slots[0])
     assert slots[0] != slots[1]
+
+
+def test_the_ranks_of_a_small_host_graph_are_added_up_without_a_shuffle(spark, capsys):
+    from daypanel.llm import url_filter
+    from daypanel.llm.components import packed
+
+    edges = packed(spark.createDataFrame([("a.com", "b.com", 1.0), ("b.com", "c.com", 2.0)], "src string, dst string, weight double").repartition(3), 2)
+    seeds = packed(spark.createDataFrame([("trust", "a.com", 1.0), ("distrust", "c.com", 1.0)], "kind string, host string, share double").repartition(3), 2)
+    ranks = url_filter.propagated(edges, seeds, rounds=3)
+    capsys.readouterr()
+    ranks.explain()
+    assert not re.search(r"HashAggregate\([^\n]*\n[^\n]*Exchange", capsys.readouterr().out)
+    got = {(r.kind, r.host): r.rank for r in ranks.collect()}
+    # Trust goes from a to b to c, distrust the other way.
+    assert set(got) == {(kind, host) for kind in ("trust", "distrust") for host in ("a.com", "b.com", "c.com")}
+    assert got["trust", "b.com"] == pytest.approx(got["distrust", "b.com"]) == pytest.approx(0.15 * 0.85)

@@ -68,6 +68,6 @@ def test_the_grid_is_neither_sorted_nor_windowed(panel, capsys, variant):
     capsys.readouterr()
     C.panel_channels(panel, variant, DAYS, date(2020, 1, 1), WINDOWS).explain()
     plan = capsys.readouterr().out.splitlines()
-    spread = next(i for i, line in enumerate(plan) if "Generate explode(sequence(" in line)
+    spread = next(i for i, line in enumerate(plan) if "Generate inline(_days" in line)
     assert not any("Window" in line or "Sort" in line for line in plan[:spread])
     assert any("Window" in line for line in plan[spread:])
