@@ -42,6 +42,7 @@ PICKED = 4
 LIGHT = 32
 PARTNERS = 2  # leaders a vertex is compared with per round, those it shares most buckets with
 FEW = 1 << 20  # ids and hashes of 16 bytes that may go to all executors
+SLOTS = 1 << 20  # slots of label hashes whose counts, 16 bytes each, go to all executors
 CELL = 1 << 16  # comparisons of one label that a task makes for one key of the join
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,6 +150,43 @@ def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([ordered_similarity(h[p[r] : p[r + 1]], g[q[r] : q[r + 1]]) for r in range(len(left))], pa.float64())
 
 
+def first_labels(often: np.ndarray, main: np.ndarray):
+    """A column function of (labels, root): those of the rarest labels that a partner in another component may share first.
+
+    ``often`` counts the labels of a slot, 0 where one component holds them all; ``main`` is the component holding most.
+    Per label: its place in the text, how many are not rarer (itself included), and whether ``root`` is the slot's main one.
+    """
+    found = T.StructType().add("label", T.LongType()).add("pos", T.IntegerType()).add("behind", T.IntegerType()).add("main", T.BooleanType())
+
+    @F.arrow_udf(T.ArrayType(found))
+    def first(labels: pa.Array, roots: pa.Array) -> pa.Array:
+        ptr = labels.offsets.to_numpy().astype(np.int64)
+        flat = labels.values.to_numpy()[ptr[0] : ptr[-1]]
+        ptr = ptr - ptr[0]
+        size = np.diff(ptr)
+        row = np.repeat(np.arange(len(size)), size)
+        slot = flat % len(often)
+        order = np.lexsort((flat, often[slot], row))
+        behind = ptr[1:][row] - np.arange(len(flat))
+        kept = (often[slot[order]] > 0) & (behind >= size[row] * SIMILARITY - 1e-6)
+        order, row, behind = order[kept], row[kept], behind[kept]
+        columns = [flat[order], (order - ptr[row]).astype(np.int32), behind.astype(np.int32), roots.to_numpy()[row] == main[slot[order]]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
+        structs = pa.StructArray.from_arrays([pa.array(c) for c in columns], found.names)
+        return pa.ListArray.from_arrays(pa.array(ends), structs)
+
+    return first
+
+
+def _slot_tables(slots: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, often, main) as arrays over all slots, 0 for those not listed: 16 bytes a slot."""
+    often, main = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    listed = slots.select("slot", "often", "main").toArrow()
+    at = listed["slot"].to_numpy()
+    often[at], main[at] = listed["often"].to_numpy(), listed["main"].to_numpy()
+    return often, main
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -239,21 +277,18 @@ class _Search:
 
         In the order of rarity, labels of one component before all others, the first label of a common
         subsequence has all of it behind it on both sides. So the shorter text holds it among its first
-        n - 2 s / (1 + s) n labels and the longer one among its first n - s n.
+        n - 2 s / (1 + s) n labels and the longer one among its first n - s n. Any order that all texts keep to
+        will do, so rarity is counted per slot of label hashes in a table of bounded size, and each text finds
+        its first labels by itself.
         """
-        found = cut(members.join(self.labels, "v").select("v", "n", "root", F.posexplode("labels").alias("pos", "label")))
-        shared = found.groupBy("label").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        found = found.join(shared.filter("lo < hi").select("label", "often"), "label")
-        turn = F.row_number().over(Window.partitionBy("v").orderBy("often", "label"))
-        behind = F.count(F.lit(1)).over(Window.partitionBy("v")) - turn + 1  # labels from this one on
-        first = cut(found.withColumn("behind", behind).filter(F.col("behind") >= F.col("n") * F.lit(SIMILARITY) - 1e-6).drop("often"))
-
-        # The largest component of a label is compared with the others only, so that it is never paired with itself.
-        held = first.groupBy("label", "root").agg(F.count(F.lit(1)).alias("held"))
-        main = held.groupBy("label").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
-        first = first.join(main.filter("roots > 1").drop("roots"), "label")
-        is_main = F.col("root") == F.col("main")
-        side = lambda alone, others: F.explode(F.when(is_main, F.array(F.lit(alone))).otherwise(F.array(F.lit(0), F.lit(others))))
+        members = cut(members.join(self.labels, "v").select("v", "n", "root", "labels"))
+        slots = members.select("root", F.explode("labels").alias("label")).groupBy(F.pmod("label", F.lit(SLOTS)).alias("slot"), "root").agg(F.count(F.lit(1)).alias("held"))
+        slots = slots.groupBy("slot").agg(F.sum("held").alias("often"), F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+        rare = first_labels(*_slot_tables(slots.filter("roots > 1").drop("roots")))
+        first = cut(members.select("v", "n", "root", F.explode(rare("labels", "root")).alias("f")).select("v", "n", "root", "f.*"))
+
+        # The largest component of a slot is compared with the others only, so that it is never paired with itself.
+        side = lambda alone, others: F.explode(F.when(F.col("main"), F.array(F.lit(alone))).otherwise(F.array(F.lit(0), F.lit(others))))
         short = first.filter(F.col("behind") >= F.col("n") * F.lit(2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6)
         x, y = cut(short.withColumn("side", side(2, 1)).drop("main")), cut(first.withColumn("side", side(1, 2)).drop("main"))
         key = ["label", "side"]

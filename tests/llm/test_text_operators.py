@@ -259,6 +259,32 @@ def test_partners_in_crowded_buckets(spark):
     assert [got[k] for k in range(160)] == want
 
 
+@pytest.mark.parametrize("slots", [7, near_docs.SLOTS])
+def test_first_labels_reach_all_partners(spark, monkeypatch, slots):
+    """Pairs across components from the rarest labels, also where many labels share a slot; no table holds a row per label."""
+    import pyarrow as pa
+
+    template, texts = prose(9, 200), []
+    for k in range(60):
+        own = [f"p{k // 2}x{j}" for j in range(12)] + [f"o{k}x{j}" for j in range(16)]
+        texts.append(" ".join(template[:80] + own + template[108:]))
+    h, p = words.Words(pa.array(texts)).shingles()
+    labels = [near_docs.labelled(h[a:b]) for a, b in zip(p[:-1], p[1:])]
+    root = [k if k < 40 else 40 for k in range(60)]  # the last twenty are one component
+    want = {(i, j) for j in range(60) for i in range(j) if root[i] != root[j] and near_docs.ordered_similarity(labels[i], labels[j]) >= 0.8 - 1e-9}
+    assert len(want) >= 20
+
+    written, cut = [], near_docs.cut
+    monkeypatch.setattr(near_docs, "cut", lambda df: (t := cut(df), written.append(t.count()))[0])
+    monkeypatch.setattr(near_docs, "SLOTS", slots)
+    search = near_docs._Search.__new__(near_docs._Search)
+    search.labels = spark.createDataFrame([(v, x.view(np.int64).tolist()) for v, x in enumerate(labels)], "v long, labels array<long>")
+    members = spark.createDataFrame([(v, len(x), root[v]) for v, x in enumerate(labels)], "v long, n int, root long")
+    got = {(r.a, r.b) for r in search.within_reach(members).collect()}
+    assert want <= got and all(root[a] != root[b] for a, b in got)
+    assert max(written) < 0.5 * sum(map(len, labels))
+
+
 def test_near_documents_odd_rows(spark, odd):
     kept = near_docs.deduplicated(frame(spark, odd))
     assert kept.columns == frame(spark, []).columns
