@@ -71,3 +71,36 @@ def test_the_grid_is_neither_sorted_nor_windowed(panel, capsys, variant):
     spread = next(i for i, line in enumerate(plan) if "Generate inline(_days" in line)
     assert not any("Window" in line or "Sort" in line for line in plan[:spread])
     assert any("Window" in line for line in plan[spread:])
+
+
+@pytest.mark.parametrize("variant", ["behav", "extra", "full_popidx"])
+def test_means_by_user_are_those_of_all_days(panel, variant):
+    given = variant, DAYS, date(2020, 1, 1), WINDOWS
+    grid = C.channels(P.dense(panel, DAYS), *given)
+    assert_same_means(C.panel_channels(panel, *given, means=[c for c in grid.columns if c not in ("user_id", "day")]), grid)
+
+
+def test_means_of_derived_channels_are_those_of_all_days(panel):
+    grid = C.derived_channels(P.dense(panel, DAYS), DAYS, WINDOWS)
+    assert_same_means(C.panel_derived_channels(panel, DAYS, WINDOWS, means=[c for c in grid.columns if c not in ("user_id", "day")]), grid)
+
+
+def assert_same_means(got, grid):
+    names = [c for c in grid.columns if c not in ("user_id", "day")]
+    want = {r["user_id"]: r.asDict() for r in grid.groupBy("user_id").avg(*names).collect()}
+    got = {r["user_id"]: r.asDict() for r in got.select("user_id", *names).collect()}
+    assert got.keys() == want.keys() and len(got) == 28
+    wrong = [(u, n, got[u][n], want[u][f"avg({n})"]) for u in want for n in names if not alike(got[u][n], want[u][f"avg({n})"])]
+    assert not wrong, wrong[:5]
+
+
+@pytest.mark.parametrize("name, spread", [("c8_full_orders", 0), ("c6_rolling_orders", 0), ("c2_derived_orders", 1), ("c10_behav_orders", 1), ("c11_extra_orders", 1)])
+def test_only_what_changes_by_the_day_is_spread(spark, capsys, name, spread):
+    """Means of the order grid: columns that hold through a span are not written for every day."""
+    from daypanel.catalog import load
+
+    df = load()[0][name](spark, "/root/testdata/sf0.001")
+    capsys.readouterr()
+    df.explain()
+    plan = capsys.readouterr().out
+    assert ("Generate explode(sequence(" in plan) == bool(spread) and "inline(_days" not in plan
